@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, near_dedup, quality_rules
 from .common import source
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(source(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(source(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op8_simhash_near_dedup,)}
+QUERIES = {q.__name__: q for q in (op2_benchmark_decontamination, op3_quality_rules, op8_simhash_near_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle()}
