@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality_rules
+from . import decontaminate, near_dedup, pii, quality_rules
 from .common import source
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(source(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
 
@@ -20,6 +24,6 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(source(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_benchmark_decontamination, op3_quality_rules, op8_simhash_near_dedup)}
+QUERIES = {q.__name__: q for q in (op1_pii, op2_benchmark_decontamination, op3_quality_rules, op8_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle()}
