@@ -253,3 +253,9 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text): the bytes of token_ids as UTF-8."""
     return tokens.select("doc_id", F.decode(Encoder(path).decode(F.col("token_ids")), "UTF-8").alias("text"))
+
+
+def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, text): every row encoded, and what its ids decode to."""
+    text = F.decode(Encoder(path).decode(F.col("token_ids")), "UTF-8")
+    return encoded(docs, path).withColumn("text", text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, pii, quality_rules
+from . import bpe, decontaminate, near_dedup, pii, quality_rules, token_counts
 from .common import source
 
 
@@ -24,6 +24,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(source(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_pii, op2_benchmark_decontamination, op3_quality_rules, op8_simhash_near_dedup)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(source(spark, sf_dir, "documents"), token_counts.new_cache(spark))
+
+
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(source(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_pii, op2_benchmark_decontamination, op3_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_byte_level_bpe)}
 
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle()}

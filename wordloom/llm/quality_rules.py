@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, small_side, written
 
 SYMBOLS = 0.05
 CAPITALS = 0.3
@@ -109,6 +109,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are not rejected; columns as they were. Rows that share a doc_id are judged each."""
+    key = F.xxhash64(docs["source"], docs["text"])
+    judged = verdicts(docs.select(F.struct(F.col("doc_id").alias("gone_id"), key.alias("gone_key")).alias("doc_id"), "source", "text"))
+    gone = written(judged.where("not keep").select("doc_id.gone_id", "doc_id.gone_key").distinct(), "rejected")
+    gone = small_side(gone, gone.count())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
+
+
 def oracle() -> str:
     """verdicts() over the documents table in DuckDB's SQL."""
     share = lambda a, b: f"(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END)"
