@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, blocks, mix64, word_hashes, word_spans, written
 
-LEAST, GRAM = 20, 8
+LEAST, GRAM = 12, 4
 HELD = 2_000_000
 _GONE = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[!/?a-z][^>]*>")
 _TOKEN = np.ones(256, bool)
