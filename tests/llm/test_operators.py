@@ -1,0 +1,350 @@
+"""The corpus operators against brute force, round trips and held-out accuracy, and their edge cases."""
+
+import json
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from wordloom.llm import boilerplate, bpe, decontaminate, language_id, near_dedup, pii, quality_classifier, quality_rules, token_counts, tool_calls
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and long texts, repeated rows, columns with names that operators use."""
+    long = " ".join(f"wort{i % 977} und" for i in range(60_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", None, "a", 3), (4, long, "de", "b", len(long)), (5, "a b c", "en", "a", 5), (5, "a b c", "en", "a", 5),
+        (None, "no id here at all, but mail me@example.org", "en", None, 1), (6, "ßÜ é 漢字 🙂 \x00 end", "de", "b", 1), (7, "x" * 20_000, "xx", "b", 1),
+    ]
+    return spark.createDataFrame(rows, DOCS).selectExpr("*", "'k' key", "1 rep", "2 host", "3 keep", "4 found", "5 kept_id", "6 digest", "7 h")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(df, *columns):
+    return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# 1: personal data
+
+
+def test_pii_finds_planted_entities():
+    weights, found, right, wrong = pii.train(), 0, 0, 0
+    for context, text, gold in pii.synthetic(300, seed=77):
+        got, want = set(pii.decode(text, context, weights)), set(gold)
+        found, right, wrong = found + len(want), right + len(got & want), wrong + len(got - want)
+    assert right / found > 0.9 and wrong / found < 0.1
+
+
+def test_pii_decoding_is_the_best_labelling():
+    weights = pii.train()
+    for context, text, _ in pii.synthetic(60, seed=5):
+        at, found = pii.spans(text, context)
+        if len(found) > 40:
+            continue
+        options = [(i, j, float((weights @ np.array(f)).max())) for i, j, f in found]
+        best = {0: 0.0}
+        for q in range(1, len(at)):  # every labelling by exhaustion of the last span
+            best[q] = max([best[q - 1], *(best[i] + s for i, j, s in options if j == q)])
+        scores = {(at[i], at[j]): s for i, j, s in options}
+        assert sum(scores[a, b] for a, b, _ in pii.decode(text, context, weights)) == pytest.approx(best[len(at) - 1])
+
+
+def test_pii_rows(odd, empty):
+    got = pii.redact(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].text is None and rows[2].text == "" and rows[None].text == "no id here at all, but mail [EMAIL]"
+    assert rows[5].text == "a b c" and pii.redacted(empty).count() == 0
+
+
+# 2: benchmark decontamination
+
+
+def test_decontamination_recall_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(words) for _ in range(rng.choice((12, 20, 33)))] for _ in range(12)]
+    texts = []
+    for k in range(150):
+        item = list(items[k % 12])
+        for _ in range(rng.randint(0, max(1, len(item) // 6))):
+            at = rng.randrange(len(item))
+            item[at : at + rng.choice((0, 1))] = [rng.choice(words)] * rng.choice((0, 1))
+        texts.append([rng.choice(words) for _ in range(30)] + item + [rng.choice(words) for _ in range(30)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            n = len(item)
+            a = np.array([t[x : x + n] for x in range(len(t) - n + 1)])
+            codes = {w: k for k, w in enumerate(words)}
+            a = np.vectorize(codes.get)(a)
+            b = np.tile([codes[w] for w in item], (len(a), 1))
+            if decontaminate.edit_distance(a, b).min() <= int(decontaminate.MAX_EDITS * n):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 50
+
+
+def test_decontamination_edges(spark, odd, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    one = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (None, "a"), (4, "a b c")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, one).collect()) == [(5, 1), (5, 4)]
+    assert decontaminate.contaminated(odd, none).count() == 0 and decontaminate.contaminated(empty, one).count() == 0
+    left = decontaminate.drop_contaminated(odd, one)
+    assert left.columns == odd.columns and left.count() == odd.count() - 2
+
+
+# 3: quality rules (verdicts are held against SQL by the driver)
+
+
+def test_quality_rules(odd, empty):
+    rows = [r for r in quality_rules.verdicts(odd).collect()]
+    assert len(rows) == odd.count()
+    keep = {r.doc_id: r.keep for r in rows}
+    assert not keep[1] and not keep[2] and not keep[3] and keep[5] and keep[None]
+    left = quality_rules.accepted(odd)
+    assert left.columns == odd.columns and sorted(r.doc_id or -1 for r in left.collect()) == sorted(r.doc_id or -1 for r in rows if r.keep)
+    assert quality_rules.verdicts(empty).count() == 0 == quality_rules.accepted(empty).count()
+
+
+def test_quality_rates_shrink(spark):
+    rows = [(i, "word " * 12 if i < 5 else "one two three", "", f"h{i % 3}", 1) for i in range(30)]
+    rates = {r.host: r.rate_word_repeats for r in quality_rules.host_rates(quality_rules.failures(spark.createDataFrame(rows, DOCS))).collect()}
+    assert all(0 < x < 1 for x in rates.values()) and rates["h0"] > rates["h2"]
+
+
+# 4: HTML extraction
+
+
+def _pages():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    common = [[word() for _ in range(n)] for n in (11, 12, 30)]
+    rows = []
+    for i in range(40):
+        body = [word() for _ in range(25)]
+        for k, c in enumerate(common):
+            if i % (k + 2) == 0:
+                at = rng.randrange(len(body))
+                body[at:at] = c
+        rows.append((i, f"http://h{i % 3}.org/{i}", "<html><script>var x='</p>'</script><p>" + " ".join(body).replace(" ", "</p>\n<p>", 3) + " &amp;&lt;</p><!-- c --></html>"))
+    return rows
+
+
+@pytest.mark.parametrize("held", [boilerplate.HELD, 0])
+def test_extraction_against_brute_force(spark, held):
+    rows, n = _pages(), boilerplate.LEAST
+    rows += [(0, *rows[0][1:]), (None, *rows[1][1:]), (100, None, rows[2][2]), (101, "not a url", None), (102, "http://h0.org/", "")]
+    where, tokens = defaultdict(set), {}
+    host = lambda u: (re.match(r"\w+://([^/]+)", u or "") or ["", ""])[1]
+    for p, u, h in rows:
+        tokens[p, u] = t = boilerplate.visible(h or "").split()
+        for i in range(len(t) - n + 1):
+            if p is not None:
+                where[host(u), tuple(t[i : i + n])].add(p)
+    want = []
+    for p, u, h in rows:
+        t = tokens[p, u]
+        gone = [False] * len(t)
+        for i in range(len(t) - n + 1):
+            if p is not None and len(where[host(u), tuple(t[i : i + n])]) > 1:
+                gone[i : i + n] = [True] * n
+        want.append((p, None if h is None else " ".join(x for x, g in zip(t, gone) if not g), sum(gone)))
+    got = [(r.page_id, r.text and r.text.replace("\n", " ") if r.text is not None else None, r.n_removed) for r in boilerplate.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), held).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] > 0 for x in want) > 10
+
+
+def test_extraction_of_nothing(spark):
+    assert boilerplate.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# 5: quality classifier
+
+
+def test_network_sees_every_window():
+    net = quality_classifier.train([b"good text"] * 4 + [b"bad!! text"] * 4, [1] * 4 + [0] * 4, epochs=1)
+    data = np.random.default_rng(0).integers(0, 256, 3 * quality_classifier.CHUNK + 17).astype(np.uint8)
+    z, _ = quality_classifier.pooled(net, data)
+    w = quality_classifier.WIDTH
+    direct = np.stack([net.table[data[i : i + w]].ravel() for i in range(len(data) - w + 1)]) @ net.filters
+    assert np.allclose(z.max(axis=0), direct.max(axis=0) + net.shift, atol=1e-4)
+
+
+def test_classifier_on_held_out_rows(spark):
+    rng = random.Random(1)
+    words = ["and", "the", "tion", "ing", "er", "ou"]
+    def text(good):
+        out = ["".join(rng.choice(words) for _ in range(2)) for _ in range(60)]
+        return " ".join(out if good else [*out[:30], *("BUY!!", "loser"), *out[30:]])
+    rows = [(i, text(i % 2 == 0), i % 2 == 0) for i in range(300)]
+    net = quality_classifier.train([t.encode() for _, t, _ in rows[:200]], [int(g) for _, _, g in rows[:200]])
+    p = by_id(quality_classifier.scored(spark.createDataFrame(rows[200:], "doc_id long, text string, g boolean"), net), "keep")
+    assert np.mean([p[i][0] == g for i, _, g in rows[200:]]) > 0.95
+
+
+def test_classifier_edges(spark, odd, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    net = quality_classifier.fitted(odd, labels)
+    p = by_id(quality_classifier.scored(odd, net), "probability")
+    assert p[1] == p[2] == (0.0,) and p[5] == (0.5,) and quality_classifier.scored(empty, net).count() == 0
+    one = quality_classifier.fitted(odd, spark.createDataFrame([(5, 1, 0), (5, 1, 0), (None, 1, 0), (6, None, None)], labels.schema))
+    assert by_id(quality_classifier.scored(odd, one), "probability")[5][0] > 0.9
+
+
+# 6: language
+
+
+def test_language_accuracy(docs):
+    model = language_id.fitted(docs)
+    got = by_id(language_id.identified(docs, model), "language", "probability")
+    want = by_id(docs, "lang", "text")
+    right = [got[k][0] == v[0] for k, v in want.items() if v[1]]
+    assert np.mean(right) > 0.93 and model.temperature > 0 and (model.weights == 0).mean() > 0.3
+
+
+def test_document_frequencies_are_of_all_documents(docs):
+    texts = [r.text.lower() for r in docs.collect() if r.text]
+    df = sum((np.bincount(language_id.gram_counts(t)[0], minlength=language_id.BUCKETS) for t in texts), np.zeros(language_id.BUCKETS, int))
+    assert np.allclose(language_id.inverse_frequencies(docs), np.log((1 + len(texts)) / (1 + df)) + 1)
+
+
+def test_language_edges(spark, odd, empty):
+    model = language_id.fitted(odd)
+    got = by_id(language_id.identified(odd, model), "language", "probability")
+    assert got[1] == got[2] == (None, 0.0) and got[4][0] in model.languages
+    assert language_id.identified(odd, language_id.fitted(empty)).where("language is not null").count() == 0
+    assert language_id.identified(empty, model).count() == 0
+
+
+# 7: tool calls (plain chat is held against SQL by the driver)
+
+
+def test_tool_calls(spark):
+    call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments", "depends_on"), c)) for c in calls]})
+    rows = [
+        (1, 0, "user", "hello"),
+        (1, 1, "assistant", call(("b", "search", '{"query":"x"}', ["a"]), ("a", "calculate", '{"precision":2,"expression":"1+1"}', []), ("c", "search", '{"q":1}', []), ("d", "fly", "{}", []), ("a", "search", '{"query":"z"}', []))),
+        (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "2"})), (1, 3, "tool", json.dumps({"tool_call_id": "a", "content": "3"})),
+        (1, 4, "tool", json.dumps({"tool_call_id": "zz", "content": "?"})), (1, 5, "assistant", "bye \"é\""),
+        (1, 5, "assistant", "bye \"é\""), (2, 0, "assistant", call(("p", "search", '{"query":"x"}', ["q"]), ("q", "search", "not json", ["p"]))),
+        (3, 0, "assistant", None), (4, None, None, None), (None, 1, "user", "lost"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 id", "2 name", "3 calls")
+    got = {r.conv_id: r for r in tool_calls.linked(turns).collect()}
+    assert set(got) == {1, 2}
+    calls = json.loads(got[1].chat)["calls"]
+    assert [(c["id"], c["status"], c["result"]) for c in calls] == [("0", "linked", 'bye "é"'), ("a", "linked", "2"), ("b", "unanswered", None), ("c", "invalid", None), ("d", "unknown", None), ("a", "duplicate", None)]
+    assert (got[1].n_calls, got[1].n_linked, got[1].n_invalid) == (6, 2, 2) and got[2].n_cyclic == 2
+    assert got[1].chat == tool_calls.canonical(json.loads(got[1].chat)) and calls[1]["arguments"] == {"expression": "1+1", "precision": 2}
+    assert [(r.conv_id, r.id) for r in tool_calls.orphans(turns).collect()] == [(1, "zz")]
+    assert tool_calls.linked(turns.limit(0)).count() == 0
+
+
+def test_schema():
+    s = tool_calls.SCHEMAS["calculate"]
+    assert tool_calls.valid({"expression": "1", "precision": 3}, s)
+    for bad in ({}, {"expression": ""}, {"expression": "1", "precision": True}, {"expression": "1", "precision": 31}, {"expression": "1", "x": 1}, "1", None):
+        assert not tool_calls.valid(bad, s)
+
+
+# 8: near duplicates
+
+
+def test_covering_masks_meet_every_pair_within_the_radius():
+    rng = np.random.default_rng(1)
+    masks = [a << 64 | b for a, b in near_dedup.masks()]
+    for _ in range(3000):
+        flips = sum(1 << int(i) for i in rng.choice(128, near_dedup.RADIUS, replace=False))
+        assert any(not flips & m for m in masks)
+
+
+def test_near_duplicates_are_the_components(docs):
+    sigs = {r.doc_id: (r.hi & (1 << 64) - 1) << 64 | r.lo & (1 << 64) - 1 for r in near_dedup.signatures(docs).where("n_words > 0").collect()}
+    ids, root = sorted(sigs), {i: i for i in sigs}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (sigs[a] ^ sigs[b]).bit_count() <= near_dedup.RADIUS:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert by_id(near_dedup.near_duplicates(docs), "kept_id") == {i: (find(i),) for i in ids if find(i) != i}
+
+
+def test_near_duplicate_edges(odd, empty):
+    left = near_dedup.drop_near_duplicates(odd)
+    assert left.columns == odd.columns and Counter(r.doc_id for r in left.collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 1, 6: 1, 7: 1}
+    assert near_dedup.near_duplicates(empty).count() == 0 == near_dedup.drop_near_duplicates(empty).count()
+
+
+# 9: token counts
+
+
+def _encoding():
+    return tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.vocabulary(), special_tokens={})
+
+
+def test_token_counts_and_their_cache(spark, docs, odd, empty):
+    path, whole = token_counts.new_cache(spark), _encoding()
+    want = {r.doc_id: (len(whole.encode_ordinary(r.text.replace("\r\n", "\n").replace("\r", "\n").rstrip(" \t\n"))),) for r in docs.collect() if r.text is not None}
+    first = by_id(token_counts.counted(docs, path), "n_tokens")
+    assert {k: v for k, v in first.items() if v[0] is not None} == want
+    stored = spark.read.parquet(path).count()
+    assert by_id(token_counts.counted(docs, path), "n_tokens") == first and spark.read.parquet(path).count() == stored
+    rows = token_counts.counted(odd, path).collect()
+    got = {r.doc_id: r.n_tokens for r in rows}
+    assert len(rows) == odd.count() and got[1] is None and got[2] == got[3] == 0 and got[None] > 5
+    assert token_counts.counted(empty, path).count() == 0
+
+
+# 10: BPE
+
+
+def test_bpe_is_the_public_encoding_and_round_trips(docs, odd, empty):
+    whole = _encoding()
+    for table in (docs, odd):
+        texts = Counter((r.doc_id, r.text) for r in table.collect())
+        rows = bpe.round_trip(table).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == texts
+        want = Counter((i, None if t is None else tuple(whole.encode_ordinary(t))) for i, t in texts.elements())
+        assert Counter((r.doc_id, None if r.token_ids is None else tuple(r.token_ids)) for r in rows) == want
+    assert bpe.encoded(empty).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, docs, odd, tmp_path):
+    before = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, before, SF)
+        assert k == len(corpus_pipeline.STAGES) - 1 or after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert after.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
+        before = after
+    assert by_id(before, "n_tokens") == by_id(corpus_pipeline.run(spark, SF), "n_tokens")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, odd, SF).count()
+        stage(spark, odd.limit(0), SF).count()

@@ -98,7 +98,7 @@ def train(texts: list[bytes], good: list[int], seed: int = 3, epochs: int = EPOC
     net = Network(rng.normal(0, 0.5, (256, DEPTH)).astype(f32), rng.normal(0, 0.4, (WIDTH * DEPTH, FILTERS)).astype(f32), np.zeros(FILTERS, f32), rng.normal(0, 0.1, 2 * FILTERS).astype(f32), 0.0)
     y = np.array(good, f32)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if len(set(good)) < 2:
         net.weights[:] = 0
         net.bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return net
