@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 #: Bytes of text handled at once inside one Arrow batch.
 BLOCK_BYTES = 1 << 20
 #: Rows a side may have at most to be broadcast; above it Spark shuffles both sides.
@@ -27,28 +25,6 @@ _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
-_local_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="wordloom-"))
-        atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
-    return f"file://{_local_dir[0]}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side of so many narrow rows, if that is few enough."""
