@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.shared import written
 
 
 def _units(x) -> np.ndarray:
@@ -80,6 +81,7 @@ def decomposition(coo: DataFrame, k: int = 16, rounds: int = 4, extra: int = 8)
     """
     width = k + extra
     gaussian = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.col("column"), j, F.lit(1)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1))) * F.cos(2 * F.pi() * F.pmod(F.xxhash64(F.col("column"), j, F.lit(2)), F.lit(1 << 30)) / float(1 << 30)))
+    coo = written(coo, "matrix")
     right = coo.select("column").distinct().select("column", gaussian.alias("y"))
 
     def times(m: DataFrame, on: str, to: str, y: DataFrame) -> DataFrame:
@@ -87,6 +89,7 @@ def decomposition(coo: DataFrame, k: int = 16, rounds: int = 4, extra: int = 8)
         return x.groupBy(to).agg(F.array(*(F.sum(F.col("val") * F.get("y", F.lit(i))) for i in range(width))).alias("y"))
 
     def orthonormal(y: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
+        y = written(y, "factor")
         g = y.agg(*(F.sum(F.get("y", F.lit(i)) * F.get("y", F.lit(j))).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width))).first()
         gram = np.zeros((width, width))
         for i in range(width):
@@ -103,9 +106,8 @@ def decomposition(coo: DataFrame, k: int = 16, rounds: int = 4, extra: int = 8)
 
     left, _ = orthonormal(times(coo, "column", "object", right), "object")
     for _ in range(rounds):
-        left = left.checkpoint() if left.sparkSession.conf.get("spark.checkpoint.dir", None) else left
         right, _ = orthonormal(times(coo, "object", "column", left), "column")
-        left, values = orthonormal(times(coo, "column", "object", right), "object")
+        left, _ = orthonormal(times(coo, "column", "object", right), "object")
     return left.select("object", F.posexplode(F.slice("y", 1, k)).alias("component", "val"))
 
 

@@ -16,10 +16,10 @@ from ..functions import vectors as V
 
 
 def gathered(store: DataFrame, terms: list) -> DataFrame:
-    """One row: vs, the vectors of the terms in their order; missing terms are left out."""
+    """One row: vs, the vectors of the terms in their order; missing terms are left out, and without any there is no row."""
     place = F.array_position(F.array(*(F.lit(t) for t in terms)), F.col("object"))
     found = store.where(F.col("object").isin(list(terms))).select(F.struct(place.alias("at"), "vec").alias("x"))
-    return found.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["vec"]).alias("vs"))
+    return found.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["vec"]).alias("vs")).where(F.size("vs") > 0)
 
 
 def total(vs: Column) -> Column:

@@ -22,8 +22,10 @@ def _step(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, label: np.
     """Rows a[i] and b[j] toward (label 1) or from (label 0) each other, from a snapshot."""
     x, y = a[i], b[j]
     e = (rate * (label - _sigmoid((x * y).sum(axis=1))))[:, None]
-    np.add.at(a, i, e * y)
-    np.add.at(b, j, e * x)
+    # a row that a batch holds often moves by the root of its count, or frequent words would run away
+    often = lambda k, n: np.sqrt(np.bincount(k, minlength=n))[k][:, None]
+    np.add.at(a, i, e * y / often(i, len(a)))
+    np.add.at(b, j, e * x / often(j, len(b)))
 
 
 def _train(examples: DataFrame, names: list, weight: np.ndarray, dimension: int, epochs: int, negatives: int, rate: float, batch: int, seed: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from ..functions import vectors as V
 
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified, text): one row for each file; names that begin with a dot are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
     return named.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
 
