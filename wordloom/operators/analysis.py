@@ -74,7 +74,7 @@ def pathfinder_full(names: list, distance: np.ndarray, q: int | None = None, r:
     return [(names[i], names[j], float(distance[i, j])) for i in range(n) for j in range(i + 1, n) if distance[i, j] <= best[i, j] + 1e-12]
 
 
-def decomposition(coo: DataFrame, k: int = 16, rounds: int = 4, extra: int = 8) -> DataFrame:
+def decomposition(coo: DataFrame, k: int = 16, rounds: int = 2, extra: int = 8) -> DataFrame:
     """(object, component, val): the left singular vectors of the sparse matrix (object, column, val), by randomised subspace iteration.
 
     What comes to the driver are matrices of k + extra rows and columns, at any size.
@@ -90,11 +90,17 @@ def decomposition(coo: DataFrame, k: int = 16, rounds: int = 4, extra: int = 8)
 
     def orthonormal(y: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
         y = written(y, "factor")
-        g = y.agg(*(F.sum(F.get("y", F.lit(i)) * F.get("y", F.lit(j))).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width))).first()
+        def products(batches):
+            g = np.zeros((width, width))
+            for pdf in batches:
+                m = np.stack(pdf.y.to_list())
+                g += m.T @ m
+            yield pd.DataFrame({"i": range(width), "g": list(g)})
+
+        sums = F.array(*(F.sum(F.get("g", F.lit(j))) for j in range(width)))
         gram = np.zeros((width, width))
-        for i in range(width):
-            for j in range(i, width):
-                gram[i, j] = gram[j, i] = g[f"g{i}_{j}"] or 0.0
+        for r in y.select("y").mapInPandas(products, "i int, g array<double>").groupBy("i").agg(sums.alias("g")).collect():
+            gram[r.i] = r.g
         values, vectors = np.linalg.eigh(gram)
         order = values.argsort()[::-1]
         values, vectors = np.maximum(values[order], 0), vectors[:, order]

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from . import corpus
 
 
@@ -139,3 +140,20 @@ def corpus_space(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Postings and vocabulary of a corpus."""
     tf = corpus.postings(docs)
     return tf, corpus.vocabulary(tf, least, min_length=2)
+
+
+def letters(vocabulary: DataFrame, space: Space) -> DataFrame:
+    """C(c) sums the elemental vectors of the letters beside c, over all occurrences of the vocabulary's terms."""
+    n = F.length("term")
+    at = vocabulary.where(n > 1).select("term", "gf", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
+    one, two = F.substr("term", F.col("i"), F.lit(1)), F.substr("term", F.col("i") + 1, F.lit(1))
+    both = at.select("gf", F.explode(F.array(F.struct(one.alias("object"), two.alias("other")), F.struct(two.alias("object"), one.alias("other")))).alias("p"))
+    counted = both.groupBy("p.object", "p.other").agg(F.sum("gf").alias("n"))
+    return summed(elemental(counted, F.col("other"), space), F.col("n") * F.col("sign"))
+
+
+def number_line(spark: SparkSession, ends: DataFrame, first: int, last: int) -> DataFrame:
+    """(object, vec) of the numbers first to last between two end vectors: vs, of one row."""
+    low, high = F.get("vs", F.lit(0)), F.get("vs", F.lit(1))
+    line = F.zip_with(low, high, lambda x, y: x * (last - F.col("object")) + y * (F.col("object") - first))
+    return spark.range(first, last + 1).withColumnRenamed("id", "object").crossJoin(F.broadcast(ends)).select("object", V.normalise(line).alias("vec"))

@@ -318,6 +318,36 @@ def tagged_page_vectors(spark, d):
     return coo(models.normalised(models.summed(turned, F.col("sign"))))
 
 
+def _coo_search(spark_coo: DataFrame, key: str) -> DataFrame:
+    """The objects nearest to one object of a normalised long-form model."""
+    q = spark_coo.where(F.col("object").cast("string") == key).select("dim", F.col("val").alias("q"))
+    hits = spark_coo.join(F.broadcast(q), "dim").groupBy("object").agg(F.round(F.sum(F.col("val") * F.col("q")), 6).alias("score"))
+    return search.best(hits)
+
+
+@query(f"WITH {S.DOCS}, q AS (SELECT dim, val AS q FROM docs_ WHERE object = 7) SELECT object, round(sum(val * q), 6) AS score FROM docs_ JOIN q USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20")
+def ri_document_search(spark, d):
+    return _coo_search(document_vectors(spark, d), "7")
+
+
+@query(ORACLES["table_row_vectors"].split(" SELECT object, dim, round(val, 5)")[0] + ", q AS (SELECT dim, val AS q FROM p WHERE object = '7') SELECT object, round(sum(val * q), 6) AS score FROM p JOIN q USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20")
+def table_row_search(spark, d):
+    m = models.table_rows(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"], SPACE)
+    return _coo_search(models.normalised(m), "7")
+
+
+@query(f"""WITH {S.VOCAB}, c AS (SELECT substr(term, i, 1) AS object, substr(term, i + o, 1) AS other, sum(gf) AS n FROM vocab, range(1, 100) r(i), (VALUES (-1), (1)) s(o) WHERE i <= length(term) AND i + o BETWEEN 1 AND length(term) GROUP BY 1, 2),
+  raw2 AS (SELECT object, {S.dim('other')} AS dim, CAST(sum(n * {S.SIGN}) AS DOUBLE) AS val FROM c, {S.KS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 6) + 0.0 AS val FROM p""")
+def letter_vectors(spark, d):
+    return coo(models.normalised(models.letters(space(spark, d)[1], SPACE)))
+
+
+@query(f"WITH {S.STORE}, ends AS (SELECT {{0}} AS l, {{1}} AS r) SELECT CAST(n AS BIGINT) AS object, CAST(i AS INTEGER) AS i, round((l[i + 1] * (10 - n) + r[i + 1] * n) / sqrt(list_sum(list_transform(range({S.WIDTH}), lambda j: pow(l[j + 1] * (10 - n) + r[j + 1] * n, 2)))), 6) + 0.0 AS val FROM ends, range(0, 11) a(n), range({S.WIDTH}) b(i)".replace("{0}", "(SELECT vec FROM s WHERE object = 1)").replace("{1}", "(SELECT vec FROM s WHERE object = 2)"))
+def number_vectors(spark, d):
+    ends = search.gathered(store(spark, d), [1, 2])
+    return entries(models.number_line(spark, ends, 0, 10), F.col("vec"))
+
+
 # the algebra over pairs of stored vectors
 
 P = f"WITH {S.STORE}, p AS (SELECT x.object, x.vec AS a, y.vec AS b FROM s x JOIN s y ON y.object = x.object + 1)"
@@ -401,6 +431,10 @@ _search("search_bound_product", lambda s: search.search_bound(s, 1, 2), f"q AS (
 _search("search_balanced_permutation", lambda s: search.search_balanced(s, s, 1), f"q AS (SELECT {_each(f'a[((i - 1 + {S.WIDTH}) % {S.WIDTH}) + 1]')} AS q, {_each(f'a[((i + 1) % {S.WIDTH}) + 1]')} AS r FROM (SELECT {_v(1)} AS a))", f"greatest({_cos('q')}, {_cos('r')})")
 
 
+_off = lambda t, e: f"list_cosine_similarity({_each(f'vec[((i + 1) % {S.WIDTH}) + 1] - {t}[((i + 2) % {S.WIDTH}) + 1]')}, {e})"
+_search("search_proximity", lambda s: search.search_proximity(s, [1, 2, 3], (4, 5)), f"q AS (SELECT {_v(1)} AS a, {_v(2)} AS b, {_v(3)} AS c, {_v(4)} AS e, {_v(5)} AS f)", f"sqrt(pow({_off('a', 'e')} - {_off('b', 'e')}, 2) + pow({_off('a', 'f')} - {_off('b', 'f')}, 2)) + sqrt(pow({_off('b', 'e')} - {_off('c', 'e')}, 2) + pow({_off('b', 'f')} - {_off('c', 'f')}, 2))")
+
+
 @query(f"WITH {S.STORE}, q AS (SELECT {_v(1)} AS q), h AS (SELECT object, round(list_cosine_similarity(vec, q), 6) AS score FROM s, q) SELECT object, round(round((score - avg(score) OVER ()) / stddev_pop(score) OVER (), 6), 3) + 0.0 AS score FROM h")
 def search_standardised(spark, d):
     s = store(spark, d)
