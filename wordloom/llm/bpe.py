@@ -118,7 +118,8 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+    """body of a value worked out once: an empty fold's last step. Unlike an array's only element, it asks no type of body while it runs."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 class Encoder:
@@ -130,20 +131,26 @@ class Encoder:
         self.table, self.shift = _literal(table, "bigint"), _literal(shift, "bigint")
         self.byte = _literal([ranks[bytes([b])] for b in range(256)], "bigint")
         pieces = dict((v, k) for k, v in ranks.items())
-        self.pieces = _literal([pieces.get(i, b"").hex() for i in range(max(pieces) + 1)], "string")
+        # a byte is a character of ISO-8859-1; the separator is none of them
+        self.pieces = F.split(F.lit("\u0100".join(pieces.get(i, b"").decode("latin-1") for i in range(max(pieces) + 1))), "\u0100")
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The merged id of a pair; NO_RANK or more without one."""
-        return F.least(self.table[self.shift[a] + b].bitwiseXOR(F.shiftleft(a, 16)), F.lit(NO_RANK).cast("bigint"))
+    def fold_all(self, words: Column) -> Column:
+        """The ids of each word; the tables are bound once, so that the plan holds one copy of each."""
+        empty = F.array().cast("array<int>")
+        return _let(self.table, lambda t: _let(self.shift, lambda s: _let(self.byte, lambda b: F.transform(words, lambda w: F.when(w == "", empty).otherwise(self.fold(w, t, s, b))))))
 
-    def fold(self, word: Column) -> Column:
+    def fold(self, word: Column, table: Column, shift: Column, byte: Column) -> Column:
         """The ids of one word."""
-        ids = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: self.byte[F.ascii(c)])
+        def rank(a: Column, b: Column) -> Column:
+            """The merged id of a pair; NO_RANK or more without one."""
+            return F.least(table[shift[a] + b].bitwiseXOR(F.shiftleft(a, 16)), F.lit(NO_RANK).cast("bigint"))
+
+        ids = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: byte[F.ascii(c)])
         edge = F.lit(EDGE).cast("bigint")
         high, low = F.lit(NO_RANK << 40), (1 << 40) - 1
 
         def start(s: Column) -> Column:
-            return F.transform(F.slice(s, 1, F.size(s) - 1), lambda a, i: F.shiftleft(self.rank(a, s[i + 1]), 40) + F.shiftleft(i.cast("bigint"), 16) + a)
+            return F.transform(F.slice(s, 1, F.size(s) - 1), lambda a, i: F.shiftleft(rank(a, s[i + 1]), 40) + F.shiftleft(i.cast("bigint"), 16) + a)
 
         def step(e: Column, _: Column) -> Column:
             return _let(F.array_min(e), lambda m: F.when(m >= high, e).otherwise(_let(F.array_position(e, m).cast("int"), lambda p: merged(e, m, p))))
@@ -152,9 +159,9 @@ class Encoder:
             # the edges see to it that there is a piece on either side
             new = F.shiftright(m, 40)
             left = e[p - 2]
-            left = F.shiftleft(self.rank(left.bitwiseAND(65535), new), 40).bitwiseOR(left.bitwiseAND(low))
-            whole = F.shiftleft(self.rank(new, e[p + 1].bitwiseAND(65535)), 40).bitwiseOR(m.bitwiseAND(low - 65535)).bitwiseOR(new)
-            return F.transform(F.filter(e, lambda x, i: i != p), lambda x, i: F.when(x == m, whole).when(i == p - 2, left).otherwise(x))
+            left = F.shiftleft(rank(left.bitwiseAND(65535), new), 40).bitwiseOR(left.bitwiseAND(low))
+            whole = F.shiftleft(rank(new, e[p + 1].bitwiseAND(65535)), 40).bitwiseOR(m.bitwiseAND(low - 65535)).bitwiseOR(new)
+            return F.concat(F.slice(e, 1, p - 2), F.array(left, whole), F.slice(e, p + 2, F.size(e)))
 
         ends = F.concat(F.array(edge), ids, F.array(edge, edge))
         return _let(
@@ -164,7 +171,7 @@ class Encoder:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of a row of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: self.pieces[i]), ""))
+        return F.encode(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: pieces[i]), "")), "ISO-8859-1")
 
 
 def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +253,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids, n_tokens) of every row of docs."""
     encoder = Encoder(path)
     slabs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_slabs, SLAB)
-    ids = F.transform("words", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(encoder.fold(w)))
+    ids = encoder.fold_all(F.col("words"))
     return slabs.select("ids", "valid", "sizes", "codes", "long_words", ids.alias("encoded")).mapInArrow(_put_together(path), ENCODED)
 
 
