@@ -298,6 +298,20 @@ def test_near_duplicate_edges(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 == near_dedup.drop_near_duplicates(empty).count()
 
 
+def test_unrelated_long_documents_are_no_near_duplicates(spark):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join([*rng.choices(common, range(60, 0, -1), k=n), *(f"own{n}x{i}" for i in range(n // 10))]) for n in (600, 2000, 6000, 18000)]
+    copy = texts[2].split()
+    copy[100:110] = [f"edit{i}" for i in range(10)]
+    texts += [" ".join(copy), "five words of a text", "five words of a text " * 3, "Text of a five words!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = {r.doc_id: (r.hi & (1 << 64) - 1) << 64 | r.lo & (1 << 64) - 1 for r in near_dedup.signatures(rows).collect()}
+    close = [(a, b) for a in range(4) for b in range(a) if (sigs[a] ^ sigs[b]).bit_count() <= near_dedup.RADIUS]
+    assert len(close) >= 3 and sigs[5] == sigs[6]
+    assert by_id(near_dedup.near_duplicates(rows), "kept_id") == {4: (2,), 7: (5,)}
+
+
 # 9: token counts
 
 

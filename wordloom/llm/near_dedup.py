@@ -10,6 +10,10 @@ keeps the positions whose vector has an odd product with v, and fewer than
 r + 1 vectors always have a common v orthogonal to them all. So every pair
 within the radius meets in some table; nothing within the radius is missed.
 
+Such a pair is only a candidate: long texts of one language share their frequent
+words and with them most bits. It becomes an edge if the texts share at least
+`SHARED` of their words, counted with repeats (Jaccard of the multisets).
+
 Defined cases: documents without a word (null, empty, punctuation alone) are in
 no group. Documents of equal words and counts are always in one group. Rows
 that repeat a doc_id count as one document; rows without a doc_id are left out.
@@ -19,6 +23,7 @@ Of a group, the smallest doc_id stays. An empty table has no groups.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,16 @@ from .common import U64, blocks, lowered, mix64, small_side, word_hashes, word_s
 BITS = 128
 #: Widths of the signature's parts and the radius that each part covers.
 PARTS = ((43, 5), (43, 5), (42, 4))
-#: Pairs that differ in at most so many bits are near duplicates (4 + 5 + 5 + 2).
+#: Pairs that differ in at most so many bits are candidates (4 + 5 + 5 + 2).
 RADIUS = sum(r for _, r in PARTS) + len(PARTS) - 1
+#: Least share of common words of a near duplicate.
+SHARED = 0.5
 #: Members compared at once in a crowded bucket.
 TILE = 2048
+#: Pairs of texts compared at once.
+TEXTS = 256
 
-SIGNATURE = "doc_id long, hi long, lo long, n_words long"
+SIGNATURE = "doc_id long, hi long, lo long, digest long, n_words long"
 
 
 def masks(seed: int = 7) -> list[tuple[int, int]]:
@@ -67,8 +76,8 @@ def _vote(hashes: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int) ->
     return words[:, 0], words[:, 1]
 
 
-def signature_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hi, lo, words) of each row of lower-cased text."""
+def signature_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, words, digest of the words and their counts) of each row of lower-cased text."""
     n = len(offsets) - 1
     first, last, rows = word_spans(data, offsets)
     h = word_hashes(data, first, last)
@@ -77,23 +86,52 @@ def signature_block(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, int)
     tf = np.diff(np.r_[new, len(h)])
     hi, lo = _vote(h[new], (tf**0.7).astype(np.float32), r[new], n)
-    return hi, lo, np.bincount(rows, minlength=n)
+    digest = np.zeros(n, U64)
+    np.add.at(digest, r[new], mix64(h[new] ^ mix64(tf.astype(U64))))
+    return hi, lo, np.bincount(rows, minlength=n), digest
+
+
+def bags(column: pa.Array) -> list[np.ndarray]:
+    """Each row's words as sorted 64-bit numbers, a repeat of a word having one of its own."""
+    out = []
+    for row, end, data, offsets in blocks(lowered(column)):
+        first, last, rows = word_spans(data, offsets)
+        h = word_hashes(data, first, last)
+        order = np.lexsort((h, rows))
+        h, r = h[order], rows[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])] if len(h) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        nth = np.arange(len(h)) - np.repeat(begin, np.diff(np.r_[begin, len(h)]))
+        h = mix64(h + U64(0x9E3779B97F4A7C15) * nth.astype(U64))
+        out += [np.sort(x) for x in np.split(h, np.searchsorted(r, np.arange(1, end - row)))]
+    return out
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, offsets in blocks(lowered(batch.column(1))):
-            hi, lo, words = signature_block(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(words)], names=["doc_id", "hi", "lo", "n_words"])
+            hi, lo, words, digest = signature_block(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[row:end], *(pa.array(x.view(np.int64)) for x in (hi, lo, digest)), pa.array(words)], names=["doc_id", "hi", "lo", "digest", "n_words"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(_signatures, SIGNATURE)
 
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hi masks, lo masks, salts)."""
+    found = masks()
+    return np.array([a for a, _ in found], U64), np.array([b for _, b in found], U64), np.arange(len(found), dtype=U64) * U64(0x9E3779B97F4A7C15)
+
+
+def _key(hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return mix64(mix64((hi & a) + salt) ^ (lo & b))
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every signature and table, the masked signature."""
-    tables = [(U64(a), U64(b), U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k, (a, b) in enumerate(masks())]
+    tables = list(zip(*_tables()))
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -101,49 +139,44 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi, lo = (np.asarray(part.column(k)).view(U64) for k in (1, 2))
             key = np.empty((len(tables), n), U64)
             for k, (a, b, salt) in enumerate(tables):
-                key[k] = mix64(mix64((hi & a) + salt) ^ (lo & b))
+                key[k] = _key(hi, lo, a, b, salt)
             rest = [pa.array(np.tile(np.asarray(part.column(k)), len(tables))) for k in (0, 1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *rest], names=["key", "rep", "hi", "lo"])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (root, member), root the least id, of the components of the graph a-b."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(jump := new[new], new):
-            new = jump
-        if (new == label).all():
-            break
-        label = new
-    member = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[member]], ids[member]
-
-
 def _close(hi: np.ndarray, lo: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(hi[i] ^ hi[j]).astype(np.int64) + np.bitwise_count(lo[i] ^ lo[j]) <= RADIUS
 
 
-def bucket_edges(key: np.ndarray, rep: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of all verified pairs that share a key."""
+def _first(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the key is that of the first table in which the pair meets."""
+    x, y = hi[i] ^ hi[j], lo[i] ^ lo[j]
+    a, b, salt = _tables()
+    table = np.zeros(len(i), np.int64)
+    for k in range(len(a) - 1, -1, -1):
+        table[((x & a[k]) | (y & b[k])) == 0] = k
+    return _key(hi[i], lo[i], a[table], b[table], salt[table]) == key[i]
+
+
+def bucket_pairs(key: np.ndarray, rep: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius that share a key, each in one of its tables only."""
     order = np.argsort(key, kind="stable")
     key, rep, hi, lo = key[order], rep[order], hi[order], lo[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     small = np.repeat(sizes <= 32, sizes)
-    left, right = [], []
+
+    def named(i, j):
+        keep = _first(key, hi, lo, i, j)
+        a, b = rep[i[keep]], rep[j[keep]]
+        return np.minimum(a, b), np.maximum(a, b)
+
     for step in range(1, 32):
         i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
         if not len(i):
             break
         i = i[_close(hi, lo, i, i + step)]
-        left.append(rep[i])
-        right.append(rep[i + step])
+        yield named(i, i + step)
     for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
         for x in range(s, s + n, TILE):
             i = np.arange(x, min(x + TILE, s + n))
@@ -152,21 +185,67 @@ def bucket_edges(key: np.ndarray, rep: np.ndarray, hi: np.ndarray, lo: np.ndarra
                 d = np.bitwise_count(hi[i][:, None] ^ hi[j]) + np.bitwise_count(lo[i][:, None] ^ lo[j])
                 p, q = np.nonzero(d <= RADIUS)
                 keep = i[p] < j[q]
-                p, q = forest(i[p[keep]], j[q[keep]])
-                left.append(rep[p])
-                right.append(rep[q])
-    if not left or not sum(map(len, left)):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return forest(np.concatenate(left), np.concatenate(right))
+                yield named(i[p[keep]], j[q[keep]])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if held:
         table = pa.Table.from_batches(held)
         key, rep, hi, lo = (table.column(k).to_numpy() for k in range(4))
-        a, b = bucket_edges(key, rep, hi.view(U64), lo.view(U64))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for a, b in bucket_pairs(key.view(U64), rep, hi.view(U64), lo.view(U64)):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (doc_id, text, digest) whose text has that digest."""
+    for batch in batches:
+        for row, end, data, offsets in blocks(lowered(batch.column(1))):
+            *_, digest = signature_block(data, offsets)
+            part = batch.slice(row, end - row)
+            yield part.filter(pa.array(np.asarray(part.column(2)) == digest.view(np.int64))).select([0, 1])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, texts of both) whose texts share enough words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            keep = []
+            for x, y in zip(bags(part.column(2)), bags(part.column(3))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SHARED * (len(x) + len(y) - both))
+            yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+
+def alike(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `reps` (rep, digest) whose texts are near duplicates."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = written(ids.join(reps, "rep").select(F.col("rep").alias("doc_id"), F.col("digest").alias("wanted")), "wanted")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small_side(wanted, wanted.count()), "doc_id")
+    texts = rows.select("doc_id", "text", "wanted").mapInArrow(_chosen, "doc_id long, text string").dropDuplicates(["doc_id"])
+    left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_alike, "a long, b long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are near duplicates and connect all that the near duplicates among `pairs` connect.
+
+    First every member meets its least partner; of the other pairs only those are left
+    whose members this has not connected. Texts of very unequal length cannot share enough.
+    """
+    a, b = (reps.select(F.col("rep").alias(x), F.col("n_words").alias(f"n_{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= SHARED * F.greatest("n_a", "n_b"))
+    near = written(near.select("a", "b"), "pairs")
+    first = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    found = written(alike(docs, first, reps), "alike")
+    roots = components(found)
+    a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = written(near.join(first, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b"), "rest")
+    return found.unionByName(alike(docs, rest, reps))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,13 +267,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_id) of every document that another one of its group replaces."""
-    sigs = written(signatures(docs).where("n_words > 0").groupBy("doc_id").agg(F.min_by("hi", F.struct("hi", "lo")).alias("hi"), F.min_by("lo", F.struct("hi", "lo")).alias("lo")), "signatures")
-    reps = sigs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")).select("rep", "hi", "lo")
+    least = F.min(F.struct("hi", "lo", "digest", "n_words")).alias("least")
+    sigs = written(signatures(docs).where("n_words > 0").groupBy("doc_id").agg(least).select("doc_id", "least.*"), "signatures")
+    reps = sigs.groupBy("hi", "lo", "digest").agg(F.min("doc_id").alias("rep"), F.min("n_words").alias("n_words"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = reps.mapInArrow(_keys, "key long, rep long, hi long, lo long").repartition(n, "key").mapInArrow(_edges, "a long, b long")
+    pairs = reps.select("rep", "hi", "lo").mapInArrow(_keys, "key long, rep long, hi long, lo long").repartition(n, "key").mapInArrow(_pairs, "a long, b long")
+    edges = verified(docs, pairs, reps.select("rep", "digest", "n_words"))
     roots = components(edges)
     rows = roots.count()
-    joined = sigs.join(reps, ["hi", "lo"]).join(small_side(roots, rows), F.col("rep") == F.col("id"), "left")
+    joined = sigs.join(reps.drop("n_words"), ["hi", "lo", "digest"]).join(small_side(roots, rows), F.col("rep") == F.col("id"), "left")
     return joined.select("doc_id", F.coalesce("root", "rep").alias("kept_id")).where("doc_id <> kept_id")
 
 
