@@ -259,6 +259,22 @@ def test_tool_calls(spark):
     assert tool_calls.linked(turns.limit(0)).count() == 0
 
 
+def test_whole_chats_lose_no_turn(spark):
+    answer = json.dumps({"tool_call_id": "zz", "content": "?"})
+    rows = [
+        (1, 0, "system", "be brief"), (1, 1, "assistant", "hi"), (1, 2, "user", "one"), (1, 3, "assistant", "a"), (1, 4, "assistant", "b"), (1, 5, "critic", "c"), (1, 6, "tool", answer), (1, 6, "tool", answer),
+        (2, None, None, None), (2, 0, "system", "no user here"), (None, 0, "user", "lost"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in tool_calls.transcribed(turns).collect()}
+    said = {c: [(x["turn"], x["role"], x["text"]) for x in json.loads(r.chat)["turns"]] for c, r in got.items()}
+    assert said == {1: [r[1:] for r in rows[:7]], 2: [(-1, "", ""), (0, "system", "no user here")]}
+    chat = json.loads(got[1].chat)
+    assert [(c["id"], c["result"]) for c in chat["calls"]] == [("2", "a")] and chat["orphans"] == [{"turn": 6, "id": "zz", "content": "?"}]
+    assert (got[1].n_turns, got[1].n_calls, got[1].n_orphans) == (7, 1, 1) and (got[2].n_turns, got[2].n_calls, got[2].n_orphans) == (2, 0, 0)
+    assert got[1].chat == tool_calls.canonical(chat) and tool_calls.transcribed(turns.limit(0)).count() == 0
+
+
 def test_schema():
     s = tool_calls.SCHEMAS["calculate"]
     assert tool_calls.valid({"expression": "1", "precision": 3}, s)

@@ -19,8 +19,9 @@ of dependencies; such calls follow the others by turn). If several hold, the las
 named counts. Dependencies on identifiers that do not exist are left out.
 
 Defined cases: repeated rows count once. Of several results of one call the first by turn,
-then text, counts. Results without a call are `orphans`, and are counted. A null
-conversation is left out; a null role or text is chat with an empty text; a null
+then text, counts. Results without a call are `orphans`. `linked` has the calls and
+what answers them only; `transcribed` has every turn of every conversation beside
+them, and counts the orphans. A null conversation is left out; a null role or text is chat with an empty text; a null
 turn comes before all others. An empty table gives no rows.
 """
 
@@ -42,6 +43,7 @@ SCHEMAS = {
 }
 CALL = "array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>"
 FORMATTED = "conv_id long, n_calls long, n_linked long, n_invalid long, n_cyclic long, chat string"
+TRANSCRIBED = "conv_id long, n_turns long, n_calls long, n_linked long, n_invalid long, n_cyclic long, n_orphans long, chat string"
 _KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -126,11 +128,15 @@ def _formatter(schemas: dict):
     return run
 
 
-def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, id, turn, place, name, arguments, depends_on) and (conv_id, id, turn, content)."""
-    rows = turns.where("conv_id is not null").select(
+def _rows(turns: DataFrame) -> DataFrame:
+    return turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).distinct()
+
+
+def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, id, turn, place, name, arguments, depends_on) and (conv_id, id, turn, content)."""
+    rows = _rows(turns)
     braces = F.col("text").startswith("{")
     rows = rows.withColumns(
         {
@@ -163,8 +169,32 @@ def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
 
 def orphans(turns: DataFrame) -> DataFrame:
     """(conv_id, id, turn) of results without a call."""
+    return _unclaimed(turns).select("conv_id", "id", "turn")
+
+
+def _unclaimed(turns: DataFrame) -> DataFrame:
     calls, results = calls_and_results(turns)
-    return results.join(calls.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").select("conv_id", "id", "turn")
+    return results.join(calls.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = ("n_calls", "n_linked", "n_invalid", "n_cyclic")
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            lost = r["orphans"] or []
+            chat = json.loads(r["chat"]) if r["chat"] else {"calls": [], "conv_id": r["conv_id"]}
+            out.append((r["conv_id"], len(r["turns"]), *(r[c] or 0 for c in counts), len(lost), canonical(chat | {"orphans": lost, "turns": r["turns"]})))
+        columns = list(zip(*out)) if out else [()] * 8
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.string())], names=["conv_id", "n_turns", *counts, "n_orphans", "chat"])
+
+
+def transcribed(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """(conv_id, n_turns, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, chat) of every conversation; the chat has each turn in order beside the calls."""
+    said = _rows(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    lost = _unclaimed(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "content"))).alias("orphans"))
+    both = said.join(linked(turns, schemas), "conv_id", "left").join(lost, "conv_id", "left")
+    return both.select("conv_id", "turns", "n_calls", "n_linked", "n_invalid", "n_cyclic", "orphans", "chat").mapInArrow(_whole, TRANSCRIBED)
 
 
 def oracle() -> str:
@@ -179,3 +209,14 @@ calls AS (SELECT a.conv_id, a.turn, a.text, r.content, r.id IS NOT NULL AS answe
 SELECT conv_id, count(*) AS n_calls, count(*) FILTER (status = 'linked') AS n_linked, count(*) FILTER (status = 'invalid') AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic,
   '{"calls":[' || string_agg('{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || '},"id":"' || turn || '","name":"respond","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"status":"' || status || '","turn":' || turn || '}', ',' ORDER BY turn) || '],"conv_id":' || conv_id || '}' AS chat
 FROM calls GROUP BY conv_id"""
+
+
+def whole_oracle() -> str:
+    """transcribed() over turns of plain chat in DuckDB's SQL."""
+    return f"""
+WITH called AS ({oracle()}),
+turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT conv_id, count(*) AS n_turns, string_agg('{{"role":' || CAST(to_json(role) AS VARCHAR) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}}', ',' ORDER BY turn, role, text) AS list FROM turns GROUP BY conv_id)
+SELECT s.conv_id, s.n_turns, coalesce(c.n_calls, 0) AS n_calls, coalesce(c.n_linked, 0) AS n_linked, coalesce(c.n_invalid, 0) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic, CAST(0 AS BIGINT) AS n_orphans,
+  coalesce(left(c.chat, length(c.chat) - 1), '{{"calls":[],"conv_id":' || s.conv_id) || ',"orphans":[],"turns":[' || s.list || ']}}' AS chat
+FROM said s LEFT JOIN called c ON c.conv_id = s.conv_id"""
