@@ -7,14 +7,17 @@ and of single tokens outside them; dynamic programming over bounded spans finds
 the best one, so boundaries and types are chosen together. Weights are fitted by
 gradient ascent on the likelihood of `TRAIN_ISLANDS` synthetic passages.
 
-A span of an entity must hold an "@" or `LEAST_DIGITS` digits, and may only cross
-white space between pieces that have digits or "@". So the field falls apart into
+A span of an entity must hold an "@" or `LEAST_DIGITS` digits, or look like a secret
+(a known prefix, a long run of both cases and digits, what is assigned to a secret
+word), and may only cross white space between pieces that have digits or "@" or hold
+or begin a secret; a span by its looks crosses none. So the field falls apart into
 islands, runs of such pieces, and decoding each by itself is the same as decoding
 the whole text, however long.
 
 Defined cases: a null text stays null, and an empty one empty, without entities;
 rows are independent, so repeated rows repeat their results; text without any
-entity is left as it is, byte for byte. Secrets without four digits are not found.
+entity is left as it is, byte for byte. A secret with fewer than four digits needs a
+known prefix, both cases and a digit in 20 characters, or a secret word before it.
 """
 
 from __future__ import annotations
@@ -62,7 +65,19 @@ _SHAPES = tuple(
 )
 _SECRET_WORDS = re.compile(r"(?i)(?:token|secret|passw|api|key|bearer|auth)\w*\W*$")
 _NUMBER_WORDS = re.compile(r"(?i)(?:phone|tel|call|mobile|fax)\w*\W*$")
-N_FEATURES = len(_SHAPES) + 17
+_PREFIXED = r"(?:(?:sk|pk)[-_](?=[A-Za-z0-9_-]*[A-Z0-9])[A-Za-z0-9_-]{14,128}|(?:gh[opsu]_|xox[bp]-|glpat-)[A-Za-z0-9_-]{14,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{30,128})"
+_MIXED = r"(?=[A-Za-z_]*[0-9])(?=[A-Z0-9_]*[a-z])(?=[a-z0-9_]*[A-Z])[A-Za-z0-9_]{20,128}"
+_ASSIGNED = r"""(?i:(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key)["']?[ \t]*[:=][ \t]*["']?|key["']?[ \t]*=[ \t]*["']?)"""
+_LOOKS = re.compile(f"{_PREFIXED}|{_MIXED}")
+_AFTER_WORD = re.compile(_ASSIGNED + r"\Z")
+_AFTER_BEARER = re.compile(r"(?i:\bbearer[ \t]+)\Z")
+#: Where a piece holds or begins a secret by its looks.
+_CUES = re.compile(f"(?<![A-Za-z0-9_]){_PREFIXED}".encode())
+_WORDS = re.compile(f"{_ASSIGNED}|(?i:bearer[ \t]+)".encode())
+_MIXED_CUE = re.compile(f"(?<![A-Za-z0-9_]){_MIXED}".encode())
+#: Characters that a secret after a secret word, and one after "bearer", has at least.
+LEAST_SECRET, LEAST_BEARER = 6, 16
+N_FEATURES = len(_SHAPES) + 20
 
 
 def _luhn(digits: str) -> bool:
@@ -98,9 +113,19 @@ def features(span: str, n_tokens: int, before: str, after: str, context: str) ->
         float(secret),
         float(secret and n_tokens == 1 and len(span) >= 8),
         float(_NUMBER_WORDS.search(context) is not None),
+        float(_LOOKS.fullmatch(span) is not None),
+        float(_AFTER_WORD.search(context) is not None),
+        float(n < LEAST_DIGITS),
     )
 
 
+def _least_secret(context: str) -> int | None:
+    """The characters that what follows must have to be a secret's candidate; None if there is no secret word."""
+    if _AFTER_WORD.search(context):
+        return LEAST_SECRET
+    return LEAST_BEARER if _AFTER_BEARER.search(context) else None
+
+
 def spans(text: str, context: str) -> tuple[list[int], list[tuple[int, int, tuple[float, ...]]]]:
     """The token boundaries of an island, and every span (first token, end token, features) that may be an entity."""
     tokens = _TOKEN.findall(text)
@@ -117,10 +142,16 @@ def spans(text: str, context: str) -> tuple[list[int], list[tuple[int, int, tupl
     for i, t in enumerate(tokens):
         if t.isspace():
             continue
+        a, whole = at[i], True
+        least = _least_secret((context + text[:a])[-24:]) if t not in "\"'=:" else None
         for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
-            if tokens[j - 1].isspace() or (ats[j] == ats[i] and digits[j] - digits[i] < LEAST_DIGITS):
+            if tokens[j - 1].isspace():
+                whole = False
                 continue
-            a, b = at[i], at[j]
+            b = at[j]
+            if ats[j] == ats[i] and digits[j] - digits[i] < LEAST_DIGITS:
+                if not whole or not (least and b - a >= least or b - a >= 17 and _LOOKS.fullmatch(text, a, b)):
+                    continue
             found.append((i, j, features(text[a:b], j - i, text[a - 1 : a] if a else "", text[b : b + 2], (context + text[:a])[-24:])))
     return at, found
 
@@ -129,6 +160,10 @@ def _hex(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789abcdef") for _ in range(n))
 
 
+def _mixed(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
 def _number(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(n))
 
@@ -155,11 +190,11 @@ def _entity(rng: random.Random) -> tuple[str, str, str]:
     elif kind == "IP":
         s = ".".join(str(rng.randint(0, 255)) for _ in range(4))
     elif kind == "SECRET":
-        s = rng.choice((_hex(rng, rng.choice((32, 40, 64))), "sk-" + "".join(rng.choice("abcXYZ0123456789") for _ in range(32)), "ghp_" + "".join(rng.choice("abcXYZ0123456789") for _ in range(36)), "AKIA" + "".join(rng.choice("ABCDXYZ0123456789") for _ in range(16))))
+        s = rng.choice((_hex(rng, rng.choice((32, 40, 64))), "sk-" + _mixed(rng, 32), "ghp_" + _mixed(rng, 36), "glpat-" + _mixed(rng, 20), "AIza" + _mixed(rng, 35), "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))))
         context = rng.choice(('token = "', "api_key: ", "secret=", context))
-        if rng.random() < 0.35:
-            s, context = _hex(rng, rng.randint(10, 24)), rng.choice(("password=", "password: ", "secret=", "key = "))
-            s = s[:-5] + _number(rng, 4) + "a"
+        if rng.random() < 0.5:
+            s = rng.choice((_hex(rng, rng.randint(10, 24)), _mixed(rng, rng.randint(8, 24)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(8, 16))) + _number(rng, rng.randint(0, 3))))
+            context = rng.choice(("password=", "password: ", "secret=", "key = ", 'token = "', "api_key: "))
     elif kind == "SSN":
         s = f"{_number(rng, 3)}-{_number(rng, 2)}-{_number(rng, 4)}"
     else:
@@ -201,7 +236,8 @@ def synthetic(n: int, seed: int) -> list[tuple[str, str, list[tuple[int, int, st
                     cut = c.rfind(" ") + 1
                     context, text = c[:cut], c[cut:]
                 else:
-                    text += " "
+                    # the pieces of an island hold no other white space
+                    text += " " + (c if " " not in c else "secret=" if kind == "SECRET" else "")
                 gold.append((len(text), len(text) + len(s), kind))
                 text += s + ('"' if text == '"' else "") + rng.choice(tails)
             else:
@@ -230,10 +266,8 @@ def train(n: int = TRAIN_ISLANDS, seed: int = 5) -> np.ndarray:
     for context, text, entities in synthetic(n, seed):
         at, i, j, f = _lattice(text, context)
         where = {(at[a], at[b]): k for k, (a, b) in enumerate(zip(i, j))}
-        named = [(where[a, b], TYPES.index(t)) for a, b, t in entities if (a, b) in where]
-        if len(named) == len(entities):
-            lattices.append((len(at) - 1, i, j, f))
-            gold.append(named)
+        lattices.append((len(at) - 1, i, j, f))
+        gold.append([(where[a, b], TYPES.index(t)) for a, b, t in entities])
     every = np.concatenate([x[3] for x in lattices])
     begin = np.r_[0, np.cumsum([len(x[1]) for x in lattices])]
     observed = np.zeros((len(TYPES), N_FEATURES))
@@ -306,18 +340,28 @@ def find_block(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> di
     """Entities (start byte, end byte, type) by row."""
     hot = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_HOT[data], out=hot[1:])
-    if not hot[-1]:
+    raw = data.tobytes()
+    cues = [m.start() for m in _CUES.finditer(raw)]
+    words = [(m.start(), m.end()) for m in _WORDS.finditer(raw)]
+    if not hot[-1] and not cues and not words:
         return {}
     first, last, rows = word_spans(data, offsets, _PIECE)
-    live = hot[last] > hot[first]
+    marked = np.zeros(len(first) + 1, bool)
+    marked[np.searchsorted(first, cues, "right") - 1] = True
+    for a, b in words:
+        k, word = (int(np.searchsorted(first, x, "right")) - 1 for x in (b, a))
+        if last[k] > b and rows[k] == rows[word]:
+            marked[k] = True
+    marks = np.r_[0, np.cumsum(marked[:-1])]
+    live = (hot[last] > hot[first]) | marked[:-1]
     starts = np.flatnonzero(live & np.r_[True, ~live[:-1] | (rows[1:] != rows[:-1])])
     stops = np.flatnonzero(live & np.r_[~live[1:] | (rows[1:] != rows[:-1]), True])
-    raw, found = data.tobytes(), {}
+    found = {}
     digit = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data >= 48) & (data <= 57), out=digit[1:])
     for s, e in zip(starts.tolist(), stops.tolist()):
         a, b = int(first[s]), int(last[e])
-        if digit[b] - digit[a] < LEAST_DIGITS and b"@" not in raw[a:b]:
+        if digit[b] - digit[a] < LEAST_DIGITS and marks[e + 1] == marks[s] and b"@" not in raw[a:b] and not (b - a >= 20 and _MIXED_CUE.search(raw, a, b)):
             continue
         text = raw[a:b].decode()
         left = int(first[s - min(3, s - int(np.searchsorted(rows, rows[s])))])
