@@ -172,3 +172,16 @@ def test_oracle(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_k_means_runs_until_nothing_moves(spark):
+    angles = np.random.default_rng(2).random(1500) * np.pi / 2
+    units = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    rows = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(units)], "object long, vec array<double>")
+
+    def moved(found):
+        at = np.array([r.cluster for r in sorted(found.collect())])
+        centres = np.stack([units[at == c].sum(axis=0) for c in range(10)])
+        return int(((units @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T).argmax(axis=1) != at).sum())
+
+    assert moved(analysis.k_means(rows)) == 0 < moved(analysis.k_means(rows, rounds=20))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +19,12 @@ def _units(x) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def k_means(store: DataFrame, k: int = 10, rounds: int = 20) -> DataFrame:
-    """(object, cluster) by cosine; the first centroids are the k objects of least md5. Each round moves k sums to the driver."""
+def k_means(store: DataFrame, k: int = 10, rounds: int | None = None) -> DataFrame:
+    """(object, cluster) by cosine; the first centroids are the k objects of least md5. It runs until the centroids settle, or for so many rounds at most. Each round moves k sums to the driver."""
     first = store.orderBy(F.md5(F.col("object").cast("string"))).limit(k).collect()
     centres = _units([r.vec for r in first])
-    for _ in range(rounds):
+    last = -1.0
+    for _ in itertools.count() if rounds is None else range(rounds):
         def sums(batches, centres=centres):
             total, n = np.zeros_like(centres), np.zeros(len(centres))
             for pdf in batches:
@@ -33,12 +36,13 @@ def k_means(store: DataFrame, k: int = 10, rounds: int = 20) -> DataFrame:
 
         new = centres.copy()
         got = store.select("vec").mapInPandas(sums, "cluster int, n double, s array<double>").groupBy("cluster").agg(F.sum("n").alias("n"), *(F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(centres.shape[1]))).collect()
+        score = sum(float(np.linalg.norm(list(r)[2:])) for r in got)
         for r in got:
             if r.n:
                 new[r.cluster] = _units([list(r)[2:]])[0]
-        if np.allclose(new, centres, atol=1e-9):
+        if np.allclose(new, centres, rtol=0, atol=1e-9) or score <= last:  # ties alone move
             break
-        centres = new
+        centres, last = new, score
 
     def assign(batches):
         for pdf in batches:
