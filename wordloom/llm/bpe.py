@@ -1,22 +1,28 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Encoding runs in one pass without a shuffle. Documents are gathered into slabs of
-`SLAB_BYTES` of text; each slab carries its distinct words once. Spark folds the
-ranked merges over the bytes of every distinct word with higher-order functions
-and a rank map that is a literal of the plan. Then the documents' words are
-replaced by their ids.
+`SLAB_BYTES` of text; each slab's distinct words are handed to Spark once, as byte
+arrays, in rows of `FOLDED` words. Spark folds the ranked merges over the bytes of
+every distinct word with higher-order functions and a rank map that is a literal of
+the plan. Then the documents' words are replaced by their ids.
 
-A word under way is an array of 64-bit numbers, one for each piece:
-rank of the pair it begins << 40 | its place << 16 | its id. The least number is
-the pair to merge next, leftmost first; its rank is the merged piece's id. The
-rank map is a literal array of rows by left id, laid over one another.
+A word under way is an array of 64-bit numbers, one for each piece: the rank of the
+pair that it begins << 16 | its id. The least number is the pair to merge next,
+the leftmost of equal ones; its rank is the merged piece's id. The rank map is a
+literal array of rows by left id, laid over one another.
+
+Words are found in whole blocks of text at once: every code point has a class
+(letter, number, white space, other), and a word begins where `PATTERN` begins one.
 
 Decoding concatenates the pieces' bytes, again from a literal array.
 
 Defined cases: a null text has null ids and 0 tokens, an empty one empty ids.
 Words of more than `LONG_WORD` bytes are merged with a heap in Python, to the
-same result. Special tokens' strings are ordinary text. Repeated rows repeat
-their results; null ids decode to null.
+same result: the fold takes steps as the square of a word's length. Texts of any
+length are encoded whole; one that is longer than a slab is a slab of its own.
+Special tokens' strings are ordinary text. Repeated rows repeat their results, each
+row for itself; null ids decode to null. Other columns, whatever their names, are
+not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,23 +33,29 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import U64, utf8, word_hashes
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual pre-tokeniser of byte-level BPE; what begins most words is tried first.
 PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[sdmt]|ll|ve|re)| ?[^\s\p{L}\p{N}]++|\s++(?!\S)|\s(?=\S)|\s+(?!\S)|\s+"
 #: Text in one slab; a longer document is a slab of its own.
 SLAB_BYTES = 32 << 20
+#: Text in which words are found at once, and distinct words of a slab in one row.
+BLOCK_BYTES, FOLDED = 2 << 20, 8192
 LONG_WORD = 256
-NO_RANK = 1 << 16
+#: A piece whose number is that great begins no pair that merges.
+NO_RANK = 1 << 32
 #: The id that stands at both ends of a word; it merges with nothing.
 EDGE = 65_535
-_EMPTY = 1 << 40
+_EMPTY = 1 << 60
 
-SLAB = "ids array<long>, valid array<boolean>, sizes binary, codes binary, words array<string>, long_words array<string>"
+SLAB = "ids array<long>, valid array<boolean>, sizes binary, codes binary, words array<array<smallint>>, long_words array<binary>"
 ENCODED = "doc_id long, token_ids array<int>, n_tokens long"
 
 
@@ -89,7 +101,7 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 @lru_cache(maxsize=4)
 def rank_tables(path: str = VOCABULARY) -> tuple[list[int], list[int]]:
-    """The rank map by row displacement: (a, b) merges if table[shift[a] + b] holds a * 2**16 + id."""
+    """The rank map by row displacement: table[shift[a] + b] is a << 40 ^ merged id << 16 if (a, b) merges; else no other a makes it less than 2**32."""
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), merged in merges(vocabulary(path)).items():
         rows.setdefault(a, []).append((b, merged))
@@ -107,7 +119,7 @@ def rank_tables(path: str = VOCABULARY) -> tuple[list[int], list[int]]:
             low += 4096
         o = int(maybe[fits.argmax()])
         shift[a] = o
-        free[o + b], table[o + b] = False, a * 65536 + merged
+        free[o + b], table[o + b] = False, (a << 40) ^ (merged << 16)
         low = 0 if len(b) > 1 else low
     return table[: shift.max() + EDGE + 1].tolist(), shift.tolist()
 
@@ -135,101 +147,196 @@ class Encoder:
         self.pieces = F.split(F.lit("\u0100".join(pieces.get(i, b"").decode("latin-1") for i in range(max(pieces) + 1))), "\u0100")
 
     def fold_all(self, words: Column) -> Column:
-        """The ids of each word; the tables are bound once, so that the plan holds one copy of each."""
-        empty = F.array().cast("array<int>")
-        return _let(self.table, lambda t: _let(self.shift, lambda s: _let(self.byte, lambda b: F.transform(words, lambda w: F.when(w == "", empty).otherwise(self.fold(w, t, s, b))))))
+        """The ids of each word, an array of bytes; the tables are bound once, so that the plan holds one copy of each."""
+        return _let(self.table, lambda t: _let(self.shift, lambda s: _let(self.byte, lambda b: F.transform(words, lambda w: self.fold(w, t, s, b)))))
 
     def fold(self, word: Column, table: Column, shift: Column, byte: Column) -> Column:
         """The ids of one word."""
         def rank(a: Column, b: Column) -> Column:
-            """The merged id of a pair; NO_RANK or more without one."""
-            return F.least(table[shift[a] + b].bitwiseXOR(F.shiftleft(a, 16)), F.lit(NO_RANK).cast("bigint"))
-
-        ids = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: byte[F.ascii(c)])
-        edge = F.lit(EDGE).cast("bigint")
-        high, low = F.lit(NO_RANK << 40), (1 << 40) - 1
+            """A pair's rank << 16; NO_RANK or more without one."""
+            return table[shift[a] + b].bitwiseXOR(F.shiftleft(a, 40))
 
         def start(s: Column) -> Column:
-            return F.transform(F.slice(s, 1, F.size(s) - 1), lambda a, i: F.shiftleft(rank(a, s[i + 1]), 40) + F.shiftleft(i.cast("bigint"), 16) + a)
+            return F.transform(s, lambda a, i: F.coalesce(rank(a, F.get(s, i + 1)), F.lit(_EMPTY)) + a)
 
         def step(e: Column, _: Column) -> Column:
-            return _let(F.array_min(e), lambda m: F.when(m >= high, e).otherwise(_let(F.array_position(e, m).cast("int"), lambda p: merged(e, m, p))))
+            return _let(F.array_min(e), lambda m: F.when(m >= NO_RANK, e).otherwise(_let((F.array_position(e, m) - 1).cast("int"), lambda p: merged(e, F.shiftright(m, 16), p))))
 
-        def merged(e: Column, m: Column, p: Column) -> Column:
+        def merged(e: Column, new: Column, p: Column) -> Column:
+            """The piece at p becomes the new one, that before it gets a new pair, those behind move up; behind the last there is null."""
+            whole = rank(new, e[p + 2].bitwiseAND(65535)) + new
+            left = lambda x: _let(x.bitwiseAND(65535), lambda a: rank(a, new) + a)
             # the edges see to it that there is a piece on either side
-            new = F.shiftright(m, 40)
-            left = e[p - 2]
-            left = F.shiftleft(rank(left.bitwiseAND(65535), new), 40).bitwiseOR(left.bitwiseAND(low))
-            whole = F.shiftleft(rank(new, e[p + 1].bitwiseAND(65535)), 40).bitwiseOR(m.bitwiseAND(low - 65535)).bitwiseOR(new)
-            return F.concat(F.slice(e, 1, p - 2), F.array(left, whole), F.slice(e, p + 2, F.size(e)))
-
-        ends = F.concat(F.array(edge), ids, F.array(edge, edge))
-        return _let(
-            ends,
-            lambda s: F.aggregate(F.slice(s, 4, F.size(s)), start(s), step, lambda e: F.transform(F.slice(e, 2, F.size(e) - 2), lambda x: x.bitwiseAND(65535).cast("int"))),
-        )
+            return _let(p - 1, lambda q: F.transform(e, lambda x, i: F.when(i < q, x).when(i > p, F.get(e, i + 1)).when(i == p, whole).otherwise(left(x))))
+
+        def ids(e: Column) -> Column:
+            return F.transform(F.filter(e, lambda x: x.bitwiseAND(65535) != EDGE), lambda x: x.bitwiseAND(65535).cast("int"))
+
+        edge = F.array(F.lit(EDGE).cast("bigint"))
+        return _let(F.concat(edge, F.transform(word, lambda c: byte[c]), edge), lambda s: F.aggregate(F.slice(word, 2, F.size(word)), start(s), step, ids))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of a row of ids."""
         return F.encode(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: pieces[i]), "")), "ISO-8859-1")
 
 
+LETTER, NUMBER, SPACE, OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of every code point, as the pattern's own engine sees it."""
+    out = np.full(0x110000, OTHER, np.int8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, what in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(what, every):
+            a, b = ord(every[m.start()]), ord(every[m.end() - 1])
+            out[a : b + 1] = kind
+    return out
+
+
+def word_starts(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where PATTERN begins a word in the code points of texts one behind another; edges: where texts begin."""
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = classes()[codes]
+    first = np.zeros(n + 1, bool)
+    first[edges] = first[n] = True
+    run = first.copy()
+    run[1:n] |= kind[1:] != kind[:-1]
+    starts, ends = run[:n].copy(), run[1:]
+    space = kind == SPACE
+    # the last space of a run before other text stands apart, or with what follows if it is a blank
+    last = np.flatnonzero(space & ends & ~first[1:])
+    starts[last] = True
+    blank = last[codes[last] == 32]
+    starts[blank + 1] = False
+    # an apostrophe by itself takes the letters of a contraction
+    quote = np.flatnonzero((codes == 39) & starts[:n] & ends & ~first[1:])
+    if len(quote):
+        quote = quote[kind[quote + 1] == LETTER]
+        one = codes[quote + 1]
+        two = np.where((quote + 2 < n) & ~first[np.minimum(quote + 2, n)], codes[np.minimum(quote + 2, n - 1)], 0)
+        short = np.isin(one, [ord(c) for c in "sdmt"])
+        long = (one == 108) & (two == 108) | (one == 118) & (two == 101) | (one == 114) & (two == 101)
+        for taken, size in ((quote[short], 1), (quote[long], 2)):
+            starts[taken + 1] = False
+            after = taken + 1 + size
+            after = after[(after < n)]
+            # the rest of the letters begins a word; what is no letter has begun one, or a blank before it has
+            after = after[(kind[after] == LETTER) & ~first[after]]
+            starts[after] = True
+    return np.flatnonzero(starts)
+
+
+def words_of(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, words' byte places and their end, words before each row) of blocks of whole rows."""
+    raw, offsets, valid = utf8(column)
+    row, n = 0, len(column)
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        data = raw[offsets[row] : offsets[end]]
+        at = offsets[row : end + 1] - offsets[row]
+        lead = (data & 0xC0) != 0x80
+        places = np.flatnonzero(lead)
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        edges = np.searchsorted(places, at)
+        starts = word_starts(codes, edges[:-1][edges[:-1] < len(codes)])
+        yield row, end, data, np.r_[places[starts], len(data)], np.searchsorted(starts, edges)
+        row = end
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one behind another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+class Slab:
+    """Documents' words as numbers of distinct words."""
+
+    def __init__(self):
+        self.ids, self.valid, self.sizes, self.codes, self.words, self.size = [], [], [], [], [], 0
+
+    def add(self, ids: pa.Array, valid: np.ndarray, data: np.ndarray, at: np.ndarray, before: np.ndarray) -> None:
+        self.ids += ids.to_pylist()
+        self.valid += valid.tolist()
+        self.sizes.append(np.diff(before))
+        codes, hashes = pd.factorize(word_hashes(data, at[:-1], at[1:]))
+        # numbers are given in the order of first places
+        first = np.flatnonzero(codes > np.maximum.accumulate(np.r_[-1, codes[:-1]])[: len(codes)])
+        lengths = at[first + 1] - at[first]
+        self.codes.append(codes.astype(np.int32))
+        self.words.append((hashes, lengths, data[_runs(at[first], lengths)]))
+        self.size += len(data)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows of FOLDED distinct words each, then one row of the documents."""
+        hashes, lengths, data = (np.concatenate(x) for x in zip(*self.words))
+        numbers, _ = pd.factorize(hashes)
+        first = np.flatnonzero(numbers > np.maximum.accumulate(np.r_[-1, numbers[:-1]])[: len(numbers)])
+        at = np.cumsum([0, *(len(h) for h, _, _ in self.words)])
+        codes = np.concatenate([numbers[a : a + len(h)].astype(np.int32)[c] for a, (h, _, _), c in zip(at, self.words, self.codes)])
+        self.codes = self.words = []
+        data = data[_runs((np.cumsum(lengths) - lengths)[first], lengths[first])]
+        lengths = lengths[first]
+        ends = np.r_[0, np.cumsum(lengths)]
+        long = np.flatnonzero(lengths > LONG_WORD)
+        long_words = [data[ends[k] : ends[k + 1]].tobytes() for k in long]
+        empty = pa.array([], pa.binary())
+        for a in range(0, len(lengths), FOLDED):
+            b = min(a + FOLDED, len(lengths))
+            part, sizes = data[ends[a] : ends[b]], lengths[a:b]
+            if len(long):
+                keep = np.repeat(sizes <= LONG_WORD, sizes)
+                part, sizes = part[keep], np.where(sizes <= LONG_WORD, sizes, 0)
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(part.astype(np.int16)))
+            none = [pa.nulls(1, f.type) for f in _KIND][:4]
+            yield pa.RecordBatch.from_arrays([*none, pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), empty)], schema=_KIND)
+        whole = {"ids": self.ids, "valid": self.valid, "sizes": np.concatenate(self.sizes).astype(np.int64).tobytes(), "codes": codes.tobytes(), "words": [], "long_words": long_words}
+        yield pa.RecordBatch.from_pylist([whole], schema=_KIND)
+
+
+_KIND = pa.schema([("ids", pa.list_(pa.int64())), ("valid", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int16()))), ("long_words", pa.list_(pa.binary()))])
+
+
 def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents gathered into slabs: sizes in words, codes of words, the distinct words."""
-    find = regex.compile(PATTERN).findall
-    kind = pa.schema([("ids", pa.list_(pa.int64())), ("valid", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("long_words", pa.list_(pa.string()))])
-
-    class Codes(dict):
-        def __missing__(self, word: str) -> int:
-            self[word] = code = len(self)
-            return code
-
-    def slab() -> pa.RecordBatch:
-        words = list(codes)
-        long = [w for w in words if len(w) * 4 > LONG_WORD and len(w.encode()) > LONG_WORD]
-        if long:
-            gone = set(long)
-            words = ["" if w in gone else w for w in words]
-        return pa.RecordBatch.from_pylist([{"ids": ids, "valid": valid, "sizes": np.array(sizes, np.int64).tobytes(), "codes": np.concatenate([np.zeros(0, np.int32), *parts]).tobytes(), "words": words, "long_words": long}], schema=kind)
-
-    codes, ids, valid, sizes, parts, size = Codes(), [], [], [], [], 0
+    """Documents gathered into slabs."""
+    slab = Slab()
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            text = text.as_py()
-            if size and text and size + len(text) > SLAB_BYTES:
-                yield slab()
-                codes, ids, valid, sizes, parts, size = Codes(), [], [], [], [], 0
-            found = find(text) if text else []
-            ids.append(doc_id.as_py())
-            valid.append(text is not None)
-            sizes.append(len(found))
-            parts.append(np.fromiter(map(codes.__getitem__, found), np.int32, len(found)))
-            size += len(text or "")
-    if ids:
-        yield slab()
+        for row, end, data, at, before in words_of(batch.column(1)):
+            if slab.size and slab.size + len(data) > SLAB_BYTES:
+                yield from slab.rows()
+                slab = Slab()
+            part = batch.slice(row, end - row)
+            slab.add(part.column(0), np.asarray(part.column(1).is_valid(), dtype=bool), data, at, before)
+    if slab.ids:
+        yield from slab.rows()
 
 
 def _put_together(path: str):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda name: batch.column(batch.schema.get_field_index(name))[row]  # noqa: B023, E731
                 encoded = get("encoded").values
-                at = np.asarray(encoded.offsets).astype(np.int64)
-                ids = np.asarray(encoded.values)
-                sizes = np.diff(at)
+                if not get("codes").is_valid:
+                    at = np.asarray(encoded.offsets)
+                    held.append((np.diff(at), np.asarray(encoded.values)[at[0] : at[-1]]))
+                    continue
+                sizes, ids = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                held, starts = [], np.cumsum(sizes) - sizes
                 long = get("long_words").as_py()
                 if long:
                     # a long word's place has no ids; theirs are put behind the others
                     ranks = vocabulary(path)
-                    extra = [merge_long(w.encode(), ranks) for w in long]
+                    extra = [merge_long(w, ranks) for w in long]
                     places = np.flatnonzero(sizes == 0)
-                    starts = at[:-1].copy()
                     starts[places] = len(ids) + np.r_[0, np.cumsum([len(x) for x in extra])][:-1]
                     sizes[places] = [len(x) for x in extra]
                     ids = np.concatenate([ids, *(np.array(x, ids.dtype) for x in extra)])
-                else:
-                    starts = at[:-1]
                 codes = np.frombuffer(get("codes").as_py(), np.int32)
                 docs = np.r_[0, np.cumsum(np.frombuffer(get("sizes").as_py(), np.int64))]
                 doc_ids, valid = get("ids").values, np.asarray(get("valid").values)
