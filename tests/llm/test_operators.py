@@ -305,8 +305,13 @@ def test_covering_masks_meet_every_pair_within_the_radius():
         assert any(not flips & m for m in masks)
 
 
-def test_near_duplicates_are_the_components(docs):
-    sigs = {r.doc_id: (r.hi & (1 << 64) - 1) << 64 | r.lo & (1 << 64) - 1 for r in near_dedup.signatures(docs).where("n_words > 0").collect()}
+def _shared(x, y):
+    a, b = (Counter(w for w in re.split(r"[^0-9A-Za-z_\x80-\U0010ffff]+", t.lower()) if w) for t in (x, y))
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def _components(texts, sigs):
     ids, root = sorted(sigs), {i: i for i in sigs}
     def find(x):
         while root[x] != x:
@@ -314,10 +319,53 @@ def test_near_duplicates_are_the_components(docs):
         return x
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (sigs[a] ^ sigs[b]).bit_count() <= near_dedup.RADIUS:
+            if (sigs[a] ^ sigs[b]).bit_count() <= near_dedup.RADIUS and _shared(texts[a], texts[b]) >= near_dedup.SHARED:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    assert by_id(near_dedup.near_duplicates(docs), "kept_id") == {i: (find(i),) for i in ids if find(i) != i}
+    return {i: (find(i),) for i in ids if find(i) != i}
+
+
+def _signs(rows):
+    return {r.doc_id: (r.hi & (1 << 64) - 1) << 64 | r.lo & (1 << 64) - 1 for r in near_dedup.signatures(rows).where("n_words > 0").collect()}
+
+
+@pytest.mark.parametrize("crowd", [near_dedup.CROWD, 1])
+def test_near_duplicates_are_the_components(docs, crowd):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert by_id(near_dedup.near_duplicates(docs, crowd), "kept_id") == _components(texts, _signs(docs))
+
+
+@pytest.mark.parametrize("crowd", [near_dedup.CROWD, 1])
+def test_near_duplicates_of_a_crowd(spark, crowd):
+    """A large group, and texts of equal signature but other length that a forest may run through."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(i % 9):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(9999)}"
+        # three or more times as long: the same direction, too few words shared
+        texts.append(" ".join(t * (1 if i % 4 else 3 + i % 3)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _components(dict(enumerate(texts)), _signs(rows))
+    assert 100 < len(want) < 119 and by_id(near_dedup.near_duplicates(rows, crowd), "kept_id") == want
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (6, 2)).astype(np.uint64)
+    hi, lo = (np.repeat(base[:, k], 30) for k in (0, 1))
+    for i in range(len(hi)):
+        for bit in rng.integers(0, 64, i % 14):
+            hi[i] ^= np.uint64(1) << np.uint64(bit)
+    members = np.arange(len(hi))
+    close = np.bitwise_count(hi[:, None] ^ hi) + np.bitwise_count(lo[:, None] ^ lo) <= near_dedup.RADIUS
+    reach = close.copy()
+    for _ in range(8):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    a, b = near_dedup.forest(hi, lo, members)
+    assert close[a, b].all() and len(a) == len(members) - len(np.unique(reach, axis=0))
 
 
 def test_near_duplicate_edges(odd, empty):
@@ -334,9 +382,8 @@ def test_unrelated_long_documents_are_no_near_duplicates(spark):
     copy[100:110] = [f"edit{i}" for i in range(10)]
     texts += [" ".join(copy), "five words of a text", "five words of a text " * 3, "Text of a five words!"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sigs = {r.doc_id: (r.hi & (1 << 64) - 1) << 64 | r.lo & (1 << 64) - 1 for r in near_dedup.signatures(rows).collect()}
-    close = [(a, b) for a in range(4) for b in range(a) if (sigs[a] ^ sigs[b]).bit_count() <= near_dedup.RADIUS]
-    assert len(close) >= 3 and sigs[5] == sigs[6]
+    sigs = _signs(rows)
+    assert (sigs[5] ^ sigs[6]).bit_count() <= near_dedup.RADIUS
     assert by_id(near_dedup.near_duplicates(rows), "kept_id") == {4: (2,), 7: (5,)}
 
 
@@ -363,6 +410,17 @@ def test_token_counts_and_their_cache(spark, docs, odd, empty):
 # 10: BPE
 
 
+def test_words_begin_where_the_pattern_begins_them():
+    rng = random.Random(1)
+    signs = list("abclrvesdmtLV '\n\t  ''.,!#12é漢🙂\u0301\u00a0\u2003½Ⅷ\r\x00\x1c\x85_-")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + [None, "", "'", "'s", "'ll", "'re a", "x'", "'t's"]
+    find, got = bpe.regex.compile(bpe.PATTERN).findall, []
+    for _, _, data, at, before in bpe.words_of(bpe.pa.array(texts, bpe.pa.string())):
+        words = [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:])]
+        got += [words[a:b] for a, b in zip(before[:-1], before[1:])]
+    assert got == [find(t or "") for t in texts]
+
+
 def test_bpe_is_the_public_encoding_and_round_trips(docs, odd, empty):
     whole = _encoding()
     for table in (docs, odd):
