@@ -35,11 +35,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.linked(source(spark, sf_dir, "conversations"))
+    return tool_calls.transcribed(source(spark, sf_dir, "conversations"))
 
 
-def op7_whole_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.transcribed(source(spark, sf_dir, "conversations"))
+def op7_generated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked(tool_calls.generated(source(spark, sf_dir, "conversations")))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,6 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(source(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_pii, op2_benchmark_decontamination, op3_quality_rules, op4_html_extraction, op5_quality_classifier, op6_language_id, op7_tool_calls, op7_whole_chats, op8_simhash_near_dedup, op9_token_counts, op10_byte_level_bpe)}
+QUERIES = {q.__name__: q for q in (op1_pii, op2_benchmark_decontamination, op3_quality_rules, op4_html_extraction, op5_quality_classifier, op6_language_id, op7_tool_calls, op7_generated_calls, op8_simhash_near_dedup, op9_token_counts, op10_byte_level_bpe)}
 
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle(), "op7_tool_calls": tool_calls.oracle(), "op7_whole_chats": tool_calls.whole_oracle()}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.oracle(), "op7_tool_calls": tool_calls.whole_oracle(), "op7_generated_calls": tool_calls.generated_oracle()}

@@ -21,8 +21,12 @@ named counts. Dependencies on identifiers that do not exist are left out.
 Defined cases: repeated rows count once. Of several results of one call the first by turn,
 then text, counts. Results without a call are `orphans`. `linked` has the calls and
 what answers them only; `transcribed` has every turn of every conversation beside
-them, and counts the orphans. A null conversation is left out; a null role or text is chat with an empty text; a null
-turn comes before all others. An empty table gives no rows.
+them, and counts the orphans. A null conversation is left out; a null role or text is
+chat with an empty text; a null turn comes before all others. White space may stand
+before a turn's JSON. Arguments that are no JSON, hold NaN or an infinite number, half
+a surrogate pair, or nest too deeply stay the string they are. Texts of any length
+stay whole. Columns other than conv_id, turn, role and text are not read, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +52,17 @@ _KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def parsed(text: str | None):
+    """The value of a JSON text that canonical JSON in UTF-8 can hold; else the text."""
+    try:
+        value = json.loads(text)
+        canonical([[[value]]]).encode()
+    except (TypeError, ValueError, RecursionError):
+        return text
+    return value
 
 
 def valid(value, schema: dict) -> bool:
@@ -100,10 +114,7 @@ def format_conversation(conv_id: int, calls: list[dict], schemas: dict = SCHEMAS
     stuck, rows, n = set(cyclic), [], {"linked": 0, "bad": 0}
     for i in first + cyclic:
         c = calls[i]
-        try:
-            arguments = json.loads(c["arguments"])
-        except (TypeError, ValueError):
-            arguments = c["arguments"]
+        arguments = parsed(c["arguments"])
         status = "linked" if c["answered"] else "unanswered"
         if c["name"] in schemas and not valid(arguments, schemas[c["name"]]):
             status = "invalid"
@@ -137,7 +148,7 @@ def _rows(turns: DataFrame) -> DataFrame:
 def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, id, turn, place, name, arguments, depends_on) and (conv_id, id, turn, content)."""
     rows = _rows(turns)
-    braces = F.col("text").startswith("{")
+    braces = F.col("text").rlike(r"^\s*\{")
     rows = rows.withColumns(
         {
             "calls": F.when(braces, F.from_json(F.get_json_object("text", "$.tool_calls"), CALL)),
@@ -183,8 +194,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in batch.to_pylist():
             lost = r["orphans"] or []
-            chat = json.loads(r["chat"]) if r["chat"] else {"calls": [], "conv_id": r["conv_id"]}
-            out.append((r["conv_id"], len(r["turns"]), *(r[c] or 0 for c in counts), len(lost), canonical(chat | {"orphans": lost, "turns": r["turns"]})))
+            # the keys that are added come behind those that are there
+            chat = r["chat"] or canonical({"calls": [], "conv_id": r["conv_id"]})
+            whole = f"{chat[:-1]},{canonical({'orphans': lost, 'turns': r['turns']})[1:]}"
+            out.append((r["conv_id"], len(r["turns"]), *(r[c] or 0 for c in counts), len(lost), whole))
         columns = list(zip(*out)) if out else [()] * 8
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.string())], names=["conv_id", "n_turns", *counts, "n_orphans", "chat"])
 
@@ -197,6 +210,35 @@ def transcribed(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     return both.select("conv_id", "turns", "n_calls", "n_linked", "n_invalid", "n_cyclic", "orphans", "chat").mapInArrow(_whole, TRANSCRIBED)
 
 
+def generated(turns: DataFrame) -> DataFrame:
+    """Turns with tool calls made from every user's turn, the j-th of its conversation: a table that has what plain chat has not.
+
+    Call c<j> looks for the text; each even one needs the odd one behind it. Every fourth
+    names no tool, the one before it has no query, every third has no result. Every
+    fifth conversation calls c0 again, every seventh has a result of no call, and in every tenth c1
+    needs c0 as well.
+    """
+    asked = _rows(turns).where("role = 'user'").withColumn("j", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1)
+    j, own = F.col("j"), F.concat(F.lit("c"), F.col("j"))
+    none = F.array().cast("array<string>")
+    needs = F.when(j % 2 == 0, F.array(F.concat(F.lit("c"), j + 1))).when((j == 1) & (F.col("conv_id") % 10 == 0), F.array(F.lit("c0"))).otherwise(none)
+    query = F.when(j % 4 == 2, "").otherwise(F.col("text"))
+    arguments = F.to_json(F.struct(query.alias("query"), (F.length("text") + 1).alias("limit")))
+    call = F.struct(own.alias("id"), F.when(j % 4 == 3, "fly").otherwise("search").alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
+    said = lambda calls: F.concat(F.lit(" "), F.to_json(F.struct(F.array(calls).alias("tool_calls"))))
+    answer = lambda id, content: F.to_json(F.struct(id.alias("tool_call_id"), content.alias("content")))
+    again = F.struct(F.lit("c0").alias("id"), F.lit("search").alias("name"), F.lit('{"query":"again"}').alias("arguments"), none.alias("depends_on"))
+    row = lambda turn, role, text: ("conv_id", turn.cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+    first = asked.where(j == 0)
+    parts = [
+        asked.select(*row(2 * j, "assistant", said(call))),
+        asked.where(j % 3 != 1).select(*row(2 * j + 1, "tool", answer(own, F.length("text").cast("string")))),
+        first.where("conv_id % 5 = 0").select(*row(F.lit(1 << 40), "assistant", said(again))),
+        first.where("conv_id % 7 = 0").select(*row(F.lit(1 << 41), "tool", answer(F.lit("zz"), F.lit("?")))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def oracle() -> str:
     """linked() over turns of plain chat in DuckDB's SQL."""
     return """
@@ -220,3 +262,20 @@ said AS (SELECT conv_id, count(*) AS n_turns, string_agg('{{"role":' || CAST(to_
 SELECT s.conv_id, s.n_turns, coalesce(c.n_calls, 0) AS n_calls, coalesce(c.n_linked, 0) AS n_linked, coalesce(c.n_invalid, 0) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic, CAST(0 AS BIGINT) AS n_orphans,
   coalesce(left(c.chat, length(c.chat) - 1), '{{"calls":[],"conv_id":' || s.conv_id) || ',"orphans":[],"turns":[' || s.list || ']}}' AS chat
 FROM said s LEFT JOIN called c ON c.conv_id = s.conv_id"""
+
+
+def generated_oracle() -> str:
+    """linked() over generated() in DuckDB's SQL."""
+    return """
+WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+asked AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS j, count(*) OVER (PARTITION BY conv_id) AS n FROM turns WHERE role = 'user'),
+calls AS (
+  SELECT conv_id, j, 2 * j AS turn, 'c' || j AS id, CASE WHEN j % 4 = 3 THEN 'fly' ELSE 'search' END AS name, j % 4 = 3 AS unknown, j % 4 = 2 OR (text = '' AND j % 4 <> 3) AS invalid,
+         '{"limit":' || (length(text) + 1) || ',"query":' || CASE WHEN j % 4 = 2 THEN '""' ELSE CAST(to_json(text) AS VARCHAR) END || '}' AS arguments,
+         CASE WHEN j % 3 <> 1 THEN CAST(length(text) AS VARCHAR) END AS result, false AS again, conv_id % 10 = 0 AND n > 1 AND j < 2 AS cyclic FROM asked
+  UNION ALL SELECT conv_id, 1099511627776, 1099511627776, 'c0', 'search', false, false, '{"query":"again"}', NULL, true, false FROM asked WHERE j = 0 AND conv_id % 5 = 0),
+judged AS (SELECT *, CASE WHEN cyclic THEN 'cyclic' WHEN again THEN 'duplicate' WHEN unknown THEN 'unknown' WHEN invalid THEN 'invalid' WHEN result IS NOT NULL THEN 'linked' ELSE 'unanswered' END AS status FROM calls)
+SELECT conv_id, count(*) AS n_calls, count(*) FILTER (status = 'linked') AS n_linked, count(*) FILTER (unknown OR invalid) AS n_invalid, count(*) FILTER (cyclic) AS n_cyclic,
+  '{"calls":[' || string_agg('{"arguments":' || arguments || ',"id":"' || id || '","name":"' || name || '","result":' || coalesce('"' || result || '"', 'null') || ',"status":"' || status || '","turn":' || turn || '}', ','
+    ORDER BY cyclic, CASE WHEN cyclic THEN j ELSE j // 2 END, CASE WHEN cyclic THEN 0 ELSE -(j % 2) END) || '],"conv_id":' || conv_id || '}' AS chat
+FROM judged GROUP BY conv_id"""
