@@ -1,7 +1,10 @@
 """Invariants of the algebra, readers, analysis and trainers; catalog queries against their oracles."""
 
 import math
+import shutil
 import struct
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -185,3 +188,15 @@ def test_k_means_runs_until_nothing_moves(spark):
         return int(((units @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T).argmax(axis=1) != at).sum())
 
     assert moved(analysis.k_means(rows)) == 0 < moved(analysis.k_means(rows, rounds=20))
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The rest imports with both folders of the corpus operators gone, with and without the pipeline's file."""
+    here = Path(__file__).parent.parent
+    for name in ("__spark_entry__.py", "wordloom", "corpus_pipeline.py"):
+        (shutil.copytree if (here / name).is_dir() else shutil.copy)(here / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "wordloom" / "llm", ignore_errors=True)
+    said = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True)
+    (tmp_path / "corpus_pipeline.py").unlink()
+    subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True)
