@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir, written  # noqa: F401
@@ -35,6 +35,11 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of id and text: what tells documents apart, also those that share an id or have none."""
+    return F.xxhash64(F.lit(7), docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["doc_id"].isNull())
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets (n + 1) and validity of a string column, without copying."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -11,15 +11,20 @@ its word edit distance to the item is at most floor(MAX_EDITS * n).
 2. The CGK random walk reads a sequence for 2 n steps; a random bit of (step,
    word) says whether it moves on. Few edits become few Hamming differences.
    Sampled positions of the walk are hashed, in as many independent walks and
-   samples as are needed to meet the target recall; the number comes from
-   simulated edits of the items themselves.
+   samples as are needed to meet the target recall at the greatest distance allowed.
+   The number comes from simulated edits of the items themselves: walks are added
+   until the recall of edits that had no part in the choice is above the target by
+   the lower bound of its confidence interval, for every length by itself.
 3. Windows that share a hash with an item are verified by exact edit distance.
 
 Defined cases: null and empty documents match nothing; items without words
 match nothing; items with fewer words than 1 / MAX_EDITS match exactly only. An
-empty benchmark or corpus gives no rows. Repeated rows of one doc_id count as
-one; equal items are reported each. The benchmark is held by every task; above
-`ITEM_WORDS` words it is taken in several passes over the documents.
+empty benchmark or corpus gives no rows. In `contaminated`, rows of one doc_id (or
+of none) count as one document; `drop_contaminated` judges every row by itself. Of
+places equally close the first counts; equal items are reported each. Documents of
+any length are searched whole, in blocks of whole documents. Other columns, whatever
+their names, are not read. The benchmark is held by every task; above `ITEM_WORDS`
+words it is taken in several passes over the documents.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lowered, mix64, small_side, word_hashes, word_spans, written
+from .common import U64, blocks, lowered, mix64, row_key, small_side, word_hashes, word_spans, written
 
 MAX_EDITS = 0.15
 TARGET_RECALL = 0.97
@@ -41,8 +46,8 @@ ITEM_WORDS = 2_000_000
 SAMPLES_PER_WALK = 8
 #: Positions sampled for one hash.
 SAMPLE = 4
-#: Walks at most; recall is held by then for every length seen.
-MOST_WALKS = 24
+#: Simulated edits of each length at once, and the recall that they must have before others are asked.
+EDITED, AMPLE_RECALL = 600, 0.985
 
 HITS = "doc_id long, item_id long, edits int, at_word long"
 
@@ -120,28 +125,57 @@ class Index:
     by_length: dict[int, tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]
 
 
+def _simulated(seqs: np.ndarray, k: int, rng: np.random.Generator, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items and what random edits make of them, k edits apart (fewer where edits of k can't be)."""
+    true = seqs[np.arange(EDITED) % len(seqs)]
+    changed = np.stack([_edited(s, k, rng, other) for s in true])
+    d = edit_distance(true, changed)
+    most = d[d <= k].max(initial=0)
+    return true[d == most], changed[d == most]
+
+
+def _meet(true: np.ndarray, changed: np.ndarray, n: int, walks: range) -> np.ndarray:
+    """Which pairs share a hash in one of the walks."""
+    met = np.zeros(len(true), bool)
+    for s in walks:
+        met |= (sample_hashes(walk(true, s), n, s) == sample_hashes(walk(changed, s), n, s)).any(axis=0)
+    return met
+
+
+def lower_bound(right: int, n: int, z: float = 1.64) -> float:
+    """Of the share that right of n are a sample of (Wilson)."""
+    p = right / n
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def walks_needed(seqs: np.ndarray, k: int, rng: np.random.Generator, other: np.ndarray, target: float) -> int:
+    """Walks until the recall of edits drawn anew is above the target."""
+    walks, ample = 0, max(AMPLE_RECALL, target)
+    true, changed = _simulated(seqs, k, rng, other)
+    met = np.zeros(len(true), bool)
+    while len(true):
+        while not walks or met.mean() < ample:
+            walks += 1
+            met |= _meet(true, changed, seqs.shape[1], range(walks, walks + 1))
+        fresh = _simulated(seqs, k, rng, other)
+        held = _meet(*fresh, seqs.shape[1], range(1, walks + 1))
+        if lower_bound(int(held.sum()), len(held)) >= target or not len(held):
+            break
+        true, changed, met = np.concatenate([true, fresh[0]]), np.concatenate([changed, fresh[1]]), np.r_[met, held]
+        ample = 1 - (1 - ample) / 2
+    return max(walks, 1)
+
+
 def build_index(items: list[tuple[int, np.ndarray]], target: float = TARGET_RECALL, seed: int = 11) -> Index:
     items = [(i, w) for i, w in items if len(w)]
     vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, U64)
     pairs = np.unique(np.concatenate([pair_hashes(w) for _, w in items])) if items else vocabulary
-    rng, by_length = np.random.default_rng(seed), {}
+    by_length = {}
     for n in sorted({len(w) for _, w in items}):
         ids = np.array([i for i, w in items if len(w) == n])
         seqs = np.stack([w for _, w in items if len(w) == n])
-        k, walks = int(MAX_EDITS * n), 1
-        if k:
-            # windows at the edge of what may match: k edits; a shifted tail costs more, so these err on the safe side
-            tries = max(1, 200 // len(seqs))
-            true = np.repeat(seqs, tries, axis=0)
-            changed = np.stack([_edited(s, k, rng, vocabulary) for s in true])
-            near = edit_distance(true, changed) <= k
-            true, changed = true[near], changed[near]
-            met = np.zeros(len(true), bool)
-            while len(true):
-                met |= (sample_hashes(walk(true, walks), n, walks) == sample_hashes(walk(changed, walks), n, walks)).any(axis=0)
-                if met.mean() >= target or walks == MOST_WALKS:
-                    break
-                walks += 1
+        k = int(MAX_EDITS * n)
+        walks = walks_needed(seqs, k, np.random.default_rng((seed, n)), vocabulary, target) if k else 1
         keys = np.concatenate([sample_hashes(walk(seqs, s), n, s).ravel() for s in range(1, walks + 1)])
         owner = np.tile(np.arange(len(seqs)), SAMPLES_PER_WALK * walks)
         order = np.argsort(keys, kind="stable")
@@ -260,8 +294,8 @@ def _searcher(index: Index):
     return search
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, at_word): the closest, first place of each item in each document that holds it."""
+def _hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, at_word) of every row (doc_id, text) and item."""
     # the benchmark is small beside the corpus; its passes are bounded by ITEM_WORDS each
     parts, size = [[]], 0
     for item_id, text in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
@@ -271,20 +305,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             size = 0
         parts[-1].append((item_id, w))
         size += len(w)
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
+    found = texts.sparkSession.createDataFrame([], HITS)
     for part in parts:
         index = build_index(part)
-        if not index.by_length:
-            hits = docs.sparkSession.createDataFrame([], HITS)
-        else:
-            hits = texts.mapInArrow(_searcher(index), HITS)
-        found = hits if found is None else found.unionByName(hits)
+        if index.by_length:
+            found = found.unionByName(texts.where("text is not null").mapInArrow(_searcher(index), HITS))
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits, at_word): the closest, first place of each item in each document that holds it."""
+    found = _hits(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), benchmark)
     best = F.min(F.struct("edits", "at_word"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.edits", "best.at_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; columns as they were."""
-    hit = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(small_side(hit, hit.count()), "doc_id", "left_anti").select(docs.columns)
+    """The rows that hold no benchmark item; columns as they were, whatever their names."""
+    keyed = docs.select(row_key(docs).alias("doc_id"), docs["text"].cast("string").alias("text"))
+    hit = written(_hits(keyed, benchmark).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.withColumn("_key", row_key(docs)).join(small_side(hit, hit.count()), "_key", "left_anti").select(docs.columns)

@@ -35,10 +35,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lowered, mix64, small_side, word_hashes, word_spans, written
+from .common import U64, blocks, lowered, mix64, row_key, small_side, word_hashes, word_spans, written
 
 BITS = 128
 #: Widths of the signature's parts and the radius that each part covers.
@@ -127,11 +127,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.view(np.int64)) for x in (hi, lo, digest)), pa.array(words)], names=["key", "doc_id", "hi", "lo", "digest", "n_words"])
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of id and text: what tells documents apart."""
-    return F.xxhash64(F.lit(7), docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["doc_id"].isNull())
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """(key, doc_id, hi, lo, digest, n_words) of every row."""
     rows = docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
