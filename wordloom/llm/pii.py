@@ -16,15 +16,20 @@ the whole text, however long.
 
 Defined cases: a null text stays null, and an empty one empty, without entities;
 rows are independent, so repeated rows repeat their results; text without any
-entity is left as it is, byte for byte. A secret with fewer than four digits needs a
+entity is left as it is, byte for byte. Texts and islands of any length are decoded
+whole. Of types that score alike the first of `TYPES` counts, of labellings that
+score alike the one whose spans end first. Other columns stay, whatever their names.
+An empty table gives no rows. A secret with fewer than four digits needs a
 known prefix, both cases and a digit in 20 characters, or a secret word before it.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +45,8 @@ LEAST_DIGITS = 4
 #: Bound of the training sample.
 TRAIN_ISLANDS = 700
 EPOCHS = 40
+#: Spans whose features are held at once.
+SCORED = 4096
 
 FOUND = "struct<text:string,entities:array<struct<start:int,length:int,type:string>>>"
 
@@ -126,34 +133,37 @@ def _least_secret(context: str) -> int | None:
     return LEAST_BEARER if _AFTER_BEARER.search(context) else None
 
 
-def spans(text: str, context: str) -> tuple[list[int], list[tuple[int, int, tuple[float, ...]]]]:
-    """The token boundaries of an island, and every span (first token, end token, features) that may be an entity."""
-    tokens = _TOKEN.findall(text)
-    at = [0]
-    for t in tokens:
-        at.append(at[-1] + len(t))
-    digits = [0]
-    for t in tokens:
+def tokens_of(text: str) -> tuple[list[int], list[int], list[int]]:
+    """The token boundaries of an island, and the digits and "@" before each."""
+    at, digits, ats = [0], [0], [0]
+    for m in _TOKEN.finditer(text):
+        t = m.group()
+        at.append(m.end())
         digits.append(digits[-1] + len(_DIGITS.findall(t)))
-    ats = [0]
-    for t in tokens:
         ats.append(ats[-1] + (t == "@"))
-    found = []
-    for i, t in enumerate(tokens):
+    return at, digits, ats
+
+
+def spans(text: str, context: str, tokens: tuple[list[int], list[int], list[int]]) -> Iterator[tuple[int, int, tuple[float, ...]]]:
+    """Every span (first token, end token, features) that may be an entity, by its first token."""
+    at, digits, ats = tokens
+    n = len(at) - 1
+    for i in range(n):
+        a, whole = at[i], True
+        t = text[a : at[i + 1]]
         if t.isspace():
             continue
-        a, whole = at[i], True
-        least = _least_secret((context + text[:a])[-24:]) if t not in "\"'=:" else None
-        for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
-            if tokens[j - 1].isspace():
+        before = text[max(0, a - 24) : a] if a >= 24 else (context + text[:a])[-24:]
+        least = _least_secret(before) if t not in "\"'=:" else None
+        for j in range(i + 1, min(i + MAX_TOKENS, n) + 1):
+            if text[at[j - 1]].isspace():
                 whole = False
                 continue
             b = at[j]
             if ats[j] == ats[i] and digits[j] - digits[i] < LEAST_DIGITS:
                 if not whole or not (least and b - a >= least or b - a >= 17 and _LOOKS.fullmatch(text, a, b)):
                     continue
-            found.append((i, j, features(text[a:b], j - i, text[a - 1 : a] if a else "", text[b : b + 2], (context + text[:a])[-24:])))
-    return at, found
+            yield i, j, features(text[a:b], j - i, text[a - 1 : a] if a else "", text[b : b + 2], before)
 
 
 def _hex(rng: random.Random, n: int) -> str:
@@ -247,11 +257,12 @@ def synthetic(n: int, seed: int) -> list[tuple[str, str, list[tuple[int, int, st
 
 
 def _lattice(text: str, context: str) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    at, found = spans(text, context)
+    tokens = tokens_of(text)
+    found = list(spans(text, context, tokens))
     if not found:
-        return at, np.zeros(0, int), np.zeros(0, int), np.zeros((0, N_FEATURES))
+        return tokens[0], np.zeros(0, int), np.zeros(0, int), np.zeros((0, N_FEATURES))
     i, j, f = zip(*found)
-    return at, np.array(i), np.array(j), np.array(f)
+    return tokens[0], np.array(i), np.array(j), np.array(f)
 
 
 def _log_sum(values: list[float]) -> float:
@@ -302,31 +313,34 @@ def train(n: int = TRAIN_ISLANDS, seed: int = 5) -> np.ndarray:
 
 
 def decode(text: str, context: str, weights: np.ndarray) -> list[tuple[int, int, str]]:
-    """The best labelling's entities (start, end, type) of one island."""
-    at, i, j, f = _lattice(text, context)
-    if not len(i):
-        return []
-    scores = f @ weights.T
-    kind = scores.argmax(axis=1)
-    best = scores[np.arange(len(i)), kind]
+    """The best labelling's entities (start, end, type) of one island, of any length: spans are scored `SCORED` at a time, and those that score leave three numbers."""
+    tokens = tokens_of(text)
+    at = tokens[0]
     n = len(at) - 1
-    ends = [[] for _ in range(n + 1)]
-    for k in np.flatnonzero(best > 0).tolist():  # a span that scores below its tokens apart is on no best path
-        ends[j[k]].append(k)
-    value, back = [0.0] * (n + 1), [-1] * (n + 1)
+    ends: dict[int, list[tuple[int, int, float]]] = {}
+    every = spans(text, context, tokens)
+    while part := list(itertools.islice(every, SCORED)):
+        scores = np.array([f for _, _, f in part]) @ weights.T
+        kind = scores.argmax(axis=1)
+        best = scores[np.arange(len(part)), kind]
+        for k in np.flatnonzero(best > 0).tolist():  # a span that scores below its tokens apart is on no best path
+            ends.setdefault(part[k][1], []).append((part[k][0], int(kind[k]), float(best[k])))
+    if not ends:
+        return []
+    value, back = [0.0] * (n + 1), [None] * (n + 1)
     for q in range(1, n + 1):
         value[q] = value[q - 1]
-        for k in ends[q]:
-            v = value[i[k]] + best[k]
-            if v > value[q]:
-                value[q], back[q] = v, k
+        for i, kind, score in ends.get(q, ()):
+            if (v := value[i] + score) > value[q]:
+                value[q], back[q] = v, (i, kind)
     found, q = [], n
     while q:
-        if (k := back[q]) < 0:
+        if back[q] is None:
             q -= 1
         else:
-            found.append((at[i[k]], at[j[k]], TYPES[kind[k]]))
-            q = int(i[k])
+            i, kind = back[q]
+            found.append((at[i], at[q], TYPES[kind]))
+            q = i
     return found[::-1]
 
 
