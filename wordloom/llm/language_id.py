@@ -12,7 +12,9 @@ temperature that divides the scores is chosen to give these the least log loss.
 Defined cases: null and empty texts have no language (null) and probability 0.
 Rows repeat their results. With a single known language every text gets it; with
 none every language is null. A null language is not learnt from. Ties go to the
-language first in the alphabet.
+language first in the alphabet. All of a text's n-grams count, however long it is.
+Only doc_id, text and lang are read, whatever the names of other columns. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ LONGEST = 3
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 TRAIN_ROWS = 3000
-TRAIN_CHARS = 1 << 16
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 
@@ -133,7 +134,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in _texts(batch.column(0)):
             df[gram_counts(text)[0]] += 1
             n += 1
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(BUCKETS)]), pa.array(np.r_[n, df])], names=["bucket", "df"])
+    seen = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[n, df[seen]])], names=["bucket", "df"])
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -147,7 +149,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, lang): the bounded sample."""
-    known = docs.where("length(text) > 0 and lang is not null").where(F.length("text") <= TRAIN_CHARS)
+    known = docs.where("length(text) > 0 and lang is not null")
     # Spark keeps each task's first rows of a language only before it shuffles (a window group limit)
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("h"))
     kinds = ids.select("lang").distinct().count()

@@ -9,14 +9,16 @@ single probability.
 
 A document is good if it is labelled quality 1 and toxic 0. The network is
 trained on the driver, from a fixed seed, on at most `TRAIN_ROWS` labelled
-documents of at most `TRAIN_BYTES` bytes each, those of least hash: half of them
-good, a quarter toxic, a quarter of low quality, as far as there are any.
+documents, whole and of any length, those of least hash (ties by doc_id): half of
+them good, a quarter toxic, a quarter of low quality, as far as there are any.
 
 Defined cases: null and empty texts have probability 0 and are not kept. Texts
-shorter than a filter are filled up with zero bytes. Repeated rows repeat their
-results. Without labelled documents of both kinds there is nothing to learn: the
-probability is the share of good ones, or 0.5 without any. Labels that contradict
-one another count each.
+shorter than a filter are filled up with zero bytes; of long texts every window
+counts. Repeated rows repeat their results. Without labelled documents of both kinds
+there is nothing to learn: the probability is the share of good ones, or 0.5 without
+any. Labels that contradict one another count each. Only doc_id and text, and of the
+labels doc_id, quality and toxic, are read, whatever the names of other columns. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from .common import small_side, utf8
 WIDTH, DEPTH, FILTERS = 6, 4, 32
 CHUNK = 8192
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 1 << 15
 EPOCHS = 12
 BATCH = 16
 KEPT = 0.5
@@ -91,6 +92,30 @@ def probability(net: Network, data: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(x @ net.weights + net.bias))))
 
 
+def backward(net: Network, data: np.ndarray, good: float, weight: float, mask: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Slopes of weight times one text's log loss, by parameter, and that of the bias; mask: what dropout leaves."""
+    slopes = [np.zeros_like(p) for p in net.parameters()]
+    z, at = pooled(net, data, True)
+    h = _activate(z)
+    top = h.argmax(axis=0)
+    x = np.r_[h[top, np.arange(FILTERS)], h.mean(axis=0)]
+    p = 1 / (1 + np.exp(-((x * mask) @ net.weights + net.bias)))
+    e = net.weights.dtype.type((p - good) * weight)
+    slopes[3] += e * x * mask
+    dx = e * net.weights * mask
+    dh = np.repeat(dx[None, FILTERS:] / len(h), len(h), axis=0)
+    dh[top, np.arange(FILTERS)] += dx[:FILTERS]
+    dz = dh * (z > 0)
+    slopes[2] += dz.sum(axis=0)
+    c, k = np.nonzero(dz)
+    if len(c):
+        codes = data[at[c, k][:, None] + np.arange(WIDTH)]
+        seen = net.table[codes].reshape(len(c), -1)
+        np.add.at(slopes[1].T, k, dz[c, k][:, None] * seen)
+        np.add.at(slopes[0], codes.ravel(), (dz[c, k][:, None] * net.filters.T[k]).reshape(-1, DEPTH))
+    return slopes, float(e)
+
+
 def train(texts: list[bytes], good: list[int], seed: int = 3, epochs: int = EPOCHS) -> Network:
     """Adam on the log loss; both kinds weigh alike."""
     rng = np.random.default_rng(seed)
@@ -114,29 +139,12 @@ def train(texts: list[bytes], good: list[int], seed: int = 3, epochs: int = EPOC
             slopes = [np.zeros_like(p) for p in net.parameters()]
             slope_bias, part = 0.0, order[b : b + BATCH]
             for i in part:
-                z, at = pooled(net, data[i], True)
-                h = _activate(z)
-                top = h.argmax(axis=0)
-                x = np.r_[h[top, np.arange(FILTERS)], h.mean(axis=0)]
                 # dropout
                 mask = np.tile(rng.random(FILTERS) > 0.1, 2) / f32(0.9)
-                p = 1 / (1 + np.exp(-((x * mask) @ net.weights + net.bias)))
-                e = f32((p - y[i]) * weight[i] / len(part))
-                slopes[3] += e * x * mask
-                slope_bias += float(e)
-                dx = e * net.weights * mask
-                dh = np.repeat(dx[None, FILTERS:] / len(h), len(h), axis=0)
-                dh[top, np.arange(FILTERS)] += dx[:FILTERS]
-                dz = dh * (z > 0)
-                slopes[2] += dz.sum(axis=0)
-                c, k = np.nonzero(dz)
-                if not len(c):
-                    continue
-                codes = data[i][at[c, k][:, None] + np.arange(WIDTH)]
-                seen = net.table[codes].reshape(len(c), -1)
-                np.add.at(slopes[1].T, k, dz[c, k][:, None] * seen)
-                back = (dz[c, k][:, None] * net.filters.T[k]).reshape(-1, DEPTH)
-                np.add.at(slopes[0], codes.ravel(), back)
+                own, bias = backward(net, data[i], y[i], weight[i] / len(part), mask)
+                slope_bias += bias
+                for total, slope in zip(slopes, own):
+                    total += slope
             step += 1
             for p, s, m, v in zip(net.parameters(), slopes, first, second):
                 m += 0.1 * (s - m)
@@ -152,7 +160,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """(doc_id, text, good) of the bounded sample by hash: at most half good, a quarter toxic, a quarter of low quality."""
     toxic, low = F.coalesce("toxic", F.lit(0)) == 1, F.col("quality") != 1
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.when(toxic, 1).when(low, 2).otherwise(0).alias("kind"))
-    texts = docs.where(F.length("text") > 0).where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text")
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
     ids = texts.select("doc_id").distinct().join(known, "doc_id").select("doc_id", "kind", F.xxhash64("doc_id").alias("h"))
     parts = [ids.where(F.col("kind") == k).orderBy("h", "doc_id").limit(max(1, rows // n)) for k, n in ((0, 2), (1, 4), (2, 4))]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])
