@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, utf8, word_hashes
@@ -315,7 +315,10 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slab.rows()
 
 
-def _put_together(path: str):
+def _put_together(spark: SparkSession, path: str):
+    # the driver reads the vocabulary; tasks need not have the file
+    held_ranks = spark.sparkContext.broadcast(vocabulary(path))
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
@@ -331,7 +334,7 @@ def _put_together(path: str):
                 long = get("long_words").as_py()
                 if long:
                     # a long word's place has no ids; theirs are put behind the others
-                    ranks = vocabulary(path)
+                    ranks = held_ranks.value
                     extra = [merge_long(w, ranks) for w in long]
                     places = np.flatnonzero(sizes == 0)
                     starts[places] = len(ids) + np.r_[0, np.cumsum([len(x) for x in extra])][:-1]
@@ -361,7 +364,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     encoder = Encoder(path)
     slabs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_slabs, SLAB)
     ids = encoder.fold_all(F.col("words"))
-    return slabs.select("ids", "valid", "sizes", "codes", "long_words", ids.alias("encoded")).mapInArrow(_put_together(path), ENCODED)
+    return slabs.select("ids", "valid", "sizes", "codes", "long_words", ids.alias("encoded")).mapInArrow(_put_together(docs.sparkSession, path), ENCODED)
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:

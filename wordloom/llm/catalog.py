@@ -47,7 +47,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counted(source(spark, sf_dir, "documents"), token_counts.new_cache(spark))
+    return token_counts.counted_twice(source(spark, sf_dir, "documents"), token_counts.new_cache(spark))
 
 
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ no half-written rows. Two runs at once may append the same digest; equal rows
 count once.
 
 Defined cases: a null text has a null count, an empty one 0; rows repeat their
-counts; rows without a doc_id are counted too. An empty table appends nothing.
+counts; rows without a doc_id are counted too, and so are several texts of one. Texts
+of any length are encoded whole. Only doc_id and text are read, whatever the names
+of other columns. An empty table appends nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, VOCABULARY, vocabulary
@@ -44,13 +46,14 @@ def normalised(text: Column) -> Column:
     return F.rtrim(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(" \t\n"))
 
 
-def _counter(path: str):
-    state: dict = {}
+def _counter(spark: SparkSession, path: str):
+    # the driver reads the vocabulary; tasks need not have the file
+    state, ranks = {}, spark.sparkContext.broadcast(vocabulary(path))
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         if not state:
-            whole = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary(path), special_tokens={})
+            whole = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
 
             class Known(dict):
                 def __missing__(self, word: str) -> int:
@@ -88,20 +91,27 @@ def counted(docs: DataFrame, cache_path: str, path: str = VOCABULARY) -> DataFra
     stored = read_cache(spark, cache_path).where(F.col("version") == now).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     distinct = keyed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    misses = distinct.join(stored, "digest", "left_anti")
+    misses = written(distinct.join(stored, "digest", "left_anti"), "misses")
     # all rows but the first of each missing digest need no encoding: they are fewer than the texts
     skip = keyed.join(misses.withColumnRenamed("first", "encoded"), "digest", "left").where("encoded is null or doc_id <> encoded").select("doc_id", "digest").distinct()
     skip = written(skip, "skipped")
     skip = small_side(skip, skip.count())
     fresh = texts.where("text is not null").withColumn("digest", digest).join(skip, ["doc_id", "digest"], "left_anti")
     # rows that repeat a doc_id repeat its digest
-    new = fresh.select("digest", _counter(path)("text").alias("n_tokens")).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    new.select("digest", F.lit(now).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
+    new = fresh.select("digest", _counter(spark, path)("text").alias("n_tokens")).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    if not misses.isEmpty():
+        new.select("digest", F.lit(now).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
 
     known = read_cache(spark, cache_path).where(F.col("version") == now).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(known, "digest", "left").select("doc_id", "n_tokens")
 
 
+def counted_twice(docs: DataFrame, cache_path: str) -> DataFrame:
+    """counted() again after a first run has filled the cache: nothing is encoded then, and nothing appended."""
+    written(counted(docs, cache_path), "counts")
+    return counted(docs, cache_path)
+
+
 def new_cache(spark) -> str:
     """A place in the shared folder for a cache that begins empty."""
     return f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
