@@ -82,6 +82,36 @@ def shift(a: Column, by: int | Column) -> Column:
     return let(a, lambda v: let(F.pmod(F.lit(0) - by, F.size(v)), lambda back: F.concat(F.slice(v, back + 1, F.size(v) - back), F.slice(v, 1, back))))
 
 
+def scattered(a: Column, permutation: Column) -> Column:
+    """Coordinate i goes to place permutation[i]."""
+    pairs = F.arrays_zip(permutation.alias("to"), a.alias("x"))
+    return F.transform(F.array_sort(pairs), lambda e: e["x"])
+
+
+def inverse(permutation: Column) -> Column:
+    """The permutation that undoes another."""
+    pairs = F.transform(permutation, lambda to, i: F.struct(to.alias("to"), i.alias("i")))
+    return F.transform(F.array_sort(pairs), lambda e: e["i"])
+
+
+def permutation(name: Column, n: int) -> Column:
+    """The random permutation of 0 to n - 1 that a name gives: places in the order of their md5."""
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.md5(F.concat(name, F.lit("#"), i.cast("string"))).alias("h"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda e: e["i"])
+
+
+def swapped(permutation: Column, name: Column, share: float = 0.25) -> Column:
+    """A permutation near another: a share of its places, in pairs that a name chooses, change over."""
+    n = F.size(permutation)
+    keyed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(F.concat(name, F.lit("#"), i.cast("string"))).alias("h"), i.alias("i")))
+    chosen = F.transform(F.slice(F.array_sort(keyed), 1, 2 * F.floor(n * share / 2).cast("int")), lambda e: e["i"])
+    def to(i):
+        return F.when(i % 2 == 0, i + 1).otherwise(i - 1)
+    def moved(c):
+        return F.transform(permutation, lambda x, i: let(F.array_position(c, i).cast("int") - 1, lambda at: F.when(at < 0, x).otherwise(F.get(permutation, F.get(c, to(at))))))
+    return let(chosen, moved)
+
+
 def without(a: Column, b: Column) -> Column:
     """a less its part along b (orthogonal negation), normalised."""
     return let(normalise(b), lambda u: let(normalise(a), lambda v: let(dot(v, u), lambda c: normalise(superpose(v, u, -c)))))

@@ -3,23 +3,47 @@
 A query vector is a table of one row, made from the store's own rows; it is crossed
 with the store, every row is scored by a column expression, and the best are taken
 without a full sort. Ties go by object.
+
+Terms are looked up in the order of the query, a repeated term counts each time. A
+term that the store lacks is left out of sums and subspaces; where a term has a place
+of its own (an analogy, a bound pair, a pattern) it stands as a zero vector. A query
+that comes to nothing finds nothing. Of store rows that share an object the
+least vector counts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
 
+def looked_up(store: DataFrame, terms: list) -> DataFrame:
+    """One row: m, the vectors of those terms that the store has, by term; without any there is no row."""
+    named = sorted({t for t in terms if t is not None}, key=str)
+    found = store.where(F.col("object").isin(named)).groupBy("object").agg(F.min("vec").alias("vec"))
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("object", "vec"))).alias("m")).where(F.size("m") > 0)
+
+
+def at(term) -> Column:
+    """A term's vector in looked_up(); null if there is none."""
+    return F.try_element_at("m", F.lit(term))
+
+
+def or_zero(term) -> Column:
+    return F.coalesce(at(term), F.transform(F.element_at(F.map_values("m"), 1), lambda x: x * F.lit(0.0)))
+
+
 def gathered(store: DataFrame, terms: list) -> DataFrame:
-    """One row: vs, the vectors of the terms in their order; missing terms are left out, and without any there is no row."""
-    place = F.array_position(F.array(*(F.lit(t) for t in terms)), F.col("object"))
-    found = store.where(F.col("object").isin(list(terms))).select(F.struct(place.alias("at"), "vec").alias("x"))
-    return found.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["vec"]).alias("vs")).where(F.size("vs") > 0)
+    """One row: vs, the vectors of the terms in their order, repeats included; missing terms are left out, and without any there is no row."""
+    vs = F.filter(F.array(*(at(t) for t in terms)), lambda v: v.isNotNull())
+    return looked_up(store, terms).select(vs.alias("vs")).where(F.size("vs") > 0)
+
+
+def placed(store: DataFrame, terms: list) -> DataFrame:
+    """One row: vs, a vector for each term, zero for a missing one; without any there is no row."""
+    return looked_up(store, terms).select(F.array(*(or_zero(t) for t in terms)).alias("vs"))
 
 
 def total(vs: Column) -> Column:
@@ -27,12 +51,34 @@ def total(vs: Column) -> Column:
     return V.normalise(F.aggregate(F.slice(vs, 2, F.size(vs)), F.get(vs, F.lit(0)), lambda s, v: V.superpose(s, v)))
 
 
-def orthogonal(vs: list[Column]) -> list[Column]:
-    """Gram-Schmidt over a few vectors."""
-    out: list[Column] = []
-    for v in vs:
-        out.append(reduce(lambda x, u: V.without(x, u), out, V.normalise(v)))
-    return out
+def additive(store: DataFrame, terms: list, weights: DataFrame | None = None) -> DataFrame:
+    """One row: q, the normalised sum of the terms' vectors, each times its weight (term, weight) if there are weights; a term without one has none."""
+    if weights is None:
+        return gathered(store, terms).select(total(F.col("vs")).alias("q"))
+    w = weights.where(F.col("term").isin(list(terms))).select(F.col("term").alias("object"), "weight")
+    weighted = store.join(F.broadcast(w), "object").select("object", V.scale(F.col("vec"), F.col("weight")).alias("vec"))
+    return gathered(weighted, terms).select(total(F.col("vs")).alias("q"))
+
+
+def matching(store: DataFrame, pattern: str) -> DataFrame:
+    """One row: q, the normalised sum of all vectors whose object the pattern finds; summed place by place, so that many may match."""
+    long = store.where(F.col("object").cast("string").rlike(pattern)).select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    vec = long.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
+    return vec.where(F.size("v") > 0).select(V.normalise(F.col("v")).alias("q"))
+
+
+def orthonormal(vs: Column) -> Column:
+    """Gram-Schmidt over an array of vectors in their order; what the others span is dropped."""
+    def add(basis: Column, v: Column) -> Column:
+        rest = F.aggregate(basis, V.normalise(v), lambda x, u: V.superpose(x, u, -V.dot(x, u)))
+        return V.let(rest, lambda r: F.when(V.norm(r) > 1e-9, F.concat(basis, F.array(V.normalise(r)))).otherwise(basis))
+
+    return F.aggregate(vs, F.array().cast("array<array<double>>"), add)
+
+
+def projected(vec: Column, basis: Column) -> Column:
+    """The length of a vector's projection on an orthonormal basis."""
+    return V.let(V.normalise(vec), lambda u: F.sqrt(F.aggregate(F.transform(basis, lambda b: F.pow(V.dot(u, b), 2)), F.lit(0.0), lambda s, x: s + x)))
 
 
 def scored(store: DataFrame, query: DataFrame, score: Column) -> DataFrame:
@@ -40,58 +86,106 @@ def scored(store: DataFrame, query: DataFrame, score: Column) -> DataFrame:
     return store.crossJoin(F.broadcast(query)).select("object", F.round(score, 6).alias("score"))
 
 
+def near(store: DataFrame, query: DataFrame) -> DataFrame:
+    """(object, score): the cosine of every row and the query's q; a zero query finds nothing."""
+    return scored(store, query.where(~V.is_zero(F.col("q"))), V.cosine(F.col("vec"), F.col("q")))
+
+
 def best(hits: DataFrame, k: int = 20, least: float = -1.0) -> DataFrame:
     return hits.where(F.col("score") > least).orderBy(F.desc("score"), "object").limit(k)
 
 
-def search_sum(store: DataFrame, terms: list, k: int = 20) -> DataFrame:
-    return best(scored(store, gathered(store, terms).select(total(F.col("vs")).alias("q")), V.cosine(F.col("vec"), F.col("q"))), k)
+def above(hits: DataFrame, least: float) -> DataFrame:
+    """All hits above a score, best first."""
+    return hits.where(F.col("score") > least).orderBy(F.desc("score"), "object")
+
+
+def weighted(hits: DataFrame, weights: DataFrame) -> DataFrame:
+    """Scores times the objects' weights (term, weight); an object without one scores nothing."""
+    w = weights.select(F.col("term").alias("object"), "weight")
+    return hits.join(w, "object", "left").select("object", F.round(F.col("score") * F.coalesce("weight", F.lit(0.0)), 6).alias("score"))
+
 
+def vectors_of(hits: DataFrame, store: DataFrame) -> DataFrame:
+    """The hits with their vectors; hits are few."""
+    return store.join(F.broadcast(hits), "object")
 
-def search_not(store: DataFrame, positive: list, negative: list, k: int = 20) -> DataFrame:
-    a = gathered(store, positive).select(total(F.col("vs")).alias("a"))
-    b = gathered(store, negative).select(total(F.col("vs")).alias("b"))
-    return best(scored(store, a.crossJoin(b).select(V.without(F.col("a"), F.col("b")).alias("q")), V.cosine(F.col("vec"), F.col("q"))), k)
+
+def search_sum(store: DataFrame, terms: list, k: int = 20, weights: DataFrame | None = None) -> DataFrame:
+    return best(near(store, additive(store, terms, weights)), k)
+
+
+def search_matching(store: DataFrame, pattern: str, k: int = 20) -> DataFrame:
+    return best(near(store, matching(store, pattern)), k)
+
+
+def search_not(store: DataFrame, positive: list, negative: list, k: int = 20, suppress: bool = False) -> DataFrame:
+    """What is near the sum of the positive terms and orthogonal to every negative one; suppress takes the negative ones as any others."""
+    if suppress:
+        return search_sum(store, [*positive, *negative], k)
+    vs = lambda terms: F.filter(F.array(*(at(t) for t in terms)), lambda v: v.isNotNull())
+    both = looked_up(store, [*positive, *negative]).select(vs(positive).alias("ps"), vs(negative).alias("ns") if negative else F.array().cast("array<array<double>>").alias("ns")).where(F.size("ps") > 0)
+    q = F.aggregate(orthonormal(F.col("ns")), total(F.col("ps")), lambda x, u: V.superpose(x, u, -V.dot(x, u)))
+    return best(near(store, both.select(V.normalise(q).alias("q"))), k)
 
 
 def search_subspace(store: DataFrame, terms: list, k: int = 20) -> DataFrame:
     """The length of a row's projection on the span of the terms."""
-    basis = gathered(store, terms).select(F.array(*orthogonal([F.get("vs", F.lit(i)) for i in range(len(terms))])).alias("basis"))
-    length = V.let(V.normalise(F.col("vec")), lambda u: F.sqrt(F.aggregate(F.transform("basis", lambda b: F.pow(V.dot(u, b), 2)), F.lit(0.0), lambda s, x: s + x)))
-    return best(scored(store, basis, length), k)
+    basis = gathered(store, terms).select(orthonormal(F.col("vs")).alias("basis"))
+    return best(scored(store, basis.where(F.size("basis") > 0), projected(F.col("vec"), F.col("basis"))), k)
 
 
 def search_extreme(store: DataFrame, terms: list, least: bool, k: int = 20) -> DataFrame:
+    """The greatest or least of the cosines with the terms; a term may be a list of terms that are summed."""
+    parts = [t if isinstance(t, list) else [t] for t in terms]
+    vs = F.filter(F.array(*(F.filter(F.array(*(at(t) for t in part)), lambda v: v.isNotNull()) for part in parts)), lambda x: F.size(x) > 0)
+    query = looked_up(store, [t for part in parts for t in part]).select(F.transform(vs, total).alias("vs"))
     scores = F.transform("vs", lambda v: V.cosine(F.col("vec"), v))
-    return best(scored(store, gathered(store, terms), F.array_min(scores) if least else F.array_max(scores)), k)
+    return best(scored(store, query, F.array_min(scores) if least else F.array_max(scores)), k)
 
 
 def search_permuted(store: DataFrame, pattern: list, k: int = 20) -> DataFrame:
     """pattern holds one None: each other term is shifted by its distance from it."""
-    gap, terms = pattern.index(None), [t for t in pattern if t is not None]
-    offsets = F.array(*(F.lit(i - gap) for i, t in enumerate(pattern) if t is not None))
-    q = gathered(store, terms).select(total(F.zip_with("vs", offsets, lambda v, o: V.shift(v, o))).alias("q"))
-    return best(scored(store, q, V.cosine(F.col("vec"), F.col("q"))), k)
+    gap = pattern.index(None)
+    turned = F.filter(F.array(*(V.shift(at(t), i - gap) for i, t in enumerate(pattern) if t is not None)), lambda v: v.isNotNull())
+    q = looked_up(store, pattern).select(turned.alias("vs")).where(F.size("vs") > 0).select(total(F.col("vs")).alias("q"))
+    return best(near(store, q), k)
+
+
+def search_turned(store: DataFrame, term, permutations: list[Column], k: int = 20) -> DataFrame:
+    """The term's vector after permutations, one after another (arrays: coordinate i goes to place p[i])."""
+    q = at(term)
+    for p in permutations:
+        q = V.scattered(q, p)
+    return best(near(store, looked_up(store, [term]).select(q.alias("q"))), k)
 
 
 def search_analogy(store: DataFrame, a, b, c, k: int = 20) -> DataFrame:
     """a is to b as c is to the hits."""
     one = lambda i: V.normalise(F.get("vs", F.lit(i)))
-    q = gathered(store, [a, b, c]).select(V.superpose(V.superpose(one(1), one(0), -1.0), one(2)).alias("q"))
-    return best(scored(store.where(~F.col("object").isin([a, b, c])), q, V.cosine(F.col("vec"), F.col("q"))), k)
+    q = placed(store, [a, b, c]).select(V.superpose(V.superpose(one(1), one(0), -1.0), one(2)).alias("q"))
+    return best(near(store.where(~F.col("object").isin([a, b, c])), q), k)
 
 
 def search_bound(store: DataFrame, first, second, k: int = 20, method: str = "normalized") -> DataFrame:
-    """Rows near first released from second."""
-    q = gathered(store, [first, second]).select(V.release(F.get("vs", F.lit(0)), F.get("vs", F.lit(1)), method).alias("q"))
-    return best(scored(store, q, V.cosine(F.col("vec"), F.col("q"))), k)
+    """Rows near first released from second; nothing if either is missing."""
+    known = (F.get("vs", F.lit(0)), F.get("vs", F.lit(1)))
+    q = placed(store, [first, second]).where(~V.is_zero(known[0]) & ~V.is_zero(known[1])).select(V.release(*known, method).alias("q"))
+    return best(near(store, q), k)
+
+
+def search_bound_subspace(store: DataFrame, first, seconds: list, k: int = 20, method: str = "plain") -> DataFrame:
+    """The projection on the span of first released from each of the seconds that there are."""
+    vs = F.filter(F.array(*(at(t) for t in seconds)), lambda v: v.isNotNull())
+    q = looked_up(store, [first, *seconds]).where(at(first).isNotNull()).select(orthonormal(F.transform(vs, lambda v: V.release(at(first), v, method))).alias("basis"))
+    return best(scored(store, q.where(F.size("basis") > 0), projected(F.col("vec"), F.col("basis"))), k)
 
 
 def search_bound_minimum(store: DataFrame, terms: list, k: int = 20) -> DataFrame:
     """The greatest of the lesser scores of consecutive pairs, 0 at least."""
     s = [V.cosine(F.col("vec"), F.get("vs", F.lit(i))) for i in range(len(terms))]
     pairs = [F.least(*s[i : i + 2]) if i + 1 < len(s) else s[i] for i in range(0, len(s), 2)]
-    return best(scored(store, gathered(store, terms), F.greatest(F.lit(0.0), F.lit(0.0), *pairs)), k)
+    return best(scored(store, placed(store, terms), F.greatest(F.lit(0.0), F.lit(0.0), *pairs)), k)
 
 
 def search_balanced(store: DataFrame, other: DataFrame, term, by: int = 1, k: int = 20) -> DataFrame:
@@ -102,13 +196,34 @@ def search_balanced(store: DataFrame, other: DataFrame, term, by: int = 1, k: in
 
 
 def search_proximity(store: DataFrame, terms: list, ends: tuple, k: int = 20) -> DataFrame:
-    """Sum over adjacent terms of the distance of a row's two overlaps when released by each."""
-    q = gathered(store, [*terms, *ends])
-    n = len(terms)
-    at = lambda i: F.get("vs", F.lit(i))
-    over = [(V.cosine(V.release(F.col("vec"), at(i), "permutation"), at(n)), V.cosine(V.release(F.col("vec"), at(i), "permutation"), at(n + 1))) for i in range(n)]
-    score = sum((F.sqrt(F.pow(a[0] - b[0], 2) + F.pow(a[1] - b[1], 2)) for a, b in zip(over, over[1:])), F.lit(0.0))
-    return best(scored(store, q, score), k)
+    """Sum over adjacent terms of the distance of a row's two overlaps when released by each; missing terms are left out, without both ends nothing is found."""
+    vs = F.filter(F.array(*(at(t) for t in terms)), lambda v: v.isNotNull())
+    q = looked_up(store, [*terms, *ends]).select(vs.alias("vs"), at(ends[0]).alias("low"), at(ends[1]).alias("high")).where("low is not null and high is not null and size(vs) > 0")
+    freed = lambda v: V.release(F.col("vec"), v, "permutation")
+    places = F.transform("vs", lambda v: V.let(freed(v), lambda r: F.struct(V.cosine(r, F.col("low")).alias("x"), V.cosine(r, F.col("high")).alias("y"))))
+    apart = lambda a, b: F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))
+    steps = V.let(places, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), apart))
+    return best(scored(store, q, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)), k)
+
+
+def expanded(store: DataFrame, pairs: DataFrame, method: str = "plain") -> DataFrame:
+    """The store and, for each pair (x, y) of its objects, x released by y under the name y:x. Which pairs there are is the caller's to bound."""
+    x, y = (store.select(F.col("object").alias(c), F.col("vec").alias(f"v{c}")) for c in "xy")
+    new = pairs.join(x, "x").join(y, "y").select(F.concat_ws(":", F.col("y").cast("string"), F.col("x").cast("string")).alias("object"), V.release(F.col("vx"), F.col("vy"), method).alias("vec"))
+    return store.select(F.col("object").cast("string").alias("object"), "vec").unionByName(new)
+
+
+def union_sum(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two stores as one: vectors of equal objects are added."""
+    both = one.withColumnRenamed("vec", "a").join(two.withColumnRenamed("vec", "b"), "object", "full")
+    return both.select("object", F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(V.superpose(F.col("a"), F.col("b"))).alias("vec"))
+
+
+def nearest(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(item, object, score): of few candidates (object, vec) the one nearest to each item (item, q); the first of equal ones."""
+    s = items.crossJoin(F.broadcast(candidates)).select("item", "object", F.round(V.cosine(F.col("q"), F.col("vec")), 6).alias("score"))
+    top = s.groupBy("item").agg(F.max(F.col("score")).alias("score"))
+    return s.join(top, ["item", "score"]).groupBy("item", "score").agg(F.min("object").alias("object")).select("item", "object", "score")
 
 
 def standardised(hits: DataFrame) -> DataFrame:
@@ -116,35 +231,49 @@ def standardised(hits: DataFrame) -> DataFrame:
     return hits.crossJoin(F.broadcast(stats)).select("object", F.round((F.col("score") - F.col("m")) / F.col("s"), 6).alias("score"))
 
 
+#: Rows of one side in a block of batch().
+BLOCK_ROWS = 1024
+
+
+def _blocks(df: DataFrame, key: str, vec: str, names: tuple[str, str], label: str) -> tuple[DataFrame, int]:
+    """Dense blocks of about BLOCK_ROWS rows: their number grows with the rows."""
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64(key), F.lit(n)).alias(label)
+    return df.groupBy(block).agg(F.collect_list(key).alias(names[0]), F.collect_list(vec).alias(names[1])), n
+
+
 def batch(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, object, score, rank): the k best of each query (query, q) but the query itself.
 
-    Both sides are cut into blocks of dense rows and multiplied with numpy; each pair
-    of blocks keeps k hits, so that what is shuffled is bounded by queries, not pairs.
+    Both sides are cut into blocks of a bounded number of dense rows and multiplied with
+    numpy; each pair of blocks keeps k hits a query, so that what is shuffled is bounded
+    by queries times blocks of the store, not by pairs.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def unit(x):
-        m = np.stack(x.to_numpy()).astype(np.float64)
+        m = np.stack(x).astype(np.float64)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    left = queries.groupBy((F.xxhash64("query") % 8).alias("b")).agg(F.collect_list("query").alias("ids"), F.collect_list("q").alias("qs"))
-
     def score(batches):
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                s = unit(pd.Series(list(row.qs))) @ unit(pd.Series(list(row.vecs))).T
-                ids, objects = np.asarray(row.ids), np.asarray(row.objects)
-                s = np.where(ids[:, None] == objects[None, :], -np.inf, np.round(s, 6))
+        for batch_ in batches:
+            for row in batch_.to_pylist():
+                ids, objects = np.asarray(row["ids"]), np.asarray(row["objects"])
+                s = np.round(unit(row["qs"]) @ unit(row["vecs"]).T, 6)
+                s[ids[:, None] == objects[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(objects, s.shape), -s), axis=1)[:, :k]
-                for i, o in enumerate(order):
-                    o = o[np.isfinite(s[i, o])]
-                    yield pd.DataFrame({"query": ids[i], "object": objects[o], "score": s[i, o]})
-
-    right = store.groupBy((F.xxhash64("object") % 8).alias("c")).agg(F.collect_list("object").alias("objects"), F.collect_list("vec").alias("vecs"))
-    hits = left.crossJoin(right).select("ids", "qs", "objects", "vecs").mapInPandas(score, "query long, object long, score double")
+                top = np.take_along_axis(s, order, axis=1)
+                keep = np.isfinite(top)
+                columns = np.broadcast_to(ids[:, None], order.shape)[keep], objects[order[keep]], top[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "object", "score"])
+
+    left, _ = _blocks(queries, "query", "q", ("ids", "qs"), "b")
+    right, m = _blocks(store, "object", "vec", ("objects", "vecs"), "c")
+    # a stated set of queries against all rows, in blocks: each block of queries goes to every block of the store
+    sent = left.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    hits = sent.join(right, "c").select("ids", "qs", "objects", "vecs").mapInArrow(score, "query long, object long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "object"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 

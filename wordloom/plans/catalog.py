@@ -12,64 +12,7 @@ from ..functions import vectors as V
 from ..operators import analysis, corpus, models, search, trainers
 from ..sources import readers
 from . import sql as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-SPACE = models.Space(S.DIM, S.SEED)
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def rounded(c: Column) -> Column:
-    return F.round(c, 6) + F.lit(0.0)
-
-
-def coo(df: DataFrame) -> DataFrame:
-    return df.select("object", "dim", rounded(F.col("val")).alias("val"))
-
-
-def space(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and vocabulary of the documents."""
-    return models.corpus_space(table(spark, d, "documents"), S.LEAST)
-
-
-def weights(spark: SparkSession, d: str, kind: str = "idf") -> DataFrame:
-    tf, vocabulary = space(spark, d)
-    n = tf.agg(F.count_distinct("doc_id").alias("n"))
-    return vocabulary.crossJoin(F.broadcast(n)).select("term", T.global_weight(kind, F.col("gf"), F.col("df"), F.col("n")).alias("weight"))
-
-
-def terms(spark: SparkSession, d: str) -> DataFrame:
-    tf, vocabulary = space(spark, d)
-    return models.normalised(models.term_vectors(tf, vocabulary, SPACE))
-
-
-def store(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("object"), F.col("embedding").cast("array<double>").alias("vec"))
-
-
-def pairs_of_store(spark: SparkSession, d: str) -> DataFrame:
-    """Each row beside the row of the next object: (object, a, b)."""
-    s = store(spark, d)
-    return s.withColumnRenamed("vec", "a").join(s.select((F.col("object") - 1).alias("object"), F.col("vec").alias("b")), "object")
-
-
-def entries(df: DataFrame, vec: Column) -> DataFrame:
-    """(object, i, val) of an array, the form that both engines hash alike."""
-    return df.select("object", F.posexplode(vec).alias("i", "val")).select("object", "i", rounded(F.col("val").cast("double")).alias("val"))
-
+from .registry import ORACLES, QUERIES, SPACE, coo, entries, pairs_of_store, query, rounded, space, store, table, terms, weights
 
 # sources
 
@@ -549,3 +492,7 @@ def skip_gram_embeddings(spark, d):
 @query()
 def predication_embeddings(spark, d):
     return trainers.predication_embeddings(triples(spark, d))
+
+
+# the other books fill themselves as they are read
+from . import algebra, building, searching  # noqa: E402, F401
