@@ -3,7 +3,8 @@
 Every document is held against seven rules. Failures are counted by host (here the
 source column), each rule's host rates are shrunk with a beta prior whose two
 parameters come from the mean and variance of the host rates (method of
-moments), and the shrunk rates are joined back to the documents.
+moments), and the shrunk rates are joined back to the documents. What the rules
+need of a text is counted over the bytes of whole blocks of texts at once.
 
 A document is rejected if it breaks at least `HARD` rules, or one of the decisive
 rules (symbols, capitals, repeated words or lines: each alone marks junk), or if
@@ -11,17 +12,21 @@ it breaks any rule and its host's shrunk rate of some broken rule is above
 `HOST_RATE`. A clean document is never rejected for its host.
 
 Defined cases: null and empty texts have no words and break only `empty`, which is
-decisive. A null host is a host of its own. Repeated rows count each. With a
-single host, or equal rates, the prior has its weakest defined form: strength
-`MOST_STRENGTH`. An empty table gives an empty result.
+decisive. Texts of any length count whole. A null host is a host of its own. Repeated
+rows count each. With a single host, or equal rates, the prior has its weakest defined
+form: strength `MOST_STRENGTH`. An empty table gives an empty result. Only doc_id,
+source and text are read, whatever the names of other columns; `accepted` hands all
+columns on as they were.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_side, written
+from .common import BROADCAST_ROWS, U64, blocks, lean, mix64, release, small_side, word_hashes, word_spans, written
 
 SYMBOLS = 0.05
 CAPITALS = 0.3
@@ -37,42 +42,74 @@ LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 RULES = ("empty", "symbols", "capitals", "word_repeats", "line_repeats", "long_words", "pipes")
 DECISIVE = ("empty", "symbols", "capitals", "word_repeats", "line_repeats", "pipes")
 
-_SPACE = " \t\n\r"
+
+def _table(signs: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[[ord(c) for c in signs]] = True
+    return found
+
+
+_SYMBOL, _OTHER = _table("#*%&$!~^<>{}"), _table(" \t\n\r0123456789.,;:!?#*%&$|")
+_CAPITAL, _WORD, _LINE = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ~_table(" \t\n\r"), ~_table("\n")
+#: Second bytes of the capitals from U+00C0 to U+00DE, whose first byte is 0xC3.
+_SECOND = np.zeros(256, bool)
+_SECOND[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = True
+COUNTS = ("chars", "words", "same", "pipes", "lines", "equal_lines", "symbols", "capitals", "other")
+
+
+def count_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """What the rules need of each text."""
+    n = len(offsets) - 1
+
+    def total(marks: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(marks, out=sums[1:])
+        return np.diff(sums[offsets])
+
+    capital = _CAPITAL[data]
+    capital[1:] |= (data[:-1] == 0xC3) & _SECOND[data[1:]]
+    first, last, rows = word_spans(data, offsets, _WORD)
+    h = word_hashes(data, first, last)
+    per_row = lambda which: np.bincount(which, minlength=n)
+    # a line holds something but blanks
+    a, b, of = word_spans(data, offsets, _LINE)
+    ink = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(data != 32, out=ink[1:])
+    full = ink[b] > ink[a]
+    a, b, of = a[full], b[full], of[full]
+    line = mix64(word_hashes(data, a, b) ^ mix64(of.astype(U64)))
+    distinct = of[np.unique(line, return_index=True)[1]]
+    return {
+        "chars": total((data & 0xC0) != 0x80), "words": per_row(rows), "same": per_row(rows[1:][(h[1:] == h[:-1]) & (rows[1:] == rows[:-1])]),
+        "pipes": per_row(rows[(last - first == 1) & (data[first] == 124)]) if len(first) else np.zeros(n, int),
+        "lines": per_row(of), "equal_lines": per_row(of) - per_row(distinct), "symbols": total(_SYMBOL[data]), "capitals": total(capital), "other": total(_OTHER[data]),
+    }
 
 
 def _counts(text: Column) -> Column:
-    """What the rules need of a text, in one pass each."""
-    words = F.filter(F.split(F.translate(text, "\t\n\r", "   "), " "), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    return F.struct(
-        F.length(text).alias("chars"),
-        words.alias("words"),
-        lines.alias("lines"),
-        (F.length(text) - F.length(F.translate(text, "#*%&$!~^<>{}", ""))).alias("symbols"),
-        F.length(F.regexp_replace(text, r"[^A-ZÀ-ÖØ-Þ]+", "")).alias("capitals"),
-        (F.length(text) - F.length(F.translate(text, _SPACE + "0123456789.,;:!?#*%&$|", ""))).alias("other"),
-    )
+    @F.arrow_udf(f"struct<{','.join(f'{c}:int' for c in COUNTS)}>")
+    def count(column: pa.Array) -> pa.Array:
+        parts = [count_block(data, offsets) for _, _, data, offsets in blocks(column)]
+        release()
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *(x[c] for x in parts)]).astype(np.int32)) for c in COUNTS], names=list(COUNTS))
+
+    return count(text)
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """docs with one integer column 0/1 for each rule (fail_<rule>)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id"), F.col("source").alias("host"), _counts(text).alias("c"))
-    c, n = F.col("c"), F.size("c.words")
+    base = lean(docs).select(F.col("doc_id"), F.col("source").alias("host"), _counts(text).alias("c"))
+    c, n = F.col("c"), F.col("c.words")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    same = F.aggregate(
-        c["words"],
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("n")),
-        lambda s, w: F.struct(w.alias("last"), (s["n"] + (s["last"] == w).cast("int")).alias("n")),
-    )["n"]
     rules = {
         "empty": n == 0,
         "symbols": share(c["symbols"], c["chars"]) > SYMBOLS,
         "capitals": (share(c["capitals"], c["chars"] - c["other"]) > CAPITALS) & (n >= 10),
-        "word_repeats": (share(same, n) > REPEATED_WORDS) & (n >= 10),
-        "line_repeats": (F.size(c["lines"]) >= 4) & (share(F.size(c["lines"]) - F.size(F.array_distinct(c["lines"])), F.size(c["lines"])) > REPEATED_LINES),
+        "word_repeats": (share(c["same"], n) > REPEATED_WORDS) & (n >= 10),
+        "line_repeats": (c["lines"] >= 4) & (share(c["equal_lines"], c["lines"]) > REPEATED_LINES),
         "long_words": share(c["chars"], n) > LONG_WORDS,
-        "pipes": (n >= 4) & (share(F.size(F.filter(c["words"], lambda w: w == "|")), n) > PIPES),
+        "pipes": (n >= 4) & (share(c["pipes"], n) > PIPES),
     }
     return base.select("doc_id", "host", *(F.coalesce(v, F.lit(False)).cast("int").alias(f"fail_{k}") for k, v in rules.items()))
 
