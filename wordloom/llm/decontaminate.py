@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lowered, mix64, row_key, small_side, word_hashes, word_spans, written
+from .common import U64, blocks, lean, lowered, mix64, row_key, small_side, tidy, word_hashes, word_spans, written
 
 MAX_EDITS = 0.15
 TARGET_RECALL = 0.97
@@ -45,7 +45,7 @@ TARGET_RECALL = 0.97
 ITEM_WORDS = 2_000_000
 SAMPLES_PER_WALK = 8
 #: Positions sampled for one hash.
-SAMPLE = 4
+SAMPLE = 3
 #: Simulated edits of each length at once, and the recall that they must have before others are asked.
 EDITED, AMPLE_RECALL = 600, 0.985
 
@@ -258,8 +258,8 @@ def matches(windows: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray,
     return window, ids[pairs[pair, 1]], d[pair]
 
 
-#: Windows of one length gathered before they are matched.
-GATHER = 1 << 15
+#: Windows of one length gathered before they are matched, and words of windows of all lengths.
+GATHER, GATHERED_WORDS = 1 << 13, 2 << 20
 
 
 def search_column(column: pa.Array, index: Index) -> tuple[np.ndarray, ...]:
@@ -271,11 +271,18 @@ def search_column(column: pa.Array, index: Index) -> tuple[np.ndarray, ...]:
         w, item, d = matches(windows, index)
         found.append((rows[w], item, d, at[w]))
 
+    size: dict[int, int] = {}
     for row, _, data, offsets in blocks(lowered(column)):
         for n, windows, rows, at in windows_of(data, offsets, index, tables):
             held.setdefault(n, []).append((windows, rows + row, at))
-            if sum(len(x[1]) for x in held[n]) > GATHER:
+            size[n] = size.get(n, 0) + len(rows)
+            if size[n] > GATHER:
                 settle(n)
+                size.pop(n)
+            while sum(k * v for k, v in size.items()) > GATHERED_WORDS:
+                most = max(size, key=lambda k: k * size[k])  # noqa: B023
+                settle(most)
+                size.pop(most)
     for n in list(held):
         settle(n)
     r, item, d, at = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
@@ -305,11 +312,11 @@ def _hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
             size = 0
         parts[-1].append((item_id, w))
         size += len(w)
-    found = texts.sparkSession.createDataFrame([], HITS)
+    found = lean(texts).sparkSession.createDataFrame([], HITS)
     for part in parts:
         index = build_index(part)
         if index.by_length:
-            found = found.unionByName(texts.where("text is not null").mapInArrow(_searcher(index), HITS))
+            found = found.unionByName(texts.where("text is not null").mapInArrow(tidy(_searcher(index)), HITS))
     return found
 
 
