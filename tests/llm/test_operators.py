@@ -1,10 +1,12 @@
 """The corpus operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
 import json
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -52,18 +54,44 @@ def test_pii_finds_planted_entities():
     assert right / found > 0.9 and wrong / found < 0.1
 
 
-def test_pii_decoding_is_the_best_labelling():
-    weights = pii.train()
-    for context, text, _ in pii.synthetic(60, seed=5):
-        at, found = pii.spans(text, context)
-        if len(found) > 40:
+def _labellings(start, n, options):
+    """Every way to cut tokens into typed spans and single tokens: its spans."""
+    if start == n:
+        yield ()
+        return
+    for rest in _labellings(start + 1, n, options):
+        yield rest
+    for end, types in options.get(start, {}).items():
+        for rest in _labellings(end, n, options):
+            for kind in types:
+                yield ((start, end, kind), *rest)
+
+
+def test_pii_decoding_is_the_best_of_all_labellings():
+    weights, tried = pii.train(), 0
+    for context, text, _ in pii.synthetic(400, seed=5):
+        tokens = pii.tokens_of(text)
+        at, options, score = tokens[0], {}, {}
+        for i, j, f in pii.spans(text, context, tokens):
+            options.setdefault(i, {})[j] = pii.TYPES
+            for k, kind in enumerate(pii.TYPES):
+                score[i, j, kind] = float(weights[k] @ np.array(f))
+        if sum(len(x) for x in options.values()) > 6:
             continue
-        options = [(i, j, float((weights @ np.array(f)).max())) for i, j, f in found]
-        best = {0: 0.0}
-        for q in range(1, len(at)):  # every labelling by exhaustion of the last span
-            best[q] = max([best[q - 1], *(best[i] + s for i, j, s in options if j == q)])
-        scores = {(at[i], at[j]): s for i, j, s in options}
-        assert sum(scores[a, b] for a, b, _ in pii.decode(text, context, weights)) == pytest.approx(best[len(at) - 1])
+        tried += 1
+        best = max(sum(score[x] for x in spans) for spans in _labellings(0, len(at) - 1, options))
+        place = {p: i for i, p in enumerate(at)}
+        assert sum(score[place[a], place[b], kind] for a, b, kind in pii.decode(text, context, weights)) == pytest.approx(best, abs=1e-9)
+    assert tried > 50
+
+
+def test_pii_of_a_long_island_in_pieces():
+    """An island that is scored in many parts has the entities of its parts."""
+    weights, one = pii.train(), "mail a.b@example.org call +49 (030) 555-0199 "
+    text = one.replace(" call ", ";") * 3000
+    column = pii.pa.array([text, "1" * 300_000, "7 " * 100_000])
+    texts, entities = pii.find_column(column, weights)
+    assert len(entities[0]) == 6000 and Counter(e["type"] for e in entities[0]) == {"EMAIL": 3000, "PHONE": 3000} and len(texts) == 3
 
 
 def test_pii_rows(odd, empty):
@@ -106,14 +134,38 @@ def test_decontamination_recall_against_brute_force(spark):
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             n = len(item)
-            a = np.array([t[x : x + n] for x in range(len(t) - n + 1)])
-            codes = {w: k for k, w in enumerate(words)}
-            a = np.vectorize(codes.get)(a)
-            b = np.tile([codes[w] for w in item], (len(a), 1))
-            if decontaminate.edit_distance(a, b).min() <= int(decontaminate.MAX_EDITS * n):
+            if any(_edits(t[x : x + n], item) <= int(decontaminate.MAX_EDITS * n) for x in range(20, len(t) - n - 20)):
                 want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) > 50
+    assert len(got & want) >= 0.97 * len(want) > 50
+    assert all(min(_edits(texts[d][x : x + len(items[i])], items[i]) for x in range(len(texts[d]))) <= int(decontaminate.MAX_EDITS * len(items[i])) for d, i in got)
+
+
+def _edits(a, b):
+    """Edit distance by the plain recurrence."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("n", [15, 47, 300])
+def test_decontamination_recall_at_the_greatest_distance(n):
+    """Edits that the index was not fitted on, at the distance allowed."""
+    rng = np.random.default_rng(99 + n)
+    words = rng.integers(1, 1 << 62, 3000).astype(np.uint64)
+    items = [(i, rng.choice(words, n)) for i in range(8)]
+    index, k = decontaminate.build_index(items), int(decontaminate.MAX_EDITS * n)
+    pairs = [(i, decontaminate._edited(w, k, rng, words)) for i, w in items * 120]
+    pairs = [(i, w) for i, w in pairs if n > 50 or _edits(w.tolist(), items[i][1].tolist()) <= k]
+    if n > 50:
+        d = decontaminate.edit_distance(np.stack([items[i][1] for i, _ in pairs]), np.stack([w for _, w in pairs]))
+        pairs = [p for p, x in zip(pairs, d) if x <= k]
+    window, item, _ = decontaminate.matches(np.stack([w for _, w in pairs]), index)
+    met = set(zip(window.tolist(), item.tolist()))
+    assert len(pairs) > 100 and sum((r, i) in met for r, (i, _) in enumerate(pairs)) >= 0.96 * len(pairs)
 
 
 def test_decontamination_edges(spark, odd, empty):
@@ -123,6 +175,9 @@ def test_decontamination_edges(spark, odd, empty):
     assert decontaminate.contaminated(odd, none).count() == 0 and decontaminate.contaminated(empty, one).count() == 0
     left = decontaminate.drop_contaminated(odd, one)
     assert left.columns == odd.columns and left.count() == odd.count() - 2
+    shared = spark.createDataFrame([(1, "x a b c y"), (1, "nothing"), (None, "a b c"), (None, "nothing"), (2, " ".join(["w"] * 200_000 + ["a", "b", "c"]))], "doc_id long, text string").selectExpr("*", "1 item_id", "2 _key")
+    assert sorted((r.doc_id or 0, r.text) for r in decontaminate.drop_contaminated(shared, one).collect()) == [(0, "nothing"), (1, "nothing")]
+    assert (2, 1, 200_000) in {(r.doc_id, r.item_id, r.at_word) for r in decontaminate.contaminated(shared, one).collect()}
 
 
 # 3: quality rules (verdicts are held against SQL by the driver)
@@ -138,6 +193,21 @@ def test_quality_rules(odd, empty):
     assert quality_rules.verdicts(empty).count() == 0 == quality_rules.accepted(empty).count()
 
 
+def test_quality_counts_against_plain_python():
+    rng = random.Random(6)
+    signs = list("aB|#ÀÖ×ØÞßé漢🙂 1.\n\n\t\r") + [" | ", "word ", "word "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", "\n", "  \n \n\t\n\t", "a\na\n a\na "]
+    got = [quality_rules.count_block(d, o) for _, _, d, o in quality_rules.blocks(quality_rules.pa.array(texts, quality_rules.pa.string()))]
+    for i, t in enumerate(texts):
+        words = [w for w in re.split("[ \t\n\r]", t) if w]
+        lines = [x for x in t.split("\n") if x.strip(" ")]
+        want = {
+            "chars": len(t), "words": len(words), "same": sum(a == b for a, b in zip(words, words[1:])), "pipes": words.count("|"), "lines": len(lines), "equal_lines": len(lines) - len(set(lines)),
+            "symbols": sum(c in "#*%&$!~^<>{}" for c in t), "capitals": len(re.findall("[A-ZÀ-ÖØ-Þ]", t)), "other": sum(c in " \t\n\r0123456789.,;:!?#*%&$|" for c in t),
+        }
+        assert {k: int(got[0][k][i]) for k in want} == want, t
+
+
 def test_quality_rates_shrink(spark):
     rows = [(i, "word " * 12 if i < 5 else "one two three", "", f"h{i % 3}", 1) for i in range(30)]
     rates = {r.host: r.rate_word_repeats for r in quality_rules.host_rates(quality_rules.failures(spark.createDataFrame(rows, DOCS))).collect()}
@@ -162,9 +232,11 @@ def _pages():
     return rows
 
 
-@pytest.mark.parametrize("held", [boilerplate.HELD, 0])
-def test_extraction_against_brute_force(spark, held):
+@pytest.mark.parametrize("held, block", [(boilerplate.HELD, boilerplate.BLOCK), (boilerplate.HELD, 5000), (boilerplate.HELD, -1), (0, -1)])
+def test_extraction_against_brute_force(spark, held, block):
+    """Hosts of which all, some or none fit a block."""
     rows, n = _pages(), boilerplate.LEAST
+    rows += [(200 + i, "http://small.org/x", f"one <b>two</b> {i} " + " ".join(map(str, range(20)))) for i in range(3)]
     rows += [(0, *rows[0][1:]), (None, *rows[1][1:]), (100, None, rows[2][2]), (101, "not a url", None), (102, "http://h0.org/", "")]
     where, tokens = defaultdict(set), {}
     host = lambda u: (re.match(r"\w+://([^/]+)", u or "") or ["", ""])[1]
@@ -181,7 +253,7 @@ def test_extraction_against_brute_force(spark, held):
             if p is not None and len(where[host(u), tuple(t[i : i + n])]) > 1:
                 gone[i : i + n] = [True] * n
         want.append((p, None if h is None else " ".join(x for x, g in zip(t, gone) if not g), sum(gone)))
-    got = [(r.page_id, r.text and r.text.replace("\n", " ") if r.text is not None else None, r.n_removed) for r in boilerplate.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), held).collect()]
+    got = [(r.page_id, r.text and r.text.replace("\n", " ") if r.text is not None else None, r.n_removed) for r in boilerplate.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 host", "2 text", "3 key"), held, block).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] > 0 for x in want) > 10
 
 
@@ -189,6 +261,24 @@ def test_extraction_of_nothing(spark):
     assert boilerplate.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_suffix_array_sorts_to_its_depth():
+    rng, n = np.random.default_rng(7), boilerplate.LEAST
+    tokens = rng.integers(0, 3, 4000).astype(np.uint64)
+    tokens[2000:2100] = tokens[100:200]
+    starts = np.arange(len(tokens) - n + 1)
+    order, begins = boilerplate.suffix_array(tokens, starts)
+    prefixes = [tuple(tokens[i : i + n]) for i in starts[order]]
+    assert prefixes == sorted(prefixes) and set(begins) == {i for i in range(len(order)) if not i or prefixes[i] != prefixes[i - 1]}
+
+
+def test_extraction_of_a_long_page(spark):
+    foot = " ".join(f"f{i}" for i in range(30))
+    rows = [(1, "http://a.b/", " ".join(f"w{i}" for i in range(300_000)) + " " + foot), (2, "http://a.b/2", "short page " + foot)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for block in (boilerplate.BLOCK, -1):
+        assert sorted((r.page_id, r.n_tokens, r.n_removed) for r in boilerplate.extracted(pages, block=block).collect()) == [(1, 300_030, 30), (2, 32, 30)]
+
+
 # 5: quality classifier
 
 
@@ -201,6 +291,57 @@ def test_network_sees_every_window():
     assert np.allclose(z.max(axis=0), direct.max(axis=0) + net.shift, atol=1e-4)
 
 
+def test_network_slopes_are_those_of_differences():
+    rng = np.random.default_rng(4)
+    f64 = lambda *shape: rng.normal(0, 0.5, shape)
+    net = quality_classifier.Network(f64(256, quality_classifier.DEPTH), f64(quality_classifier.WIDTH * quality_classifier.DEPTH, quality_classifier.FILTERS), f64(quality_classifier.FILTERS), f64(2 * quality_classifier.FILTERS), 0.1)
+    data, mask = rng.integers(0, 256, 2 * quality_classifier.CHUNK + 50).astype(np.uint8), np.ones(2 * quality_classifier.FILTERS)
+    loss = lambda: -0.7 * np.log(quality_classifier.probability(net, data))
+    slopes, bias = quality_classifier.backward(net, data, 1.0, 0.7, mask)
+    tried = 0
+    for p, s in zip(net.parameters(), slopes):
+        for k in rng.permutation(np.flatnonzero(s.ravel()))[:12]:
+            was, e = p.flat[k], 1e-6
+            p.flat[k] = was + e
+            up = loss()
+            p.flat[k] = was - e
+            down = loss()
+            p.flat[k] = was
+            tried += 1
+            assert (up - down) / (2 * e) == pytest.approx(s.flat[k], rel=1e-3, abs=1e-7)
+    net.bias += 1e-6
+    up = loss()
+    net.bias -= 2e-6
+    assert (up - loss()) / 2e-6 == pytest.approx(bias, rel=1e-3) and tried > 40
+
+
+def test_classifier_against_every_window(spark, docs):
+    """The query's probabilities from all windows of every text, one by one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    net = quality_classifier.fitted(docs, labels)
+    got = by_id(quality_classifier.scored(docs, net), "probability")
+    w, step = quality_classifier.WIDTH, quality_classifier.CHUNK - quality_classifier.WIDTH + 1
+    for r in docs.limit(60).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        if len(data) >= w:
+            z = np.stack([np.einsum("wd,wdf->f", net.table[data[i : i + w]], net.filters.reshape(w, -1, len(net.shift))) for i in range(len(data) - w + 1)]) + net.shift
+            chunks = np.maximum([z[a : a + step].max(axis=0) for a in range(0, len(z), step)], 0)
+            x = np.r_[chunks.max(axis=0), chunks.mean(axis=0)] @ net.weights + net.bias
+            assert got[r.doc_id][0] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-4)
+    # what it learnt, on rows it may have seen: they are labelled; held-out rows are in the test below
+    marks = by_id(labels, "quality", "toxic")
+    assert np.mean([(got[k][0] >= 0.5) == (v == (1, 0)) for k, v in marks.items() if k in got]) > 0.9
+
+
+def test_long_texts_are_learnt_from(spark):
+    rows = [(i, ("good words " if i % 2 else "bad!! words ") * 4000) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 h", "2 kind", "'x' lang")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.training_rows(docs, labels).count() == 8
+    long = spark.createDataFrame([(i, ("the of and " if i % 2 else "der die das ") * 8000, "ed"[i % 2]) for i in range(8)], "doc_id long, text string, lang string")
+    assert language_id.training_rows(long).count() == 8
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(1)
     words = ["and", "the", "tion", "ing", "er", "ou"]
@@ -225,12 +366,34 @@ def test_classifier_edges(spark, odd, empty):
 # 6: language
 
 
-def test_language_accuracy(docs):
-    model = language_id.fitted(docs)
-    got = by_id(language_id.identified(docs, model), "language", "probability")
-    want = by_id(docs, "lang", "text")
+def test_language_accuracy_on_held_out_rows(spark):
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    model = language_id.fitted(docs.where("doc_id % 2 = 0"))
+    rest = docs.where("doc_id % 2 = 1")
+    got, want = by_id(language_id.identified(rest, model), "language", "probability"), by_id(rest, "lang", "text")
     right = [got[k][0] == v[0] for k, v in want.items() if v[1]]
-    assert np.mean(right) > 0.93 and model.temperature > 0 and (model.weights == 0).mean() > 0.3
+    sure = [got[k][1] for k, v in want.items() if v[1]]
+    assert len(right) > 300 and np.mean(right) > 0.93 and abs(np.mean(sure) - np.mean(right)) < 0.05 and (model.weights == 0).mean() > 0.3
+
+
+def test_language_scores_against_plain_python(docs):
+    model, mask = language_id.fitted(docs), (1 << 64) - 1
+    got = by_id(language_id.identified(docs, model), "language", "probability")
+    for r in docs.limit(40).collect():
+        text = [48 if 48 <= ord(c) <= 57 else ord(c) for c in (r.text or "").lower()]
+        tf = Counter()
+        for n in range(1, language_id.LONGEST + 1):
+            for i in range(len(text) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x9E3779B97F4A7C15 + text[i + k] + k + 1) & mask
+                tf[(h * 0xBF58476D1CE4E5B9 & mask) >> 64 - language_id.BUCKET_BITS] += 1
+        if tf:
+            v = {b: (1 + math.log(n)) * model.idf[b] for b, n in tf.items()}
+            size = math.sqrt(sum(x * x for x in v.values()))
+            z = (sum(x / size * model.weights[b] for b, x in v.items()) + model.bias) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert got[r.doc_id][0] == model.languages[int(p.argmax())] and got[r.doc_id][1] == pytest.approx(p.max(), abs=1e-6)
 
 
 def test_document_frequencies_are_of_all_documents(docs):
@@ -287,6 +450,19 @@ def test_whole_chats_lose_no_turn(spark):
     assert got[1].chat == tool_calls.canonical(chat) and tool_calls.transcribed(turns.limit(0)).count() == 0
 
 
+def test_calls_of_strange_json(spark):
+    deep = '{"query":' + "[" * 100_000 + "]" * 100_000 + "}"
+    strange = [deep, '{"query":NaN}', '{"query":1e999}', '{"query":"\\ud800"}', "9" * 5000, '{"query":"x"}', None, "[" * 900 + "]" * 900]
+    rows = [(i, 0, "assistant", "\n " + json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": a}]})) for i, a in enumerate(strange)]
+    rows += [(50, 0, "user", "x" * 300_000), (51, 0, "user", '{"tool_calls":' + "[" * 5000), (52, 0, "assistant", "{}")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: json.loads(r.chat)["calls"] for r in tool_calls.linked(turns).collect()}
+    assert [got[i][0]["status"] for i in range(len(strange))] == ["invalid"] * 5 + ["unanswered"] + ["invalid"] * 2
+    assert [got[i][0]["arguments"] for i in range(7)] == [*strange[:5], {"query": "x"}, None]
+    assert got[50][0]["arguments"]["prompt"] == "x" * 300_000 and got[51][0]["name"] == "respond" and 52 not in got
+    assert tool_calls.transcribed(turns).count() == len(rows)
+
+
 def test_schema():
     s = tool_calls.SCHEMAS["calculate"]
     assert tool_calls.valid({"expression": "1", "precision": 3}, s)
@@ -401,6 +577,9 @@ def test_token_counts_and_their_cache(spark, docs, odd, empty):
     assert {k: v for k, v in first.items() if v[0] is not None} == want
     stored = spark.read.parquet(path).count()
     assert by_id(token_counts.counted(docs, path), "n_tokens") == first and spark.read.parquet(path).count() == stored
+    assert by_id(token_counts.counted_twice(docs, token_counts.new_cache(spark)), "n_tokens") == first
+    more = docs.unionByName(spark.createDataFrame([(10**6, "one two three " * 100_000, "en", "x", 0), (1, "another text of an id", "en", "x", 0)], DOCS))
+    assert token_counts.counted(more, path).count() == more.count() and spark.read.parquet(path).count() == stored + 2
     rows = token_counts.counted(odd, path).collect()
     got = {r.doc_id: r.n_tokens for r in rows}
     assert len(rows) == odd.count() and got[1] is None and got[2] == got[3] == 0 and got[None] > 5
@@ -435,6 +614,46 @@ def test_bpe_is_the_public_encoding_and_round_trips(docs, odd, empty):
 # the pipeline
 
 
+def _contaminated(texts, items):
+    """Ids of the texts that hold an item, from every window that has enough of its words."""
+    out = set()
+    for d, text in texts.items():
+        words = decontaminate.words_of(text)
+        for item in items:
+            n, k = len(item), int(decontaminate.MAX_EDITS * len(item))
+            if len(words) >= n and d not in out:
+                known = np.r_[0, np.cumsum(np.isin(words, item))]
+                at = np.flatnonzero(known[n:] - known[:-n] >= n - k)
+                if len(at) and (decontaminate.edit_distance(words[at[:, None] + np.arange(n)], np.tile(item, (len(at), 1))) <= k).any():
+                    out.add(d)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, docs):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality_rules.oracle()}) WHERE keep").fetchall()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    gone = _components(texts, {k: v for k, v in _signs(docs).items() if k in texts})
+    texts = {k: v for k, v in texts.items() if k not in gone}
+    items = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(w := decontaminate.words_of(r.text))]
+    bad = _contaminated(texts, items)
+    texts = {k: v for k, v in texts.items() if k not in bad}
+    clean = dict(zip(texts, pii.find_column(pii.pa.array(texts.values(), pii.pa.string()), pii.train())[0]))
+    whole = _encoding()
+    want = {k: (whole.encode_ordinary(v), len(whole.encode_ordinary(v))) for k, v in clean.items()}
+    assert gone and bad and by_id(corpus_pipeline.run(spark, SF), "token_ids", "n_tokens") == want
+
+
+def test_pipeline_of_odd_tables(spark, docs, odd, tmp_path):
+    for name, table in (("odd", odd), ("none", odd.limit(0))):
+        (tmp_path / name).mkdir()
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} <= {4, 5, 6, 7, None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_stages(spark, docs, odd, tmp_path):
     before = docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lean, mix64, small_side, word_hashes, word_spans, written
+from .common import U64, blocks, lean, mix64, small_side, tidy, word_hashes, word_spans, written
 
 LEAST, GRAM = 12, 4
 HELD = 2_000_000
@@ -329,17 +329,17 @@ EXTRACTED = "page_id long, host string, text string, n_tokens long, n_removed lo
 def of_small_hosts(pages: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
     """The results of hosts of which each fits a task; size: bytes of all pages."""
     n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * BLOCK)))
-    packages = pages.mapInArrow(_packages, "host string, pages binary").repartition(n, "host").sortWithinPartitions("host")
-    return packages.mapInArrow(_host_arrays(block), EXTRACTED)
+    packages = pages.mapInArrow(tidy(_packages), "host string, pages binary").repartition(n, "host").sortWithinPartitions("host")
+    return packages.mapInArrow(tidy(_host_arrays(block)), EXTRACTED)
 
 
 def of_large_hosts(pages: DataFrame, held: int = HELD) -> DataFrame:
     """The results of hosts of any size, from arrays of what each task has of them."""
-    all_anchors = pages.mapInArrow(_anchor_rows, ROWS)
+    all_anchors = pages.mapInArrow(tidy(_anchor_rows), ROWS)
     shared = Keys(pages, _repeated(all_anchors, "anchors"), all_anchors, "anchors", held)
-    classes = shared.pages.mapInArrow(_class_rows(shared), ROWS)
+    classes = shared.pages.mapInArrow(tidy(_class_rows(shared)), ROWS)
     repeats = Keys(shared.pages, _repeated(classes, "repeats"), classes, "repeats", held)
-    return repeats.pages.mapInArrow(_extracted_rows(shared, repeats), EXTRACTED)
+    return repeats.pages.mapInArrow(tidy(_extracted_rows(shared, repeats)), EXTRACTED)
 
 
 def extracted(pages: DataFrame, held: int = HELD, block: int = BLOCK) -> DataFrame:

@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, utf8, word_hashes
+from .common import U64, lean, tidy, utf8, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual pre-tokeniser of byte-level BPE; what begins most words is tried first.
@@ -48,6 +48,8 @@ PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[sdmt]|ll|ve|re)| ?[^\s\p{L}\p{N}]++|\s++(?!
 SLAB_BYTES = 32 << 20
 #: Text in which words are found at once, and distinct words of a slab in one row.
 BLOCK_BYTES, FOLDED = 2 << 20, 8192
+#: Words of documents in one row.
+TOKENS = 250_000
 LONG_WORD = 256
 #: A piece whose number is that great begins no pair that merges.
 NO_RANK = 1 << 32
@@ -272,30 +274,36 @@ class Slab:
         self.size += len(data)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """Rows of FOLDED distinct words each, then one row of the documents."""
-        hashes, lengths, data = (np.concatenate(x) for x in zip(*self.words))
+        """Rows of FOLDED distinct words each, then rows of documents of about TOKENS words."""
+        hashes, lengths = (np.concatenate(x) for x in zip(*((h, n) for h, n, _ in self.words)))
         numbers, _ = pd.factorize(hashes)
-        first = np.flatnonzero(numbers > np.maximum.accumulate(np.r_[-1, numbers[:-1]])[: len(numbers)])
+        numbers = numbers.astype(np.int32)
+        first = np.flatnonzero(numbers > np.maximum.accumulate(np.r_[np.int32(-1), numbers[:-1]])[: len(numbers)])
+        del hashes
         at = np.cumsum([0, *(len(h) for h, _, _ in self.words)])
-        codes = np.concatenate([numbers[a : a + len(h)].astype(np.int32)[c] for a, (h, _, _), c in zip(at, self.words, self.codes)])
-        self.codes = self.words = []
-        data = data[_runs((np.cumsum(lengths) - lengths)[first], lengths[first])]
-        lengths = lengths[first]
-        ends = np.r_[0, np.cumsum(lengths)]
-        long = np.flatnonzero(lengths > LONG_WORD)
-        long_words = [data[ends[k] : ends[k + 1]].tobytes() for k in long]
-        empty = pa.array([], pa.binary())
-        for a in range(0, len(lengths), FOLDED):
-            b = min(a + FOLDED, len(lengths))
-            part, sizes = data[ends[a] : ends[b]], lengths[a:b]
-            if len(long):
-                keep = np.repeat(sizes <= LONG_WORD, sizes)
-                part, sizes = part[keep], np.where(sizes <= LONG_WORD, sizes, 0)
-            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(part.astype(np.int16)))
-            none = [pa.nulls(1, f.type) for f in _KIND][:4]
-            yield pa.RecordBatch.from_arrays([*none, pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), empty)], schema=_KIND)
-        whole = {"ids": self.ids, "valid": self.valid, "sizes": np.concatenate(self.sizes).astype(np.int64).tobytes(), "codes": codes.tobytes(), "words": [], "long_words": long_words}
-        yield pa.RecordBatch.from_pylist([whole], schema=_KIND)
+        data = np.concatenate([d for _, _, d in self.words])
+        self.words = []
+        places, lengths = (np.cumsum(lengths) - lengths)[first], lengths[first]
+        for a in range(0, len(first), FOLDED):
+            n = lengths[a : a + FOLDED]
+            short = n <= LONG_WORD
+            part = data[_runs(places[a : a + FOLDED][short], n[short])]
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(short, n, 0))].astype(np.int32)), pa.array(part.astype(np.int16)))
+            long = [data[x : x + y].tobytes() for x, y in zip(places[a : a + FOLDED][~short], n[~short])]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_KIND)[:4]), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), words), pa.array([long], pa.list_(pa.binary()))], schema=_KIND)
+        del data
+        docs = 0
+        for block, (codes, sizes) in enumerate(zip(self.codes, self.sizes)):
+            codes, self.codes[block] = numbers[at[block] : at[block + 1]][codes], None
+            ends = np.cumsum(sizes)
+            x = 0
+            while x < len(sizes):
+                done = int(ends[x] - sizes[x])
+                y = max(x + 1, int(np.searchsorted(ends, done + TOKENS, "right")))
+                one = {"ids": self.ids[docs + x : docs + y], "valid": self.valid[docs + x : docs + y], "sizes": sizes[x:y].astype(np.int64).tobytes(), "codes": codes[done : int(ends[y - 1])].tobytes(), "words": [], "long_words": []}
+                yield pa.RecordBatch.from_pylist([one], schema=_KIND)
+                x = y
+            docs += len(sizes)
 
 
 _KIND = pa.schema([("ids", pa.list_(pa.int64())), ("valid", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.list_(pa.int16()))), ("long_words", pa.list_(pa.binary()))])
@@ -315,46 +323,45 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slab.rows()
 
 
+def _with_long(sizes: np.ndarray, ids: np.ndarray, long: list[bytes], ranks) -> tuple[np.ndarray, np.ndarray]:
+    """A row's ids with those of its long words, whose places have none, put in."""
+    sizes = sizes.astype(np.int64)
+    if long:
+        extra = [np.array(merge_long(w, ranks.value), ids.dtype) for w in long]
+        places = np.flatnonzero(sizes == 0)
+        ids = np.insert(ids, np.repeat((np.cumsum(sizes) - sizes)[places], [len(x) for x in extra]), np.concatenate(extra))
+        sizes[places] = [len(x) for x in extra]
+    return sizes, ids
+
+
 def _put_together(spark: SparkSession, path: str):
     # the driver reads the vocabulary; tasks need not have the file
     held_ranks = spark.sparkContext.broadcast(vocabulary(path))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        # of the slab under way: how many ids each distinct word has, and all of them
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes = ids = starts = None
         for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             for row in range(batch.num_rows):
-                get = lambda name: batch.column(batch.schema.get_field_index(name))[row]  # noqa: B023, E731
-                encoded = get("encoded").values
-                if not get("codes").is_valid:
+                if not get("codes")[row].is_valid:
+                    encoded = get("encoded")[row].values
                     at = np.asarray(encoded.offsets)
-                    held.append((np.diff(at), np.asarray(encoded.values)[at[0] : at[-1]]))
+                    held.append(_with_long(np.diff(at), np.asarray(encoded.values)[at[0] : at[-1]], get("long_words")[row].as_py(), held_ranks))
+                    sizes = None
                     continue
-                sizes, ids = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-                held, starts = [], np.cumsum(sizes) - sizes
-                long = get("long_words").as_py()
-                if long:
-                    # a long word's place has no ids; theirs are put behind the others
-                    ranks = held_ranks.value
-                    extra = [merge_long(w, ranks) for w in long]
-                    places = np.flatnonzero(sizes == 0)
-                    starts[places] = len(ids) + np.r_[0, np.cumsum([len(x) for x in extra])][:-1]
-                    sizes[places] = [len(x) for x in extra]
-                    ids = np.concatenate([ids, *(np.array(x, ids.dtype) for x in extra)])
-                codes = np.frombuffer(get("codes").as_py(), np.int32)
-                docs = np.r_[0, np.cumsum(np.frombuffer(get("sizes").as_py(), np.int64))]
-                doc_ids, valid = get("ids").values, np.asarray(get("valid").values)
-                first = 0
-                while first < len(doc_ids):
-                    # so many documents that their ids fit a batch
-                    end = min(len(doc_ids), max(first + 1, int(np.searchsorted(docs, docs[first] + 500_000, "right")) - 1))
-                    part = codes[docs[first] : docs[end]]
-                    n = sizes[part]
-                    ends = np.cumsum(n)
-                    where = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[part], n)
-                    edges = np.r_[0, ends][docs[first : end + 1] - docs[first]]
-                    offsets = pa.array(edges.astype(np.int32), mask=np.r_[~valid[first:end], False])
-                    yield pa.RecordBatch.from_arrays([doc_ids[first:end], pa.ListArray.from_arrays(offsets, pa.array(ids[where], pa.int32())), pa.array(np.diff(edges))], names=["doc_id", "token_ids", "n_tokens"])
-                    first = end
+                if sizes is None:
+                    sizes, ids = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                    held, starts = [], np.cumsum(sizes) - sizes
+                codes = np.frombuffer(get("codes")[row].as_buffer(), np.int32)
+                n = sizes[codes]
+                ends = np.cumsum(n)
+                where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + n, n)
+                edges = np.r_[0, ends][np.r_[0, np.cumsum(np.frombuffer(get("sizes")[row].as_buffer(), np.int64))]]
+                valid = np.asarray(get("valid")[row].values)
+                offsets = pa.array(edges.astype(np.int32), mask=np.r_[~valid, False])
+                yield pa.RecordBatch.from_arrays([get("ids")[row].values, pa.ListArray.from_arrays(offsets, pa.array(ids[where], pa.int32())), pa.array(np.diff(edges))], names=["doc_id", "token_ids", "n_tokens"])
 
     return build
 
@@ -362,9 +369,9 @@ def _put_together(spark: SparkSession, path: str):
 def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids, n_tokens) of every row of docs."""
     encoder = Encoder(path)
-    slabs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_slabs, SLAB)
+    slabs = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_slabs), SLAB)
     ids = encoder.fold_all(F.col("words"))
-    return slabs.select("ids", "valid", "sizes", "codes", "long_words", ids.alias("encoded")).mapInArrow(_put_together(docs.sparkSession, path), ENCODED)
+    return slabs.select("ids", "valid", "sizes", "codes", "long_words", ids.alias("encoded")).mapInArrow(tidy(_put_together(docs.sparkSession, path)), ENCODED)
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ BLOCK_BYTES = 1 << 20
 #: Rows a side may have at most to be broadcast; above it Spark shuffles both sides.
 BROADCAST_ROWS = 2_000_000
 
+#: Rows of text that go to a Python worker at once, at most.
+BATCH_ROWS = 1000
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -26,6 +30,35 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
 
+def release() -> None:
+    """Gives memory that a worker has used and let go back to the system: workers live on and wait."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over a partition's batches that releases memory as it goes and when it ends."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, out in enumerate(run(batches)):
+            yield out
+            if k % 16 == 15:
+                release()
+        release()
+
+    return wrapped
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df; its session hands at most BATCH_ROWS rows to Python at once, so that batches of long texts stay small."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side of so many narrow rows, if that is few enough."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, lowered, small_side
+from .common import U64, lean, lowered, small_side, tidy
 
 LONGEST = 3
 BUCKET_BITS = 15
@@ -140,7 +140,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """ln((1 + N) / (1 + df)) + 1 of every bucket, over all documents that have a text."""
-    found = docs.select(F.col("text").cast("string")).where("length(text) > 0").mapInArrow(_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    found = lean(docs).select(F.col("text").cast("string")).where("length(text) > 0").mapInArrow(tidy(_frequencies), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
     df = np.zeros(BUCKETS + 1, np.int64)
     for row in found.collect():  # a row for each bucket, however many documents
         df[row.bucket] = row.df
@@ -186,4 +186,4 @@ def _classifier(model: Model):
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, language, probability) of every row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_classifier(model), "doc_id long, language string, probability double")
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_classifier(model)), "doc_id long, language string, probability double")

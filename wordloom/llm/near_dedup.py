@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, lowered, mix64, row_key, small_side, word_hashes, word_spans, written
+from .common import U64, blocks, lean, lowered, mix64, row_key, small_side, tidy, word_hashes, word_spans, written
 
 BITS = 128
 #: Widths of the signature's parts and the radius that each part covers.
@@ -129,8 +129,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(key, doc_id, hi, lo, digest, n_words) of every row."""
-    rows = docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_signatures, SIGNATURE)
+    rows = lean(docs).select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(tidy(_signatures), SIGNATURE)
 
 
 @lru_cache(maxsize=1)
@@ -263,7 +263,7 @@ def candidates(reps: DataFrame, rows: int, crowd: int = CROWD) -> DataFrame:
     tables = len(_tables()[0])
     n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * tables // KEYS))
     kind = "key long, rep long, hi long, lo long" + ", label long" * ("label" in reps.columns)
-    return reps.mapInArrow(_keys, kind).repartition(n, "key").mapInArrow(_pairs(crowd), "a long, b long, crowded boolean")
+    return reps.mapInArrow(tidy(_keys), kind).repartition(n, "key").mapInArrow(tidy(_pairs(crowd)), "a long, b long, crowded boolean")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = rows.dropDuplicates(["key"])
     left, right = (texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_alike, "a long, b long")
+    return both.mapInArrow(tidy(_alike), "a long, b long")
 
 
 def _labelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, word_spans
+from .common import blocks, lean, release, word_spans
 
 TYPES = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "SSN", "IBAN")
 MAX_TOKENS = 16
@@ -388,7 +388,8 @@ def find_block(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> di
 
 def find_column(column: pa.Array, weights: np.ndarray) -> tuple[list, list]:
     """Redacted texts and entities (characters) of a string column."""
-    texts, entities = column.to_pylist(), [None if x is None else [] for x in column.to_pylist()]
+    texts = column.to_pylist()
+    entities = [None if x is None else [] for x in texts]
     for row, _, data, offsets in blocks(column):
         for r, spans_ in find_block(data, offsets, weights).items():
             if texts[row + r] is None:
@@ -411,6 +412,7 @@ def _finder():
     @F.arrow_udf(FOUND)
     def find(column: pa.Array) -> pa.Array:
         texts, entities = find_column(column, weights)
+        release()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("type", pa.string())]))
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(entities, kind)], names=["text", "entities"])
 
@@ -419,7 +421,7 @@ def _finder():
 
 def redacted(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_entities, entities) of every row: the text with [TYPE] for each entity; places in characters of the text as it was."""
-    found = docs.select("doc_id", _finder()(F.col("text").cast("string")).alias("found"))
+    found = lean(docs).select("doc_id", _finder()(F.col("text").cast("string")).alias("found"))
     return found.select("doc_id", "found.text", F.coalesce(F.size("found.entities"), F.lit(0)).alias("n_entities"), "found.entities")
 
 
@@ -427,4 +429,4 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with redacted text; n_chars, where there is one, counts the new text. Other columns stay."""
     text = _finder()(F.col("text").cast("string"))["text"]
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return docs.withColumns({k: v for k, v in new.items() if k in docs.columns})
+    return lean(docs).withColumns({k: v for k, v in new.items() if k in docs.columns})

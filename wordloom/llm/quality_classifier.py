@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, utf8
+from .common import lean, small_side, tidy, utf8
 
 WIDTH, DEPTH, FILTERS = 6, 4, 32
 CHUNK = 8192
@@ -184,5 +184,5 @@ def _scorer(net: Network):
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, probability, keep) of every row of docs."""
-    p = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scorer(net), "doc_id long, probability double")
+    p = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_scorer(net)), "doc_id long, probability double")
     return p.withColumn("keep", F.col("probability") >= KEPT)

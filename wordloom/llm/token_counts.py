@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, VOCABULARY, vocabulary
-from .common import shared_dir, small_side, written
+from .common import lean, shared_dir, small_side, written
 
 CACHE = "digest binary, version string, n_tokens long"
 #: Words whose counts one task remembers; beyond, it starts anew.
@@ -85,7 +85,7 @@ def read_cache(spark, path: str) -> DataFrame:
 def counted(docs: DataFrame, cache_path: str, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every row of docs; appends the new counts to the cache."""
     spark, now = docs.sparkSession, version(path)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
     digest = F.unhex(F.sha2("text", 256))
     keyed = written(texts.select("doc_id", digest.alias("digest")), "digests")
     stored = read_cache(spark, cache_path).where(F.col("version") == now).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
