@@ -165,3 +165,93 @@ def subsampling(vocabulary: DataFrame, threshold: float = 1e-3, aggressive: bool
     f = F.col("gf") / F.col("all")
     kept = F.sqrt(threshold / f) + (threshold / f if aggressive else F.lit(0.0))
     return vocabulary.crossJoin(F.broadcast(whole)).select("term", F.greatest(F.lit(0.0), 1 - kept).alias("skip"))
+
+
+def analogies(store: DataFrame, cues: DataFrame) -> DataFrame:
+    """(a, b, c, d, rank, reciprocal) of stated cues: the rank of d among the whole store by the cosine with b - a + c, without the cues themselves.
+
+    Only the scores above d's own are counted, so nothing is sorted.
+    """
+    unit = store.select("object", V.normalise(F.col("vec")).alias("u"))
+    x = cues
+    for c in "abcd":
+        x = x.join(unit.select(F.col("object").alias(c), F.col("u").alias(f"u{c}")), c)
+    q = x.select("a", "b", "c", "d", V.superpose(V.superpose(F.col("ub"), F.col("ua"), -1.0), F.col("uc")).alias("q"), "ud")
+    own = q.select("a", "b", "c", "d", "q", F.round(V.cosine(F.col("ud"), F.col("q")), 6).alias("own"))
+    # a stated set of cues against all rows
+    s = store.crossJoin(F.broadcast(own)).where(~F.col("object").isin(F.col("a"), F.col("b"), F.col("c"))).withColumn("score", F.round(V.cosine(F.col("vec"), F.col("q")), 6))
+    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("object") < F.col("d")))
+    ranked = s.groupBy("a", "b", "c", "d").agg((F.count_if(ahead) + 1).alias("rank"))
+    return ranked.withColumn("reciprocal", F.when(F.col("rank") > 1000, 0.0).otherwise(1.0 / F.col("rank")))
+
+
+def hops(links: DataFrame, most: int) -> DataFrame:
+    """(a, b, hops), a before b: the fewest links between two objects, of at most so many; one join a hop over what is new."""
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    known = front = both.where("a <> b").withColumn("hops", F.lit(1))
+    for n in range(2, most + 1):
+        step = front.select("a", F.col("b").alias("m")).join(both.select(F.col("a").alias("m"), "b"), "m").where("a <> b").select("a", "b").distinct()
+        front = written(step.join(known, ["a", "b"], "left_anti").withColumn("hops", F.lit(n)), "front")
+        if front.isEmpty():
+            break
+        known = written(known.unionByName(front), "hops")
+    return known.where("a < b")
+
+
+def pathfinder_of_edges(spark, rows: list) -> DataFrame:
+    """pathfinder_full() over the edges (a, b, distance) between a few hundred hits."""
+    names = sorted({x for r in rows for x in (r.a, r.b)})
+    at = {x: i for i, x in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    np.fill_diagonal(d, 0)
+    for r in rows:
+        d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.distance
+    kept = [x for x in pathfinder_full(names, d) if np.isfinite(x[2])]
+    return spark.createDataFrame(kept, "a long, b long, distance double")
+
+
+def principal_components(store: DataFrame, k: int = 2) -> DataFrame:
+    """(object, at): coordinates on the first k principal components of the centred vectors; a component's largest weight is positive.
+
+    The driver gets a covariance of the vectors' dimension, at any number of rows.
+    """
+    def sums(batches):
+        total = n = gram = 0
+        for pdf in batches:
+            m = np.stack(list(pdf.vec))
+            total, n, gram = total + m.sum(axis=0), n + len(m), gram + m.T @ m
+        if n:
+            yield pd.DataFrame({"n": [float(n)], "total": [total.tolist()], "gram": [np.ravel(gram).tolist()]})
+
+    parts = store.select("vec").mapInPandas(sums, "n double, total array<double>, gram array<double>").collect()
+    if not parts:
+        return store.select("object", F.array().cast("array<double>").alias("at"))
+    n, mean = sum(p.n for p in parts), sum(np.array(p.total) for p in parts)
+    mean = mean / n
+    cov = sum(np.array(p.gram) for p in parts).reshape(len(mean), -1) / n - np.outer(mean, mean)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    centred = V.superpose(F.col("vec"), F.array(*map(F.lit, mean.tolist())), -1.0)
+    return store.select("object", V.let(centred, lambda v: F.array(*(V.dot(v, F.array(*map(F.lit, a.tolist()))) for a in axes.T))).alias("at"))
+
+
+def collisions(spark, dimension: int, runs: int, most: int, seed: int = 3) -> DataFrame:
+    """(mean, deviation, least, most) over runs of how many dense random vectors are added until a fresh one is as near to the sum as its first part."""
+    def simulated(batches):
+        for pdf in batches:
+            found = []
+            for run in pdf.id:
+                rng = np.random.default_rng((seed, run))
+                first = rng.normal(size=dimension)
+                total, n = first.copy(), 1
+                while n < most:
+                    total += rng.normal(size=dimension)
+                    n += 1
+                    fresh = rng.normal(size=dimension)
+                    if fresh @ total / np.linalg.norm(fresh) >= first @ total / np.linalg.norm(first):
+                        break
+                found.append(n)
+            yield pd.DataFrame({"n": found})
+
+    x = spark.range(runs).mapInPandas(simulated, "n long")
+    return x.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"), F.min("n").alias("least"), F.max("n").alias("most"))

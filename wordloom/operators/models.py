@@ -77,13 +77,54 @@ def terms_from_documents(tf: DataFrame, vocabulary: DataFrame, documents: DataFr
     return summed(kept.join(documents.withColumnRenamed("object", "doc_id"), "doc_id").withColumnRenamed("term", "object"), F.col("tf") * F.col("val"))
 
 
+def elemental_vector(key: Column, space: Space) -> Column:
+    """The elemental vector of a key as an array."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(space.seed - 1)), lambda k: F.struct(F.pmod(digest(F.concat_ws("#", key.cast("string"), k.cast("string"))), F.lit(space.dimension)).cast("int").alias("dim"), F.when(k < space.seed // 2, 1.0).otherwise(-1.0).alias("sign")))
+    return V.let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(space.dimension - 1)), lambda i: F.aggregate(p, F.lit(0.0), lambda s, e: s + F.when(e["dim"] == i, e["sign"]).otherwise(0.0))))
+
+
+def bound(df: DataFrame, one: Column, two: Column, space: Space) -> DataFrame:
+    """Each row of df with (dim, sign) of the convolution of two keys' elemental vectors: places add, signs multiply."""
+    first = elemental(df, one, space).withColumnsRenamed({"dim": "_dim", "sign": "_sign"})
+    both = elemental(first, two, space)
+    return both.withColumns({"dim": F.pmod(F.col("_dim") + F.col("dim"), F.lit(space.dimension)).cast("int"), "sign": F.col("_sign") * F.col("sign")}).drop("_dim", "_sign")
+
+
+def turns(spark: SparkSession, places: list[int], space: Space, method: str) -> DataFrame:
+    """(turn, dim, to): a random permutation for each turn; in "proximity" that of a further offset comes from the nearer one's by swapping a quarter."""
+    def named(t: int) -> Column:
+        return V.permutation(F.lit(f"turn{t}"), space.dimension)
+
+    def near(t: int) -> Column:
+        p = named(1 if t > 0 else -1)
+        for n in range(2, abs(t) + 1):
+            p = V.swapped(p, F.lit(f"swap{n if t > 0 else -n}"))
+        return p
+
+    rows = [spark.range(1).select(F.lit(t).alias("turn"), F.posexplode(near(t) if method == "proximity" else named(t)).alias("dim", "to")) for t in places]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def positional(pairs: DataFrame, weights: DataFrame, space: Space, method: str = "basic") -> DataFrame:
-    """Sums of the neighbours' elemental vectors; shifted by side (directional) or by offset (permutation)."""
+    """Sums of the neighbours' elemental vectors.
+
+    basic: as they are; directional: permuted by side; permutation: by offset; proximity:
+    by offset, permutations of near offsets being alike; permutation_plus_basic: both.
+    """
+    if method == "permutation_plus_basic":
+        return summed(positional(pairs, weights, space, "permutation").unionByName(positional(pairs, weights, space)), F.col("val"))
     weighted = pairs.join(weights.withColumnRenamed("term", "other"), "other")
     # equal neighbours are counted first: it divides what is expanded
-    turn = {"basic": F.lit(0), "directional": F.signum("offset").cast("int"), "permutation": F.col("offset")}[method]
+    turn = {"basic": F.lit(0), "directional": F.signum("offset").cast("int")}.get(method, F.col("offset").cast("int"))
     counted = weighted.groupBy(F.col("term").alias("object"), "other", turn.alias("turn")).agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
-    placed = elemental(counted, F.col("other"), space).withColumn("dim", F.pmod(F.col("dim") + F.col("turn"), F.lit(space.dimension)))
+    placed = elemental(counted, F.col("other"), space)
+    if method != "basic":
+        radius = 1 if method == "directional" else pairs.select("offset").agg(F.coalesce(F.max(F.abs("offset")), F.lit(1))).first()[0]
+        table = turns(pairs.sparkSession, [t for t in range(-radius, radius + 1) if t], space, method)
+        placed = placed.join(F.broadcast(table), ["turn", "dim"]).drop("dim").withColumnRenamed("to", "dim")
     return summed(placed, F.col("n") * F.col("weight") * F.col("sign"))
 
 
@@ -98,22 +139,33 @@ def symmetric(tf: DataFrame, weights: DataFrame, space: Space) -> DataFrame:
     return summed(others.unionByName(minus), F.col("val"))
 
 
-def predications(triples: DataFrame, space: Space) -> DataFrame:
-    """Predication vectors: S(s) sums E(o) turned by the predicate, S(o) E(s) turned by its inverse, with idf weights.
-
-    Binding is by a shift that the predicate's digest gives.
-    """
-    one = triples.distinct()
+def predication_weights(triples: DataFrame) -> DataFrame:
+    """(subject, predicate, object, pw, w_subject, w_predicate, w_object) of the distinct triples: pw is log10(1 + count), the others idf over distinct predications."""
+    one = triples.groupBy("subject", "predicate", "object").agg(F.log10(1 + F.count("*")).alias("pw"))
     n = one.count()
-    ends = one.select("subject", "predicate", "object")
     def weight(c: str) -> DataFrame:
-        return ends.groupBy(c).agg(F.log10(F.lit(n) / F.count("*")).alias(f"w_{c}"))
-    w = ends.join(weight("subject"), "subject").join(weight("predicate"), "predicate").join(weight("object"), "object")
-    there = w.select(F.col("subject").alias("item"), F.col("object").alias("other"), "predicate", (F.col("w_object") + F.col("w_predicate")).alias("w"))
-    back = w.select(F.col("object").alias("item"), F.col("subject").alias("other"), F.concat("predicate", F.lit("-INV")).alias("predicate"), (F.col("w_subject") + F.col("w_predicate")).alias("w"))
-    both = elemental(there.unionByName(back), F.col("other"), space)
-    turned = both.withColumn("dim", F.pmod(F.col("dim") + F.pmod(digest(F.col("predicate")), F.lit(space.dimension)), F.lit(space.dimension)).cast("int"))
-    return summed(turned.withColumnRenamed("item", "object"), F.col("w") * F.col("sign"))
+        return one.groupBy(c).agg(F.log10(F.lit(n) / F.count("*")).alias(f"w_{c}"))
+    return one.join(weight("subject"), "subject").join(F.broadcast(weight("predicate")), "predicate").join(weight("object"), "object")
+
+
+def predications(triples: DataFrame, space: Space) -> DataFrame:
+    """Predication vectors: S(s) sums pw (w(o) + w(p)) E(o) * E(p), and S(o) pw (w(s) + w(p)) E(s) * E(p-INV); * is convolution."""
+    w = predication_weights(triples)
+    there = w.select(F.col("subject").alias("item"), F.col("object").alias("other"), "predicate", (F.col("pw") * (F.col("w_object") + F.col("w_predicate"))).alias("w"))
+    back = w.select(F.col("object").alias("item"), F.col("subject").alias("other"), F.concat("predicate", F.lit("-INV")).alias("predicate"), (F.col("pw") * (F.col("w_subject") + F.col("w_predicate"))).alias("w"))
+    both = bound(there.unionByName(back), F.col("other"), F.col("predicate"), space)
+    return summed(both.withColumnRenamed("item", "object"), F.col("w") * F.col("sign"))
+
+
+def predicates(triples: DataFrame, space: Space) -> DataFrame:
+    """Predicate vectors from their arguments: P(p) sums w(s) w(o) E(s) * shift(E(o), 1), and P(p-INV) with the arguments changed over."""
+    w = predication_weights(triples)
+    both = w.select("subject", "object", "predicate", (F.col("w_subject") * F.col("w_object")).alias("w")).unionByName(
+        w.select(F.col("object").alias("subject"), F.col("subject").alias("object"), F.concat("predicate", F.lit("-INV")).alias("predicate"), (F.col("w_subject") * F.col("w_object")).alias("w"))
+    )
+    placed = bound(both, F.col("subject"), F.col("object"), space)
+    turned = placed.drop("object").withColumn("dim", F.pmod(F.col("dim") + 1, F.lit(space.dimension)).cast("int"))
+    return summed(turned.withColumnRenamed("predicate", "object"), F.col("w") * F.col("sign"))
 
 
 def dyads(pairs: DataFrame, space: Space) -> DataFrame:
@@ -123,7 +175,7 @@ def dyads(pairs: DataFrame, space: Space) -> DataFrame:
 
 
 def table_rows(df: DataFrame, key: str, strings: list[str], numbers: list[str], space: Space) -> DataFrame:
-    """Row vectors: string cells by their elemental vectors, numbers between two bookends, each turned by its column."""
+    """Row vectors: string cells by their elemental vectors, numbers between two bookends, each convolved with its column's."""
     bounds = df.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in numbers for f in (F.min, F.max)))
     wide = df.crossJoin(F.broadcast(bounds))
     cells = [F.struct(F.lit(c).alias("column"), F.concat(F.lit(f"{c}="), F.col(c)).alias("cell"), F.lit(1.0).alias("w")) for c in strings]
@@ -132,8 +184,7 @@ def table_rows(df: DataFrame, key: str, strings: list[str], numbers: list[str],
         p = F.when(span > 0, (F.col(c) - F.col(f"min_{c}")) / span).otherwise(F.lit(0.0)).cast("double")
         cells += [F.struct(F.lit(c).alias("column"), F.lit(f"{c}<").alias("cell"), (1 - p).alias("w")), F.struct(F.lit(c).alias("column"), F.lit(f"{c}>").alias("cell"), p.alias("w"))]
     long = wide.select(F.col(key).cast("string").alias("object"), F.explode(F.array(*cells)).alias("c")).select("object", "c.*").where("cell is not null")
-    placed = elemental(long, F.col("cell"), space)
-    return summed(placed.withColumn("dim", F.pmod(F.col("dim") + F.pmod(digest(F.col("column")), F.lit(space.dimension)), F.lit(space.dimension)).cast("int")), F.col("w") * F.col("sign"))
+    return summed(bound(long, F.col("cell"), F.col("column"), space), F.col("w") * F.col("sign"))
 
 
 def corpus_space(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -157,3 +208,71 @@ def number_line(spark: SparkSession, ends: DataFrame, first: int, last: int) ->
     low, high = F.get("vs", F.lit(0)), F.get("vs", F.lit(1))
     line = F.zip_with(low, high, lambda x, y: x * (last - F.col("object")) + y * (F.col("object") - first))
     return spark.range(first, last + 1).withColumnRenamed("id", "object").crossJoin(F.broadcast(ends)).select("object", V.normalise(line).alias("vec"))
+
+
+def incremental_terms(tf: DataFrame, vocabulary: DataFrame, documents: DataFrame, local: Column) -> DataFrame:
+    """Term vectors from document vectors (object, dim, val), by local weight."""
+    kept = tf.join(vocabulary.select("term"), "term", "left_semi").select(F.col("term").alias("object"), "doc_id", local.alias("w"))
+    return summed(kept.join(documents.withColumnRenamed("object", "doc_id"), "doc_id"), F.col("w") * F.col("val"))
+
+
+def seeded_documents(tf: DataFrame, weights: DataFrame, space: Space, local: Column) -> DataFrame:
+    """Document vectors from the terms' elemental vectors: where a reflective model may start."""
+    w = tf.join(weights, "term").select(F.col("doc_id").alias("object"), "term", (local * F.col("weight")).alias("w"))
+    return summed(elemental(w, F.col("term"), space), F.col("w") * F.col("sign"))
+
+
+def trained(tf: DataFrame, vocabulary: DataFrame, weights: DataFrame, space: Space, cycles: int = 1, seed: str = "document") -> tuple[DataFrame, DataFrame]:
+    """(terms, documents) after so many cycles, normalised; each cycle is written to the shared folder, so that lineage does not grow."""
+    from ..sources.shared import written
+
+    if seed == "document":
+        terms = term_vectors(tf, vocabulary, space)
+    else:
+        terms = terms_from_documents(tf, vocabulary, written(normalised(seeded_documents(tf, weights, space, F.col("tf"))), "documents"))
+    for cycle in range(cycles):
+        terms = written(normalised(terms), "terms")
+        documents = written(normalised(document_vectors(tf, weights, terms, F.col("tf"))), "documents")
+        if cycle < cycles - 1:
+            terms = terms_from_documents(tf, vocabulary, documents)
+    return terms, documents
+
+
+def whole_store(coo: DataFrame, objects: DataFrame, space: Space) -> DataFrame:
+    """(object, vec) of every object; one without entries has the zero vector."""
+    return objects.join(dense(coo, space), "object", "left").select("object", F.coalesce("vec", F.array_repeat(F.lit(0.0), space.dimension)).alias("vec"))
+
+
+def ends(space: Space, first: str = "*START*", last: str = "*END*") -> tuple[Column, Column]:
+    """The number line's ends from two seeds, the second made orthogonal to the first."""
+    low = V.normalise(elemental_vector(F.lit(first), space))
+    return low, V.without(elemental_vector(F.lit(last), space), low)
+
+
+def on_line(low: Column, high: Column, at: Column, first: Column, last: Column) -> Column:
+    """The vector of a number between two ends."""
+    return V.normalise(F.zip_with(low, high, lambda x, y: x * (last - at) + y * (at - first)))
+
+
+def spelled(terms: DataFrame, space: Space) -> DataFrame:
+    """(object, vec) from spelling: the sum over places p of E(letter p) * N(p) on a line from 0 to length + 1; * is convolution."""
+    low, high = ends(space)
+    line = terms.select(F.length("term").alias("n")).where("n > 0").distinct().select("n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("p"))
+    line = line.crossJoin(F.broadcast(terms.sparkSession.range(1).select(low.alias("low"), high.alias("high"))))
+    line = line.select("n", "p", on_line(F.col("low"), F.col("high"), F.col("p"), F.lit(0), F.col("n") + 1).alias("number"))
+    numbers = line.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "number"))), lambda e: e["number"]).alias("numbers"))
+    # a row for each length of a word; words are no longer than some hundred letters
+    letters_ = terms.select(F.col("term").alias("object"), F.length("term").alias("n"), F.split("term", "").alias("letters")).where("n > 0")
+    long = letters_.select("object", "n", F.posexplode(F.filter("letters", lambda c: c != "")).alias("p", "letter"))
+    placed = elemental(long, F.col("letter"), space).groupBy("object", "n", "p").agg(F.collect_list(F.struct("dim", "sign")).alias("e"))
+    d = space.dimension
+    def turned(number: Column) -> Column:
+        return V.let(number, lambda v: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate("e", F.lit(0.0), lambda s, x: s + x["sign"] * F.get(v, F.pmod(i - x["dim"], F.lit(d))))))
+    bound_ = placed.join(numbers, "n").select("object", turned(F.get("numbers", F.col("p"))).alias("v"))
+    sums = bound_.select("object", F.posexplode("v").alias("dim", "x")).groupBy("object", "dim").agg(F.sum("x").alias("val"))
+    return dense(normalised(sums), space)
+
+
+def bucketed(grams: DataFrame, slots: int = 2_000_000) -> DataFrame:
+    """Each (term, gram) with its slot of a fixed number; grams of one slot share a vector."""
+    return grams.withColumn("slot", F.pmod(digest(F.col("gram")), F.lit(slots)))

@@ -1,0 +1,295 @@
+"""Registered queries of the models: positional and reflective training, predications, spelling, bilingual spaces, corpus statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fields as G
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import corpus, models
+from . import sql as S
+from .registry import ORACLES, QUERIES, SPACE, coo, entries, query, rounded, space, table, terms, weights
+
+D = S.DIM
+
+
+def to5(df: DataFrame) -> DataFrame:
+    return df.select("object", F.col("dim").cast("int").alias("dim"), (F.round("val", 5) + F.lit(0.0)).alias("val"))
+
+
+def window_pairs(spark: SparkSession, d: str, **how) -> DataFrame:
+    return corpus.window_pairs(corpus.tokens(table(spark, d, "documents")), space(spark, d)[1], S.RADIUS, **how)
+
+
+# positional models
+
+_perm = lambda name: f"(SELECT i, CAST(row_number() OVER (ORDER BY md5({name} || '#' || i)) - 1 AS INTEGER) AS dim FROM range({D}) r(i))"
+_places = {"directional": (-1, 1), "permutation": tuple(o for o in range(-S.RADIUS, S.RADIUS + 1) if o)}
+_table = lambda method: " UNION ALL ".join(f"SELECT {t} AS turn, dim, CAST(i AS INTEGER) AS \"to\" FROM {_perm(f"'turn{t}'")}" for t in _places[method])
+
+
+def _raw(method: str) -> str:
+    """The positional sums of a method as SQL: (object, dim, val)."""
+    if method == "basic":
+        return f"SELECT term AS object, {S.dim('other')} AS dim, CAST(sum(idf * {S.SIGN}) AS DOUBLE) AS val FROM pairs JOIN w USING (other), {S.KS} GROUP BY 1, 2"
+    turn = "sign(\"offset\")" if method == "directional" else "\"offset\""
+    return f"""SELECT object, t."to" AS dim, CAST(sum(n * idf * sign) AS DOUBLE) AS val FROM (SELECT term AS object, other, CAST({turn} AS INTEGER) AS turn, any_value(idf) AS idf, count(*) AS n FROM pairs JOIN w USING (other) GROUP BY 1, 2, 3) c
+      JOIN (SELECT other, {S.dim('other')} AS dim, {S.SIGN} AS sign FROM w, {S.KS}) e USING (other) JOIN ({_table(method)}) t ON t.turn = c.turn AND t.dim = e.dim GROUP BY 1, 2"""
+
+
+def _positional(method: str) -> None:
+    raw = _raw(method) if method != "permutation_plus_basic" else f"SELECT object, dim, sum(val) AS val FROM (SELECT * FROM ({_raw('permutation')}) UNION ALL SELECT * FROM ({_raw('basic')})) GROUP BY 1, 2"
+    ORACLES[f"positional_{method}"] = f"WITH {S.PAIRS}, w AS (SELECT term AS other, idf FROM weights), raw2 AS ({raw}), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p"
+    QUERIES[f"positional_{method}"] = lambda spark, d: to5(models.normalised(models.positional(window_pairs(spark, d), weights(spark, d), SPACE, method)))
+
+
+for _m in ("basic", "directional", "permutation", "permutation_plus_basic"):
+    _positional(_m)
+
+
+@query()
+def positional_proximity(spark, d):
+    return to5(models.normalised(models.positional(window_pairs(spark, d), weights(spark, d), SPACE, "proximity")))
+
+
+_RAWPOS = f"kept AS (SELECT doc_id, term, pos FROM tokens JOIN vocab USING (term))"
+
+
+@query(f"WITH {S.VOCAB}, {_RAWPOS} SELECT x.term, y.term AS other, CAST(y.pos - x.pos AS INTEGER) AS \"offset\", count(*) AS n FROM kept x JOIN range(-{S.RADIUS}, {S.RADIUS + 1}) o(o) ON o <> 0 JOIN kept y ON y.doc_id = x.doc_id AND y.pos = x.pos + o GROUP BY ALL")
+def window_exact(spark, d):
+    return window_pairs(spark, d, exact=True).groupBy("term", "other", "offset").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {S.VOCAB}, kept AS (SELECT doc_id, term, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM tokens JOIN vocab USING (term))
+  SELECT x.term, y.term AS other, CAST(y.n - x.n AS INTEGER) AS "offset", count(*) AS n FROM kept x JOIN range(-{S.RADIUS}, {S.RADIUS + 1}) o(o) ON o <> 0 AND abs(o) <= 1 + {S.hashed("x.doc_id || '#' || x.pos")} % {S.RADIUS} JOIN kept y ON y.doc_id = x.doc_id AND y.n = x.n + o GROUP BY ALL""")
+def window_random_radius(spark, d):
+    return window_pairs(spark, d, random=True).groupBy("term", "other", "offset").agg(F.count("*").alias("n"))
+
+
+# corpus statistics
+
+
+@query(f"""WITH {S.TF}, top AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), k AS (SELECT term, doc_id FROM tf JOIN top USING (term)),
+  b AS (SELECT x.term AS first, y.term AS second, count(*) AS both_ FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2)
+  SELECT x.term AS first, y.term AS second, coalesce(both_, 0) AS both_, x.df - coalesce(both_, 0) AS first_, y.df - coalesce(both_, 0) AS second_, n - x.df - y.df + coalesce(both_, 0) AS neither
+  FROM top x JOIN top y ON x.term < y.term LEFT JOIN b ON b.first = x.term AND b.second = y.term, n""")
+def contingency(spark, d):
+    """Of the 20 terms that most documents have, every pair."""
+    tf = corpus.postings(table(spark, d, "documents"))
+    top = tf.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(20)
+    return corpus.contingency(tf, top, tf.select("doc_id").distinct().count())
+
+
+@query(f"WITH {S.VOCAB} SELECT (SELECT count(*) FROM vocab) AS n_vectors, count(DISTINCT doc_id) AS n_docs, round(count(*) / count(DISTINCT doc_id), 6) AS terms_per_doc, CAST(sum(tf) AS BIGINT) AS n_tokens FROM tf")
+def corpus_counters(spark, d):
+    tf, v = space(spark, d)
+    counts = tf.agg(F.count_distinct("doc_id").alias("n_docs"), F.round(F.count("*") / F.count_distinct("doc_id"), 6).alias("terms_per_doc"), F.sum("tf").alias("n_tokens"))
+    return v.agg(F.count("*").alias("n_vectors")).crossJoin(F.broadcast(counts))
+
+
+@query(f"""WITH parts AS (SELECT doc_id, 'head' AS field, string_split(text, chr(10))[1] AS text FROM documents UNION ALL SELECT doc_id, 'tail', substr(text, length(string_split(text, chr(10))[1]) + 2) FROM documents),
+  tok AS (SELECT doc_id, field, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '')) AS term FROM parts), n AS (SELECT field, count(DISTINCT doc_id) AS n FROM tok GROUP BY 1), df AS (SELECT field, term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1, 2)
+  SELECT term, round(sum(log10(n / df)), 6) + 0.0 AS weight FROM df JOIN n USING (field) GROUP BY term""")
+def weights_over_fields(spark, d):
+    """A term's idf, summed over two fields: a document's first line and the rest."""
+    docs = table(spark, d, "documents")
+    head = F.get(F.split("text", "\n"), F.lit(0))
+    parts = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("head").alias("field"), head.alias("text")), F.struct(F.lit("tail").alias("field"), F.substr("text", F.length(head) + 2).alias("text")))).alias("p")).select("doc_id", "p.*")
+    tok = parts.select("doc_id", "field", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    df = tok.groupBy("field", "term").agg(F.count("*").alias("df"))
+    n = tok.groupBy("field").agg(F.count_distinct("doc_id").alias("n"))
+    return df.join(F.broadcast(n), "field").groupBy("term").agg(rounded(F.sum(F.log10(F.col("n") / F.col("df")))).alias("weight"))
+
+
+# reflective and incremental training
+
+
+@query(ORACLES["reflective_second_cycle"] if "reflective_second_cycle" in ORACLES else f"WITH {S.DOCS}, raw2 AS (SELECT term AS object, dim, sum(tf * val) AS val FROM tf JOIN vocab USING (term) JOIN (SELECT object AS doc_id, dim, val FROM docs_) USING (doc_id) GROUP BY 1, 2), {S.normal('raw2', 'second')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM second")
+def training_cycles(spark, d):
+    tf, v = space(spark, d)
+    return to5(models.trained(tf, v, weights(spark, d), SPACE, 2)[0])
+
+
+_SEEDED = f"""{S.VOCAB}, raw_d AS (SELECT doc_id AS object, {S.dim('term')} AS dim, CAST(sum(tf * idf * {S.SIGN}) AS DOUBLE) AS val FROM tf JOIN weights USING (term), {S.KS} GROUP BY 1, 2), {S.normal('raw_d', 'd0')}"""
+
+
+@query(f"WITH {_SEEDED}, raw2 AS (SELECT term AS object, dim, sum(tf * val) AS val FROM tf JOIN vocab USING (term) JOIN (SELECT object AS doc_id, dim, val FROM d0) USING (doc_id) GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p")
+def reflective_term_seed(spark, d):
+    tf, v = space(spark, d)
+    return to5(models.trained(tf, v, weights(spark, d), SPACE, 1, "term")[0])
+
+
+@query(f"WITH {_SEEDED}, raw2 AS (SELECT term AS object, dim, sum(log10(1 + tf) * val) AS val FROM tf JOIN vocab USING (term) JOIN (SELECT object AS doc_id, dim, val FROM d0) USING (doc_id) GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p")
+def incremental_term_vectors(spark, d):
+    tf, v = space(spark, d)
+    documents = models.normalised(models.seeded_documents(tf, weights(spark, d), SPACE, F.col("tf")))
+    return to5(models.normalised(models.incremental_terms(tf, v, documents, T.local_weight("logentropy", F.col("tf")))))
+
+
+@query(f"""WITH {S.TERMS}, raw_i AS (SELECT doc_id AS object, dim, sum(log10(1 + tf) * idf * val) AS val FROM tf JOIN weights USING (term) JOIN (SELECT object AS term, dim, val FROM terms_) USING (term) GROUP BY 1, 2), {S.normal('raw_i', 'd1')}
+  SELECT doc_id AS object, CAST(i AS INTEGER) AS i, round(coalesce(val, 0.0), 5) + 0.0 AS val FROM (SELECT DISTINCT doc_id FROM documents), range({D}) r(i) LEFT JOIN d1 ON d1.object = doc_id AND d1.dim = i""")
+def incremental_document_vectors(spark, d):
+    """With local weights; a document without kept terms has the zero vector."""
+    tf, _ = space(spark, d)
+    m = models.normalised(models.document_vectors(tf, weights(spark, d), terms(spark, d), T.local_weight("logentropy", F.col("tf"))))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("object")).distinct()
+    return entries(models.whole_store(m, docs, SPACE), F.col("vec"), 5)
+
+
+_SIDE = lambda n, c: f"""tok{n} AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}]+'), lambda w: w <> '')) AS term FROM sides), tf{n} AS (SELECT term, doc_id, count(*) AS tf FROM tok{n} GROUP BY 1, 2), v{n} AS (SELECT term FROM tf{n} GROUP BY 1 HAVING sum(tf) >= {S.LEAST} AND length(term) >= 2),
+  raw{n} AS (SELECT term AS object, {S.dim('doc_id')} AS dim, CAST(sum(tf * {S.SIGN}) AS DOUBLE) AS val FROM tf{n} JOIN v{n} USING (term), {S.KS} GROUP BY 1, 2), {S.normal(f'raw{n}', f'p{n}')}"""
+
+
+@query(f"""WITH sides AS (SELECT a.doc_id, a.text AS c1, b.text AS c2 FROM documents a JOIN (SELECT *, doc_id - 1 AS left_id FROM documents) b ON a.doc_id = b.left_id WHERE a.lang <> b.lang), {_SIDE(1, 'c1')}, {_SIDE(2, 'c2')}
+  SELECT 'l1' AS side, object, dim, round(val, 6) + 0.0 AS val FROM p1 UNION ALL SELECT 'l2', object, dim, round(val, 6) + 0.0 FROM p2""")
+def bilingual_vectors(spark, d):
+    """Two languages in one space: a pair of documents gives both sides the same elemental vector."""
+    from .catalog import source_bilingual
+
+    pairs = source_bilingual(spark, d)
+    def side(n: int) -> DataFrame:
+        tf = corpus.postings(pairs.select("doc_id", F.col(f"contents_l{n}").alias("text")))
+        m = models.normalised(models.term_vectors(tf, corpus.vocabulary(tf, S.LEAST, min_length=2), SPACE))
+        return coo(m).select(F.lit(f"l{n}").alias("side"), "object", "dim", "val")
+    return side(1).unionByName(side(2))
+
+
+# predications
+
+_PSI = f"""{S.TRIPLES}, one AS (SELECT subject, predicate, object, log10(1 + count(*)) AS pw FROM raw_triples GROUP BY 1, 2, 3), nn AS (SELECT count(*) AS nn FROM one), ws AS (SELECT subject, log10(nn / count(*)) AS s FROM one, nn GROUP BY subject, nn), wp AS (SELECT predicate, log10(nn / count(*)) AS p FROM one, nn GROUP BY predicate, nn), wo AS (SELECT object, log10(nn / count(*)) AS o FROM one, nn GROUP BY object, nn),
+  b AS (SELECT one.*, s, p, o FROM one JOIN ws USING (subject) JOIN wp USING (predicate) JOIN wo USING (object)),
+  x AS (SELECT subject AS item, object AS other, predicate, pw * (o + p) AS w FROM b UNION ALL SELECT object, subject, predicate || '-INV', pw * (s + p) FROM b)"""
+_BOUND = lambda a, b, more="": f"CAST(({S.dim(a)} + {S.dim(b, 'l')}{more}) % {D} AS INTEGER)"
+_PSI_RAW = f"{_PSI}, raw2 AS (SELECT item AS object, {_BOUND('other', 'predicate')} AS dim, CAST(sum(w * {S.SIGN} * {S.sign('l')}) AS DOUBLE) AS val FROM x, {S.KS}, {S.LS} GROUP BY 1, 2), {S.normal('raw2', 'p')}"
+
+
+def raw_triples(spark: SparkSession, d: str) -> DataFrame:
+    from .catalog import triples
+
+    return triples(spark, d, repeats=True)
+
+
+def predication_space(spark: SparkSession, d: str) -> DataFrame:
+    return models.normalised(models.predications(raw_triples(spark, d), SPACE))
+
+
+@query(f"WITH {_PSI_RAW} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p")
+def predication_vectors(spark, d):
+    return to5(predication_space(spark, d))
+
+
+@query(f"""WITH {_PSI}, y AS (SELECT subject AS u, object AS v, predicate, s * o AS w FROM b UNION ALL SELECT object, subject, predicate || '-INV', s * o FROM b),
+  raw2 AS (SELECT predicate AS object, {_BOUND('u', 'v', ' + 1')} AS dim, CAST(sum(w * {S.SIGN} * {S.sign('l')}) AS DOUBLE) AS val FROM y, {S.KS}, {S.LS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
+def predicate_vectors(spark, d):
+    return to5(models.normalised(models.predicates(raw_triples(spark, d), SPACE)))
+
+
+# what stands for the predication of being in a nation: E(peru) * E(IN_NATION)
+_Q = lambda a, b: f"q AS (SELECT {_BOUND(a, b)} AS dim, CAST(sum({S.SIGN} * {S.sign('l')}) AS DOUBLE) AS q FROM {S.KS}, {S.LS} GROUP BY 1)"
+
+
+@query(f"WITH {_PSI_RAW}, {_Q("'peru'", "'IN_NATION'")} SELECT object, round(sum(val * q) / (SELECT sqrt(sum(q * q)) FROM q), 6) AS score FROM p JOIN q USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20")
+def predication_search(spark, d):
+    from ..operators import search
+
+    q = models.bound(spark.range(1).select(F.lit("peru").alias("o"), F.lit("IN_NATION").alias("p")), F.col("o"), F.col("p"), SPACE).groupBy("dim").agg(F.sum("sign").cast("double").alias("q"))
+    n = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("n"))
+    hits = predication_space(spark, d).join(F.broadcast(q), "dim").groupBy("object").agg(F.sum(F.col("val") * F.col("q")).alias("x"))
+    return search.best(hits.crossJoin(F.broadcast(n)).select("object", F.round(F.col("x") / F.col("n"), 6).alias("score")))
+
+
+_PREDICATES = "(SELECT DISTINCT predicate FROM one UNION SELECT DISTINCT predicate || '-INV' FROM one)"
+
+
+@query(f"""WITH {_PSI_RAW}, c AS (SELECT DISTINCT subject, object FROM one WHERE predicate = 'IN_REGION'), e AS (SELECT c.object AS o, c.subject AS s, {S.dim('c.object')} AS dim, {S.SIGN} AS sign FROM c, {S.KS}),
+  freed AS (SELECT e.s, e.o, (p.dim - e.dim + {D}) % {D} AS dim, sum(p.val * e.sign) AS v FROM e JOIN p ON p.object = e.s GROUP BY 1, 2, 3), pe AS (SELECT predicate, {S.dim('predicate')} AS dim, sum({S.SIGN}) AS v FROM {_PREDICATES}, {S.KS} GROUP BY 1, 2),
+  sc AS (SELECT s, o, predicate, round(round(sum(f.v * pe.v) / sqrt(any_value(fn)) / sqrt(any_value(pn)), 6), 5) AS score FROM freed f JOIN pe USING (dim) JOIN (SELECT s, o, sum(v * v) AS fn FROM freed GROUP BY 1, 2) USING (s, o) JOIN (SELECT predicate, sum(v * v) AS pn FROM pe GROUP BY 1) USING (predicate) GROUP BY 1, 2, 3)
+  SELECT s || '/' || o AS item, arg_min(predicate, (-score, predicate)) AS object, max(score) + 0.0 AS score FROM sc GROUP BY s, o""")
+def nearest_predicate(spark, d):
+    """The predicate that best fits each nation and its region: S(nation) released from E(region), held against the predicates."""
+    from ..operators import search
+
+    raw = raw_triples(spark, d)
+    found = raw.where("predicate = 'IN_REGION'").select("subject", "object").distinct()
+    vectors = models.dense(predication_space(spark, d).join(F.broadcast(found.select(F.col("subject").alias("object")).distinct()), "object", "left_semi"), SPACE)
+    freed = found.join(vectors.select(F.col("object").alias("subject"), "vec"), "subject").select(F.concat_ws("/", "subject", "object").alias("item"), V.release(F.col("vec"), models.elemental_vector(F.col("object"), SPACE), "plain").alias("q"))
+    names = raw.select("predicate").distinct()
+    names = names.unionByName(names.select(F.concat("predicate", F.lit("-INV")).alias("predicate")))
+    hits = search.nearest(freed, names.select(F.col("predicate").alias("object"), models.elemental_vector(F.col("predicate"), SPACE).alias("vec")))
+    return hits.select("item", "object", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+@query(f"""WITH {_PSI_RAW}, c AS (SELECT DISTINCT object AS o FROM one WHERE predicate = 'IN_REGION'), q AS (SELECT o, {_BOUND('o', "'IN_REGION'")} AS dim, sum({S.SIGN} * {S.sign('l')}) AS q FROM c, {S.KS}, {S.LS} GROUP BY 1, 2),
+  sc AS (SELECT p.object AS item, o, round(sum(val * q) / sqrt(any_value(qn)), 5) AS score FROM p JOIN q USING (dim) JOIN (SELECT o, sum(q * q) AS qn FROM q GROUP BY 1) USING (o) GROUP BY 1, 2)
+  SELECT item, arg_min(o, (-score, o)) AS object, max(score) + 0.0 AS score FROM sc WHERE score > 0.3 GROUP BY item""")
+def predication_types(spark, d):
+    """The region that each item is most like to be in: of the scores above 0.3 with every (predicate, region), the best."""
+    raw = raw_triples(spark, d)
+    regions = raw.where("predicate = 'IN_REGION'").select("object").distinct()
+    q = models.bound(regions.select(F.col("object").alias("o"), F.lit("IN_REGION").alias("p")), F.col("o"), F.col("p"), SPACE).groupBy("o", "dim").agg(F.sum("sign").cast("double").alias("q"))
+    n = q.groupBy("o").agg(F.sum(F.col("q") * F.col("q")).alias("n"))
+    x = predication_space(spark, d).join(F.broadcast(q), "dim").groupBy(F.col("object").alias("item"), "o").agg(F.sum(F.col("val") * F.col("q")).alias("x"))
+    s = x.join(F.broadcast(n), "o").select("item", "o", (F.round(F.col("x") / F.sqrt("n"), 5) + F.lit(0.0)).alias("score")).where("score > 0.3")
+    best = s.groupBy("item").agg(F.min(F.struct((-F.col("score")).alias("s"), "o")).alias("b"))
+    return best.select("item", F.col("b.o").alias("object"), (-F.col("b.s") + F.lit(0.0)).alias("score"))
+
+
+# encodings of numbers and spelling
+
+_E = lambda key, name: f"{name} AS (SELECT i, coalesce(sum({S.SIGN}) FILTER ({S.dim(key)} = i), 0)::DOUBLE AS v FROM range({D}) r(i), {S.KS} GROUP BY i)"
+_ENDS = f"""{_E("'*START*'", "l0")}, {_E("'*END*'", "r0")}, l AS (SELECT i, v / sqrt((SELECT sum(v * v) FROM l0)) AS v FROM l0), r1 AS (SELECT i, v / sqrt((SELECT sum(v * v) FROM r0)) AS v FROM r0),
+  r2 AS (SELECT r1.i, r1.v - (SELECT sum(l.v * r1.v) FROM l JOIN r1 USING (i)) * l.v AS v FROM r1 JOIN l USING (i)), r AS (SELECT i, v / sqrt((SELECT sum(v * v) FROM r2)) AS v FROM r2)"""
+
+
+@query(f"""WITH {_ENDS}, n AS (SELECT n, l.i, l.v * (10 - n) + r.v * n AS v FROM l JOIN r USING (i), range(0, 11) t(n)) SELECT CAST(n AS BIGINT) AS object, CAST(i AS INTEGER) AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY n)), 6) + 0.0 AS val FROM n""")
+def number_line_seeded(spark, d):
+    """Numbers 0 to 10 between ends that two seeds give."""
+    low, high = models.ends(SPACE)
+    line = spark.range(11).withColumnRenamed("id", "object").crossJoin(F.broadcast(spark.range(1).select(low.alias("low"), high.alias("high"))))
+    return entries(line.select("object", models.on_line(F.col("low"), F.col("high"), F.col("object"), F.lit(0), F.lit(10)).alias("vec")), F.col("vec"))
+
+
+@query(f"""WITH {S.VOCAB}, {_ENDS}, lens AS (SELECT DISTINCT length(term) AS n FROM vocab), raw_n AS (SELECT n, p, l.i, l.v * (n + 1 - p) + r.v * p AS v FROM lens, range(1, 200) t(p), l JOIN r USING (i) WHERE p <= n), num AS (SELECT n, p, i, v / sqrt(sum(v * v) OVER (PARTITION BY n, p)) AS v FROM raw_n),
+  ch AS (SELECT term, length(term) AS n, p, substr(term, p, 1) AS c FROM vocab, range(1, 200) t(p) WHERE p <= length(term)), e AS (SELECT c, {S.dim('c')} AS dim, sum({S.SIGN}) AS sign FROM (SELECT DISTINCT c FROM ch), {S.KS} GROUP BY 1, 2),
+  raw2 AS (SELECT term AS object, CAST((num.i + e.dim) % {D} AS INTEGER) AS dim, sum(e.sign * num.v) AS val FROM ch JOIN e USING (c) JOIN num ON num.n = ch.n AND num.p = ch.p GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim AS i, round(val, 5) + 0.0 AS val FROM p""")
+def spelling_vectors(spark, d):
+    """The vocabulary by its spelling."""
+    return entries(models.spelled(space(spark, d)[1].select("term"), SPACE), F.col("vec"), 5)
+
+
+_PROP = lambda key: f"({S.hashed(f"'{key}@' || i")} / 4294967296.0 - 0.5) / {D}"
+
+
+@query(f"""WITH e AS (SELECT i, {_PROP('low')} AS l, {_PROP('high')} AS h FROM range({D}) r(i)), v AS (SELECT p_partkey AS object, i, l * p_size / 50.0 + h * (1 - p_size / 50.0) AS v FROM part, e WHERE p_size BETWEEN 0 AND 50)
+  SELECT object, CAST(i AS INTEGER) AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY object)), 6) + 0.0 AS val FROM v""")
+def proportion_vectors(spark, d):
+    """Part sizes as shares of 50, between two dense random ends; shares beyond 0 and 1 have no vector."""
+    p = F.col("p_size") / F.lit(50.0)
+    low, high = (G.elemental_dense(F.lit(k), D) for k in ("low", "high"))
+    vec = V.normalise(F.zip_with(low, high, lambda x, y: x * p + y * (1 - p)))
+    return entries(table(spark, d, "part").where(p.between(0, 1)).select(F.col("p_partkey").alias("object"), vec.alias("vec")), F.col("vec"))
+
+
+@query(f"""WITH {S.VOCAB}, g AS (SELECT term, '<' || term || '>' AS p FROM vocab), n AS (SELECT DISTINCT term, substr(p, i, k) AS gram FROM g, range(3, 7) a(k), range(1, 200) b(i) WHERE k < length(p) AND i <= length(p) - k + 1), s AS (SELECT term, {S.hashed('gram')} % 2000000 AS slot, count(*) AS n FROM n GROUP BY 1, 2),
+  raw2 AS (SELECT term AS object, {S.dim('slot')} AS dim, CAST(sum(n * {S.SIGN}) AS DOUBLE) AS val FROM s, {S.KS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 6) + 0.0 AS val FROM p""")
+def bucketed_subword_vectors(spark, d):
+    """The vocabulary by its n-grams, which share a fixed number of slots."""
+    grams = space(spark, d)[1].select("term", F.explode(F.array_distinct(T.component_ngrams(F.col("term")))).alias("gram"))
+    counted = models.bucketed(grams).groupBy(F.col("term").alias("object"), "slot").agg(F.count("*").alias("n"))
+    return coo(models.normalised(models.summed(models.elemental(counted, F.col("slot"), SPACE), F.col("n") * F.col("sign"))))
+
+
+def elemental_store(spark: SparkSession, names: DataFrame, kind: str) -> DataFrame:
+    """(object, vec) of the names (term) by content hash, by spelling, or drawn anew by rand()."""
+    if kind == "spelling":
+        return models.spelled(names, SPACE)
+    if kind == "random":
+        return names.select(F.col("term").alias("object"), F.transform(F.sequence(F.lit(0), F.lit(D - 1)), lambda i: F.lit(0.0)).alias("vec")).withColumn("vec", F.array(*((F.rand(k) - 0.5) / D for k in range(D))))
+    return names.select(F.col("term").alias("object"), models.elemental_vector(F.col("term"), SPACE).alias("vec"))
+
+
+@query(f"WITH {S.VOCAB}, x AS (SELECT term AS object FROM vocab), e AS (SELECT object, {S.dim('object')} AS dim, sum({S.SIGN}) AS val FROM x, {S.KS} GROUP BY 1, 2) SELECT x.object, CAST(i AS INTEGER) AS i, CAST(coalesce(val, 0) AS DOUBLE) AS val FROM x CROSS JOIN range({D}) r(i) LEFT JOIN e ON e.object = x.object AND e.dim = i")
+def elemental_store_dense(spark, d):
+    return entries(elemental_store(spark, space(spark, d)[1].select("term"), "hash"), F.col("vec"))

@@ -29,7 +29,7 @@ def source_triples(spark, d):
     return readers.predications(triples(spark, d)).distinct()
 
 
-def triples(spark: SparkSession, d: str) -> DataFrame:
+def triples(spark: SparkSession, d: str, repeats: bool = False) -> DataFrame:
     t = lambda n: table(spark, d, n)
     nation = t("nation")
     raw = [
@@ -43,7 +43,8 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
     every = named[0]
     for r in named[1:]:
         every = every.unionByName(r)
-    return readers.clean_triples(every).distinct()
+    clean = readers.clean_triples(every)
+    return clean if repeats else clean.distinct()
 
 
 @query("""SELECT a.doc_id, a.text AS contents_l1, b.text AS contents_l2 FROM documents a JOIN
@@ -113,10 +114,11 @@ def term_filter(spark, d):
     return corpus.vocabulary(tf, 5, 5000, 3, 0, False, stop)
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE try_cast(substr(o_orderpriority, 1, 1) AS DOUBLE) IS NULL OR length(regexp_replace(o_orderpriority, '\\p{L}', '', 'g')) <= 2")
+@query("WITH tok AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS term, doc_id FROM documents) SELECT term, count(*) AS gf, count(DISTINCT doc_id) AS df FROM tok WHERE try_cast(term AS DOUBLE) IS NULL AND length(term) >= 2 AND length(term) - length(regexp_replace(term, '[^\\p{L}]', '', 'g')) <= 2 GROUP BY term HAVING count(*) BETWEEN 3 AND 500")
 def number_filter(spark, d):
-    o, p = table(spark, d, "orders"), F.col("o_orderpriority")
-    return o.where(~T.is_number(F.substring(p, 1, 1)) | (T.non_letters(p) <= 2)).select("o_orderkey", "o_orderpriority")
+    """Terms between white space, which may be numbers, through the number test and the term filter."""
+    pieces = table(spark, d, "documents").select("doc_id", F.explode(T.pieces(F.lower("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return corpus.number_filter(pieces, least=3, most=500, min_length=2, max_non_letters=2)
 
 
 @query(f"""WITH {S.TF}, n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), g AS (SELECT term, sum(tf) AS gf, count(*) AS df, sum(tf * log2(tf)) AS x FROM tf GROUP BY term)
@@ -151,13 +153,6 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.window_pairs(corpus.tokens(docs), space(spark, d)[1], S.RADIUS)
 
 
-@query(f"WITH {S.VOCAB}, f AS (SELECT doc_id, max((term = 'the')::INT) AS a, max((term = 'and')::INT) AS b FROM tf GROUP BY doc_id) SELECT sum(a * b)::BIGINT AS both_, sum(a * (1 - b))::BIGINT AS first_, sum((1 - a) * b)::BIGINT AS second_, sum((1 - a) * (1 - b))::BIGINT AS neither FROM f")
-def contingency(spark, d):
-    f = corpus.postings(table(spark, d, "documents")).groupBy("doc_id").agg(*(F.max((F.col("term") == t).cast("int")).alias(n) for t, n in (("the", "a"), ("and", "b"))))
-    a, b = F.col("a"), F.col("b")
-    return f.agg(F.sum(a * b).alias("both_"), F.sum(a * (1 - b)).alias("first_"), F.sum((1 - a) * b).alias("second_"), F.sum((1 - a) * (1 - b)).alias("neither"))
-
-
 @query(f"WITH {S.VOCAB} SELECT term, round(sum(sqrt(gf)) OVER (ORDER BY term ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM vocab")
 def negative_sampling_table(spark, d):
     return analysis.negative_table(space(spark, d)[1]).select("term", F.round("cumulative", 4).alias("cumulative"))
@@ -206,20 +201,6 @@ def reflective_second_cycle(spark, d):
     return models.normalised(models.terms_from_documents(tf, v, document_vectors(spark, d))).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
 
 
-def _positional(method: str, turn: str) -> None:
-    @query(f"""WITH {S.PAIRS}, w AS (SELECT term AS other, idf FROM weights), raw2 AS (SELECT term AS object, CAST(({S.dim('other')} + {turn} + {S.DIM}) % {S.DIM} AS INTEGER) AS dim, CAST(sum(idf * {S.SIGN}) AS DOUBLE) AS val FROM pairs JOIN w USING (other), {S.KS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
-    def build(spark, d):
-        m = models.positional(pairs(spark, d), weights(spark, d), SPACE, method)
-        return models.normalised(m).select("object", F.col("dim").cast("int").alias("dim"), (F.round("val", 5) + F.lit(0.0)).alias("val"))
-
-    for book in (QUERIES, ORACLES):
-        book[f"positional_{method}"] = book.pop("build")
-
-
-for _m, _t in (("basic", "0"), ("directional", "sign(\"offset\")"), ("permutation", "\"offset\"")):
-    _positional(_m, _t)
-
-
 @query(f"""WITH {S.VOCAB}, w0 AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN weights USING (term)), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0),
   e AS (SELECT term, {S.dim('term')} AS dim, {S.SIGN} AS sign FROM vocab, {S.KS}), whole AS (SELECT doc_id, dim, sum(w * sign) AS v FROM u JOIN e USING (term) GROUP BY 1, 2),
   own AS (SELECT term, dim, sum(sign) AS s FROM e GROUP BY 1, 2), raw2 AS (SELECT u.term AS object, whole.dim AS dim, sum(w * (v - w * coalesce(s, 0))) AS val FROM u JOIN whole USING (doc_id) LEFT JOIN own ON own.term = u.term AND own.dim = whole.dim GROUP BY 1, 2), {S.normal('raw2', 'p')}
@@ -229,14 +210,6 @@ def symmetric_ri(spark, d):
     return models.normalised(m).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
 
 
-@query(f"""WITH {S.TRIPLES}, t AS (SELECT DISTINCT * FROM triples), n AS (SELECT count(*) AS n FROM t), ws AS (SELECT subject, log10(n / count(*)) AS w FROM t, n GROUP BY subject, n), wp AS (SELECT predicate, log10(n / count(*)) AS w FROM t, n GROUP BY predicate, n), wo AS (SELECT object, log10(n / count(*)) AS w FROM t, n GROUP BY object, n),
-  b AS (SELECT t.*, ws.w AS s, wp.w AS p, wo.w AS o FROM t JOIN ws USING (subject) JOIN wp USING (predicate) JOIN wo USING (object)),
-  x AS (SELECT subject AS item, object AS other, predicate, o + p AS w FROM b UNION ALL SELECT object, subject, predicate || '-INV', s + p FROM b),
-  raw2 AS (SELECT item AS object, CAST(({S.dim('other')} + {S.hashed('predicate')} % {S.DIM}) % {S.DIM} AS INTEGER) AS dim, CAST(sum(w * {S.SIGN}) AS DOUBLE) AS val FROM x, {S.KS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
-def predication_vectors(spark, d):
-    return models.normalised(models.predications(triples(spark, d), SPACE)).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
-
-
 @query(f"""WITH x AS (SELECT lower(c_mktsegment) AS l, lower(regexp_replace(n_name, '[^\\p{{L}}\\s]', '', 'g')) AS object FROM customer JOIN nation ON c_nationkey = n_nationkey), raw2 AS (SELECT object, {S.dim('l')} AS dim, CAST(sum({S.SIGN}) AS DOUBLE) AS val FROM x, {S.KS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 6) + 0.0 AS val FROM p""")
 def dyadic_vectors(spark, d):
     return coo(models.normalised(models.dyads(dyads(spark, d), SPACE)))
@@ -245,7 +218,7 @@ def dyadic_vectors(spark, d):
 @query(f"""WITH m AS (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS e FROM part), x AS (SELECT p_partkey::VARCHAR AS object, 'p_brand' AS col, 'p_brand=' || p_brand AS cell, 1.0::DOUBLE AS w FROM part UNION ALL SELECT p_partkey::VARCHAR, 'p_type', 'p_type=' || p_type, 1.0 FROM part
   UNION ALL SELECT p_partkey::VARCHAR, 'p_size', 'p_size<', 1 - (p_size - a)::DOUBLE / (b - a) FROM part, m UNION ALL SELECT p_partkey::VARCHAR, 'p_size', 'p_size>', (p_size - a)::DOUBLE / (b - a) FROM part, m
   UNION ALL SELECT p_partkey::VARCHAR, 'p_retailprice', 'p_retailprice<', 1 - (p_retailprice - c) / (e - c) FROM part, m UNION ALL SELECT p_partkey::VARCHAR, 'p_retailprice', 'p_retailprice>', (p_retailprice - c) / (e - c) FROM part, m),
-  raw2 AS (SELECT object, CAST(({S.dim('cell')} + {S.hashed('col')} % {S.DIM}) % {S.DIM} AS INTEGER) AS dim, CAST(sum(w * {S.SIGN}) AS DOUBLE) AS val FROM x, {S.KS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
+  raw2 AS (SELECT object, CAST(({S.dim('cell')} + {S.dim('col', 'l')}) % {S.DIM} AS INTEGER) AS dim, CAST(sum(w * {S.SIGN} * {S.sign('l')}) AS DOUBLE) AS val FROM x, {S.KS}, {S.LS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
 def table_row_vectors(spark, d):
     m = models.table_rows(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"], SPACE)
     return models.normalised(m).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
@@ -444,16 +417,6 @@ def k_means(spark, d):
     return analysis.k_means(store(spark, d))
 
 
-_edges = f"e AS (SELECT x.object AS a, y.object AS b, round(1 - list_cosine_similarity(x.vec, y.vec), 6) AS distance FROM s x JOIN s y ON x.object < y.object AND y.object - x.object <= 20)"
-
-
-@query(f"WITH {S.STORE}, {_edges}, f AS (SELECT * FROM e UNION ALL SELECT b, a, distance FROM e), r AS (SELECT x.a, y.b, min(greatest(x.distance, y.distance)) AS around FROM f x JOIN f y ON x.b = y.a WHERE x.a < y.b GROUP BY 1, 2) SELECT e.a, e.b, distance FROM e LEFT JOIN r ON r.a = e.a AND r.b = e.b WHERE around IS NULL OR distance <= around")
-def pathfinder(spark, d):
-    s = store(spark, d)
-    x = s.select("object", "vec", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("step")).select(F.col("object").alias("a"), F.col("vec").alias("va"), (F.col("object") + F.col("step")).alias("b"))
-    return analysis.pathfinder(x.join(s.select(F.col("object").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", F.round(1 - V.cosine(F.col("va"), F.col("vb")), 6).alias("distance")))
-
-
 @query(f"""WITH {S.STORE}, p AS (SELECT round(list_cosine_similarity(x.vec, y.vec), 6) AS x, (l.label = m.label)::INT::DOUBLE AS y FROM s x JOIN s y ON y.object = x.object + 1 JOIN embeddings l ON l.vec_id = x.object JOIN embeddings m ON m.vec_id = y.object),
   r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM p) SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""")
 def pair_correlation(spark, d):

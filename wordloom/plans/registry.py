@@ -64,6 +64,6 @@ def pairs_of_store(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumnRenamed("vec", "a").join(s.select((F.col("object") - 1).alias("object"), F.col("vec").alias("b")), "object")
 
 
-def entries(df: DataFrame, vec: Column) -> DataFrame:
+def entries(df: DataFrame, vec: Column, digits: int = 6) -> DataFrame:
     """(object, i, val) of an array, the form that both engines hash alike."""
-    return df.select("object", F.posexplode(vec).alias("i", "val")).select("object", "i", rounded(F.col("val").cast("double")).alias("val"))
+    return df.select("object", F.posexplode(vec).alias("i", "val")).select("object", "i", (F.round(F.col("val").cast("double"), digits) + F.lit(0.0)).alias("val"))

@@ -1,0 +1,212 @@
+"""Registered queries of the query language, of searches with weights, patterns and unknown terms, of expanded spaces, and of analyses over hits."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import analysis, corpus, expressions, models, search
+from . import sql as S
+from .registry import ORACLES, QUERIES, SPACE, entries, query, rounded, space, store, table, weights
+
+W = S.WIDTH
+_v = lambda i: f"(SELECT vec FROM s WHERE object = {i})"
+_each = lambda f: f"list_transform(range({W}), lambda i: {f})"
+_unit = lambda x: f"list_transform({x}, lambda z_: z_ / sqrt(list_inner_product({x}, {x})))"
+_cos = lambda x: f"list_cosine_similarity(vec, {x})"
+#: a released from b: circular correlation
+_rel = lambda a, b: f"list_transform(range({W}), lambda i: list_sum(list_transform(range({W}), lambda j: {a}[j + 1] * {b}[((j - i + {W}) % {W}) + 1])))"
+_MISSING = 999_999_999
+
+
+def _search(name: str, hits: Callable[[DataFrame], DataFrame], ctes: str, score: str = "list_cosine_similarity(vec, q)", where: str = "true", k: int = 20) -> None:
+    QUERIES[name] = lambda spark, d: hits(store(spark, d))
+    ORACLES[name] = f"WITH {S.STORE}, {ctes} SELECT object, round({score}, 6) AS score FROM s, q WHERE {where} ORDER BY round({score}, 6) DESC, object LIMIT {k}"
+
+
+_two = f"(SELECT {_v(1)} AS a, {_v(2)} AS b)"
+_three = f"(SELECT {_v(1)} AS a, {_v(2)} AS b, {_v(3)} AS c)"
+_search("search_sum_repeats", lambda s: search.search_sum(s, [1, 1, 2, _MISSING]), f"q AS (SELECT {_each('2 * a[i + 1] + b[i + 1]')} AS q FROM {_two})")
+_search("search_matching", lambda s: search.search_matching(s, "^1.$"), f"l AS (SELECT i, sum(vec[i + 1]) AS x FROM s, range({W}) r(i) WHERE regexp_matches(object::VARCHAR, '^1.$') GROUP BY i), q AS (SELECT list(x ORDER BY i) AS q FROM l)")
+_search("search_suppressed", lambda s: search.search_not(s, [1], [2], suppress=True), f"q AS (SELECT {_each('a[i + 1] + b[i + 1]')} AS q FROM {_two})")
+_search("search_not_unknown", lambda s: search.search_not(s, [1, 2], [_MISSING]), f"q AS (SELECT {_each('a[i + 1] + b[i + 1]')} AS q FROM {_two})")
+_search("search_subspace_unknown", lambda s: search.search_subspace(s, [_MISSING, 1, 1]), f"q AS (SELECT {_v(1)} AS q)", "abs(list_cosine_similarity(vec, q))")
+_search("search_analogy_unknown", lambda s: search.search_analogy(s, _MISSING, 2, 3), f"q AS (SELECT {_each('x[i + 1] + y[i + 1]')} AS q FROM (SELECT {_unit('b')} AS x, {_unit('c')} AS y FROM {_three}))", where=f"object NOT IN ({_MISSING}, 2, 3)")
+_search("search_permuted_unknown", lambda s: search.search_permuted(s, [_MISSING, None, 2]), f"q AS (SELECT {_each(f'b[((i - 1 + {W}) % {W}) + 1]')} AS q FROM {_two})")
+_search("search_extreme_of_sums", lambda s: search.search_extreme(s, [[1, 2], 3], False), f"q AS (SELECT {_each('a[i + 1] + b[i + 1]')} AS q, c FROM {_three})", f"greatest({_cos('q')}, {_cos('c')})")
+_search("search_not_two", lambda s: search.search_not(s, [1], [2, 3]), f"""u AS (SELECT {_unit('a')} AS a, {_unit('b')} AS b, {_unit('c')} AS c FROM {_three}), g AS (SELECT a, b, {_each('c[i + 1] - list_inner_product(c, b) * b[i + 1]')} AS c FROM u), h AS (SELECT a, b, {_unit('c')} AS c FROM g),
+  k AS (SELECT c, {_each('a[i + 1] - list_inner_product(a, b) * b[i + 1]')} AS a FROM h), q AS (SELECT {_each('a[i + 1] - list_inner_product(a, c) * c[i + 1]')} AS q FROM k)""")
+_search("search_bound_subspace", lambda s: search.search_bound_subspace(s, 1, [2, 3, _MISSING]), f"""r AS (SELECT {_rel('a', 'b')} AS x, {_rel('a', 'c')} AS y FROM {_three}), u AS (SELECT {_unit('x')} AS x, {_unit('y')} AS y FROM r), q AS (SELECT x, {_each('y[i + 1] - list_inner_product(y, x) * x[i + 1]')} AS z FROM u)""", f"sqrt(pow({_cos('x')}, 2) + pow({_cos('z')}, 2))")
+_search("search_turned", lambda s: search.search_turned(s, 1, [V.permutation(F.lit("left"), W), V.permutation(F.lit("right"), W)]), f"""l AS (SELECT i, row_number() OVER (ORDER BY md5('left#' || i)) - 1 AS r FROM range({W}) t(i)), m AS (SELECT i, row_number() OVER (ORDER BY md5('right#' || i)) - 1 AS r FROM range({W}) t(i)),
+  q AS (SELECT list(a[l.r + 1] ORDER BY m.i) AS q FROM {_two}, l JOIN m ON m.r = l.i)""")
+_search("search_balanced_two_stores", lambda s: search.search_balanced(s, s.select((F.col("object") - 1).alias("object"), "vec"), 1), f"q AS (SELECT {_each(f'a[((i - 1 + {W}) % {W}) + 1]')} AS q, {_each(f'a[((i + 1) % {W}) + 1]')} AS r FROM {_two})")
+ORACLES["search_balanced_two_stores"] = f"""WITH {S.STORE}, q AS (SELECT {_each(f'a[((i - 1 + {W}) % {W}) + 1]')} AS q, {_each(f'a[((i + 1) % {W}) + 1]')} AS r FROM {_two})
+  SELECT x.object, round(greatest(list_cosine_similarity(x.vec, q), list_cosine_similarity(y.vec, r)), 6) AS score FROM s x JOIN s y ON y.object = x.object + 1, q ORDER BY 2 DESC, 1 LIMIT 20"""
+
+
+# the query language
+
+
+def spaces(s: DataFrame) -> expressions.Spaces:
+    return expressions.Spaces(s, SPACE)
+
+
+_E = lambda key, name: f"{name} AS (SELECT list(v ORDER BY i) AS e FROM (SELECT i, coalesce(sum({S.SIGN}) FILTER ({S.dim(key)} = i), 0)::DOUBLE AS v FROM range({W}) r(i), {S.KS} GROUP BY i))"
+_search("expression_product", lambda s: expressions.found(spaces(s), "S(1)*S(2)+S(3)"), f"q AS (SELECT {_each('x[i + 1] + c[i + 1]')} AS q FROM (SELECT {_rel('b', 'a')} AS x, c FROM {_three}))")
+_search("expression_elemental", lambda s: expressions.found(spaces(s), "E(dog) * S(2)"), f"{_E("'dog'", "e")}, q AS (SELECT {_rel('b', 'e')} AS q FROM {_two}, e)")
+_search("expression_negated", lambda s: expressions.found(spaces(s), f"S(1~NOT 2)+S({_MISSING})"), f"u AS (SELECT {_unit('a')} AS a, {_unit('b')} AS b FROM {_two}), q AS (SELECT {_each('a[i + 1] - list_inner_product(a, b) * b[i + 1]')} AS q FROM u)")
+_search("expression_balanced", lambda s: expressions.found(spaces(s), "S(1)*S(2)|S(3)"), f"r AS (SELECT {_rel('b', 'a')} AS x, c FROM {_three}), u AS (SELECT {_unit('x')} AS x, {_unit('c')} AS c FROM r), q AS (SELECT {_each('x[i + 1] + c[i + 1]')} AS q FROM u)")
+_search("expression_predicate", lambda s: expressions.found(spaces(s), "P(IN_NATION)*S(1)"), f"{_E("'IN_NATION'", "e")}, q AS (SELECT {_rel('a', 'e')} AS q FROM {_two}, e)")
+_search("expression_subspace", lambda s: expressions.found_in_subspace(spaces(s), "S(1)*S(2)+S(3)"), f"r AS (SELECT {_rel('b', 'a')} AS x, c FROM {_three}), u AS (SELECT {_unit('x')} AS x, {_unit('c')} AS c FROM r), q AS (SELECT x, {_each('c[i + 1] - list_inner_product(c, x) * x[i + 1]')} AS z FROM u)", f"sqrt(pow({_cos('x')}, 2) + pow({_cos('z')}, 2))")
+
+
+@query(f"WITH {S.STORE} SELECT round(list_cosine_similarity({_rel('b', 'a')}, c), 6) + 0.0 AS score FROM {_three}")
+def expressions_compared(spark, d):
+    return expressions.compared(spaces(store(spark, d)), "S(1)*S(2)", "S(3)").select((F.col("score") + F.lit(0.0)).alias("score"))
+
+
+@query(f"WITH {S.STORE}, q AS (SELECT {_unit(_each('a[i + 1] + b[i + 1]'))} AS q FROM {_two}) SELECT CAST(i AS INTEGER) AS i, round(q[i + 1], 6) + 0.0 AS val FROM q, range({W}) r(i)")
+def query_vector(spark, d):
+    """A query's own vector."""
+    return search.additive(store(spark, d), [1, 2]).select(F.posexplode("q").alias("i", "val")).select("i", rounded(F.col("val")).alias("val"))
+
+
+# weights, case, hits
+
+
+@query(f"""WITH {S.TERMS}, q0 AS (SELECT dim, sum(idf * val) AS q FROM terms_ JOIN weights ON term = object WHERE object IN ('the', 'and') GROUP BY dim), q AS (SELECT dim, q / sqrt((SELECT sum(q * q) FROM q0)) AS q FROM q0)
+  SELECT object, round(sum(val * q), 6) AS score FROM terms_ JOIN q USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20""")
+def search_sum_weighted(spark, d):
+    """Query terms in any case, by their idf."""
+    from .registry import terms
+
+    dense = models.dense(terms(spark, d), SPACE)
+    return search.search_sum(dense, [t.lower() for t in ("The", "AND")], 20, weights(spark, d))
+
+
+@query(f"""WITH {S.TERMS}, q AS (SELECT dim, val AS q FROM terms_ WHERE object = 'the') SELECT object, round(round(sum(val * q), 6) * any_value(idf), 6) AS score FROM terms_ JOIN q USING (dim) JOIN weights ON term = object GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20""")
+def hits_weighted(spark, d):
+    from .registry import terms
+
+    dense = models.dense(terms(spark, d), SPACE)
+    return search.best(search.weighted(search.near(dense, search.additive(dense, ["the"])), weights(spark, d)))
+
+
+@query(f"WITH {S.STORE}, q AS (SELECT {_v(1)} AS q), h AS (SELECT object, vec, round({_cos('q')}, 6) AS score FROM s, q ORDER BY 3 DESC, 1 LIMIT 5) SELECT object, CAST(i AS INTEGER) AS i, round(vec[i + 1], 6) + 0.0 AS val FROM h, range({W}) r(i)")
+def hit_vectors(spark, d):
+    s = store(spark, d)
+    return entries(search.vectors_of(search.search_sum(s, [1], 5), s), F.col("vec"))
+
+
+@query(f"WITH {S.STORE}, q AS (SELECT {_v(1)} AS q) SELECT object, score, CAST(row_number() OVER (ORDER BY score DESC, object) AS INTEGER) AS rank FROM (SELECT object, round({_cos('q')}, 6) AS score FROM s, q) WHERE score > 0.2")
+def hits_above(spark, d):
+    s = store(spark, d)
+    hits = search.above(search.near(s, search.additive(s, [1])), 0.2)
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "object")))
+
+
+@query(f"WITH {S.STORE}, q AS (SELECT {_v(1)} AS q), h AS (SELECT object, round({_cos('q')}, 6) AS score FROM s, q ORDER BY 2 DESC, 1 LIMIT 20) SELECT printf('%.6f', score) || ':' || object AS plain, object || ' & ' || printf('%.3f', score) || ' \\\\' AS tex FROM h")
+def result_forms(spark, d):
+    hits = search.search_sum(store(spark, d), [1])
+    return hits.select(F.concat_ws(":", F.format_string("%.6f", "score"), F.col("object").cast("string")).alias("plain"), F.concat(F.col("object").cast("string"), F.lit(" & "), F.format_string("%.3f", "score"), F.lit(" \\\\")).alias("tex"))
+
+
+# spaces
+
+
+_HITS = lambda i, n: f"h AS (SELECT object, vec FROM (SELECT object, vec, round(list_cosine_similarity(vec, {_v(i)}), 6) AS score FROM s ORDER BY 3 DESC, 1 LIMIT {n}))"
+
+
+@query(f"WITH {S.STORE}, {_HITS(41, 20)}, n AS (SELECT y.object || ':' || x.object AS object, {_rel('x.vec', 'y.vec')} AS vec FROM h x JOIN h y ON x.object < y.object), u AS (SELECT object::VARCHAR AS object, vec FROM h UNION ALL SELECT * FROM n), q AS (SELECT {_v(41)} AS q) SELECT object, round({_cos('q')}, 6) AS score FROM u, q ORDER BY 2 DESC, 1 LIMIT 20")
+def expanded_space_search(spark, d):
+    """A query's 20 best hits and all their bound pairs, searched again: expansion is for few vectors."""
+    s = store(spark, d)
+    few = search.vectors_of(search.search_sum(s, [41], 20), s).select("object", "vec")
+    pairs = few.select(F.col("object").alias("x")).join(F.broadcast(few.select(F.col("object").alias("y"))), F.col("x") < F.col("y"))
+    return search.best(search.near(search.expanded(few, pairs), search.gathered(s, [41]).select(F.get("vs", F.lit(0)).alias("q"))))
+
+
+@query(f"WITH {S.STORE}, t AS (SELECT object + 100 AS object, vec FROM s) SELECT coalesce(s.object, t.object) AS object, CAST(i AS INTEGER) AS i, round(coalesce(s.vec[i + 1], 0) + coalesce(t.vec[i + 1], 0), 6) + 0.0 AS val FROM s FULL JOIN t ON s.object = t.object, range({W}) r(i)")
+def union_of_stores(spark, d):
+    s = store(spark, d)
+    return entries(search.union_sum(s, s.select((F.col("object") + 100).alias("object"), "vec")), F.col("vec"))
+
+
+@query(f"WITH {S.STORE} SELECT object FROM s EXCEPT SELECT object FROM s WHERE vec[1] > 0")
+def store_without(spark, d):
+    s = store(spark, d)
+    return s.join(s.where(F.get("vec", F.lit(0)) > 0).select("object"), "object", "left_anti").select("object")
+
+
+@query("SELECT p_partkey AS object, p_brand, p_size FROM part ORDER BY p_retailprice DESC, p_partkey")
+def sorted_whole(spark, d):
+    return table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").select(F.col("p_partkey").alias("object"), "p_brand", "p_size")
+
+
+# analyses
+
+
+@query(f"""WITH {S.STORE}, c AS (SELECT object AS a, object + 1 AS b, object + 2 AS c, object + 3 AS d FROM s WHERE object % 100 = 0 AND object + 3 <= (SELECT max(object) FROM s)), q AS (SELECT c.*, {_each('y[i + 1] - x[i + 1] + z[i + 1]')} AS q FROM c JOIN (SELECT object, {_unit('vec')} AS x FROM s) u ON u.object = a JOIN (SELECT object, {_unit('vec')} AS y FROM s) v ON v.object = b JOIN (SELECT object, {_unit('vec')} AS z FROM s) w ON w.object = c),
+  h AS (SELECT a, b, c, d, object, row_number() OVER (PARTITION BY a ORDER BY round({_cos('q')}, 6) DESC, object) AS r FROM q, s WHERE object NOT IN (a, b, c))
+  SELECT a, CAST(r AS INTEGER) AS rank, round(CASE WHEN 1.0 / r < 0.001 THEN 0 ELSE 1.0 / r END, 6) AS reciprocal FROM h WHERE object = d""")
+def analogy_evaluation(spark, d):
+    """Of every a divisible by 100, a + 1, a + 2 and a + 3: the rank of the last among what b - a + c finds in the whole store."""
+    s = store(spark, d)
+    last = s.agg(F.max("object").alias("last"))
+    cues = s.where("object % 100 = 0").select(F.col("object").alias("a")).crossJoin(F.broadcast(last)).where("a + 3 <= last").select("a", (F.col("a") + 1).alias("b"), (F.col("a") + 2).alias("c"), (F.col("a") + 3).alias("d"))
+    return analysis.analogies(s, cues).select("a", F.col("rank").cast("int").alias("rank"), F.round("reciprocal", 6).alias("reciprocal"))
+
+
+@query(f"""WITH RECURSIVE {S.STORE}, {_HITS(1, 60)}, e AS (SELECT x.object AS a, y.object AS b FROM h x JOIN h y ON x.object < y.object AND round(1 - list_cosine_similarity(x.vec, y.vec), 6) < 0.75), f AS (SELECT * FROM e UNION ALL SELECT b, a FROM e),
+  walk AS (SELECT a AS first, a AS here, 0 AS n FROM (SELECT DISTINCT a FROM f) UNION SELECT first, b, n + 1 FROM walk JOIN f ON f.a = walk.here WHERE n < 6)
+  SELECT first AS a, here AS b, CAST(min(n) AS INTEGER) AS hops FROM walk WHERE first < here GROUP BY 1, 2""")
+def shortest_hops(spark, d):
+    """Between a query's 60 best hits, over links of a distance below 0.75, paths of at most six."""
+    return analysis.hops(hit_distances(spark, d).where("distance < 0.75").select("a", "b"), 6).select("a", "b", F.col("hops").cast("int").alias("hops"))
+
+
+@query(f"""WITH {S.STORE}, q AS (SELECT {_v(1)} AS q), h AS (SELECT object, vec FROM (SELECT object, vec, round({_cos('q')}, 6) AS score FROM s, q ORDER BY 3 DESC, 1 LIMIT 60)), e AS (SELECT x.object AS a, y.object AS b, round(1 - list_cosine_similarity(x.vec, y.vec), 6) AS distance FROM h x JOIN h y ON x.object < y.object),
+  f AS (SELECT * FROM e UNION ALL SELECT b, a, distance FROM e), r AS (SELECT x.a, y.b, min(greatest(x.distance, y.distance)) AS around FROM f x JOIN f y ON x.b = y.a WHERE x.a < y.b GROUP BY 1, 2) SELECT e.a, e.b, distance FROM e LEFT JOIN r ON r.a = e.a AND r.b = e.b WHERE around IS NULL OR distance <= around""")
+def pathfinder(spark, d):
+    """The pruned network, for paths of two edges, over all pairs of a query's 60 best hits."""
+    return analysis.pathfinder(hit_distances(spark, d))
+
+
+def hit_distances(spark, d) -> DataFrame:
+    s = store(spark, d)
+    h = search.vectors_of(search.search_sum(s, [1], 60), s)
+    x, y = (h.select(F.col("object").alias(c), F.col("vec").alias(f"v{c}")) for c in "ab")
+    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", F.round(1 - V.cosine(F.col("va"), F.col("vb")), 6).alias("distance"))
+
+
+@query()
+def pathfinder_full(spark, d):
+    """The same for paths of any length (q = n - 1): a few hundred hits, on the driver."""
+    rows = hit_distances(spark, d).collect()
+    return analysis.pathfinder_of_edges(spark, rows)
+
+
+@query(f"""WITH {S.STORE}, q AS (SELECT {_v(1)} AS q), h AS (SELECT object, score FROM (SELECT object, round({_cos('q')}, 6) AS score FROM s, q ORDER BY 2 DESC, 1 LIMIT 60)) SELECT count(*) AS n, 2 AS components, round(sum(score), 4) AS total FROM h""")
+def principal_components_of_hits(spark, d):
+    """How many hits get coordinates on the two first principal components, how many those are, and the hits' scores; the coordinates are tested."""
+    s = store(spark, d)
+    hits = search.search_sum(s, [1], 60)
+    at = analysis.principal_components(search.vectors_of(hits, s).select("object", "vec"), 2)
+    return at.join(hits, "object").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("components"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(f"WITH {S.STORE}, q AS (SELECT {_v(1)} AS q), h AS (SELECT object, round({_cos('q')}, 6) AS score FROM s, q ORDER BY 2 DESC, 1 LIMIT 60) SELECT count(*) AS n, count(*) AS placed FROM h")
+def clusters_of_hits(spark, d):
+    """A query's 60 best hits, all in one of five clusters."""
+    s = store(spark, d)
+    found = analysis.k_means(search.vectors_of(search.search_sum(s, [1], 60), s).select("object", "vec"), 5)
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("cluster").between(0, 4)).alias("placed"))
+
+
+@query()
+def collisions(spark, d):
+    """How many random vectors a sum takes until another is as near to it as its first part: mean, deviation, least and most."""
+    return analysis.collisions(spark, W, 200, 400)

@@ -2,15 +2,22 @@
 
 DIM, SEED, LEAST, RADIUS, WIDTH = 64, 8, 10, 2, 64
 KS = f"range({SEED}) ks(k)"
-SIGN = f"(CASE WHEN k < {SEED // 2} THEN 1 ELSE -1 END)"
+LS = f"range({SEED}) ls(l)"
+
+
+def sign(k: str = "k") -> str:
+    return f"(CASE WHEN {k} < {SEED // 2} THEN 1 ELSE -1 END)"
+
+
+SIGN = sign()
 
 
 def hashed(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT)"
 
 
-def dim(key: str) -> str:
-    return f"CAST({hashed(f"CAST({key} AS VARCHAR) || '#' || k")} % {DIM} AS INTEGER)"
+def dim(key: str, k: str = "k") -> str:
+    return f"CAST({hashed(f"CAST({key} AS VARCHAR) || '#' || {k}")} % {DIM} AS INTEGER)"
 
 
 def normal(raw: str, name: str) -> str:
@@ -26,7 +33,8 @@ DOCS = f"{TERMS}, raw_docs AS (SELECT doc_id AS object, dim, sum(tf * idf * val)
 PAIRS = f"{VOCAB}, kept AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM tokens JOIN vocab USING (term)), pairs AS (SELECT x.doc_id, x.term, y.term AS other, CAST(y.n - x.n AS INTEGER) AS \"offset\" FROM kept x JOIN range(-{RADIUS}, {RADIUS + 1}) o(o) ON o <> 0 JOIN kept y ON y.doc_id = x.doc_id AND y.n = x.n + o)"
 STORE = "s AS (SELECT vec_id AS object, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 _clean = lambda c: f"replace(trim(lower({c})), ' ', '_')"
-TRIPLES = f"""triples AS (SELECT DISTINCT {_clean('s')} AS subject, upper(replace(trim(p), ' ', '_')) AS predicate, {_clean('o')} AS object FROM (
+RAW_TRIPLES = f"""raw_triples AS (SELECT {_clean('s')} AS subject, upper(replace(trim(p), ' ', '_')) AS predicate, {_clean('o')} AS object FROM (
   SELECT c_name AS s, 'in_nation' AS p, n_name AS o FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_name, 'in_nation', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT n_name, 'in_region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT p_name, 'has brand', p_brand FROM part
   UNION ALL SELECT s_name, 'supplies', p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey))"""
+TRIPLES = f"{RAW_TRIPLES}, triples AS (SELECT DISTINCT * FROM raw_triples)"
