@@ -14,11 +14,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from wordloom.functions import fields as G
 from wordloom.functions import text as T
 from wordloom.functions import vectors as V
-from wordloom.operators import analysis, corpus, models, search, trainers
+from wordloom.operators import analysis, corpus, expressions, models, search, trainers
 from wordloom.plans import catalog
 from wordloom.sources import readers
+from wordloom.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,8 +122,13 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c.csv").write_text("k,n,s\na,1.0,x\nb,-2,y\nc,,3\n")
     assert {r.name: (r.kind, r.low, r.high) for r in readers.column_types(readers.table(spark, str(tmp_path / "c.csv"))).collect()} == {"k": ("STRING", None, None), "n": ("DOUBLE", -2, 1), "s": ("STRING", None, None)}
     store = spark.createDataFrame([("a|b", [1.0, -0.5])], "object string, vec array<double>")
-    readers.write_text_store(store, str(tmp_path / "text"))
-    assert readers.read_text_store(spark, str(tmp_path / "text")).first() == ("a;b", [1.0, -0.5])
+    dashes = store.unionByName(spark.createDataFrame([("-x", [1.0, 2.0]), ("-vectortype ", [0.0, 3.0])], store.schema))
+    readers.write_text_store(dashes, str(tmp_path / "text.txt"))
+    assert sorted((r.object, r.vec) for r in readers.read_text_store(spark, str(tmp_path / "text.txt")).collect()) == [("-vectortype ", [0.0, 3.0]), ("-x", [1.0, 2.0]), ("a;b", [1.0, -0.5])]
+    readers.translated(spark, str(tmp_path / "text.txt"), str(tmp_path / "again"), "store")
+    assert readers.read_store(spark, str(tmp_path / "again")).count() == 3 and readers.store_path("a") == "a.bin" == readers.store_path("a.bin") and readers.store_path("a", True) == "a.txt"
+    readers.proximity_data(store, str(tmp_path / "near"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "near")).collect()] == ["-0.5 1.0", "1.0 -0.5"]
     readers.write_store(store, str(tmp_path / "store"))
     assert readers.read_store(spark, str(tmp_path / "store")).schema["vec"].metadata["dimension"] == 2
     readers.write_binary_store(store, str(tmp_path / "bin"))
@@ -161,6 +168,105 @@ def test_skip_gram_brings_companions_together(spark):
     assert cos("a", "b") > cos("a", "c") and cos("c", "d") > cos("b", "d")
 
 
+def test_unknown_and_repeated_terms(spark):
+    s = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0, 0.2, 1.0]), (4, [0.0, 0.2, 1.0])], "object long, vec array<double>")
+    first = lambda df: [(r.object, r.score) for r in df.collect()]
+    assert dict(first(search.search_sum(s, [1, 1, 2])))[3] == pytest.approx(3 / math.sqrt(10), abs=1e-6)
+    assert first(search.search_sum(s, [1, 99])) == first(search.search_sum(s, [1])) and not first(search.search_sum(s, [98, 99]))
+    assert first(search.search_not(s, [1], [99])) == first(search.search_sum(s, [1])) and not first(search.search_not(s, [99], [1]))
+    assert first(search.search_subspace(s, [1, 99, 1])) == first(search.search_subspace(s, [1]))
+    assert first(search.search_extreme(s, [1, 99], True)) == first(search.search_extreme(s, [1], True))
+    assert not first(search.search_bound(s, 99, 1)) and not first(search.search_bound(s, 1, 99)) and first(search.search_bound(s, 1, 1))
+    assert [o for o, _ in first(search.search_analogy(s, 99, 1, 2))][0] == 3 and first(search.search_analogy(s, 1, 2, 1))
+    assert first(search.search_permuted(s, [99, None, 2])) == first(search.search_permuted(s, [None, 2]))
+    assert first(search.search_proximity(s, [1, 99, 2], (3, 4))) == first(search.search_proximity(s, [1, 2], (3, 4))) and not first(search.search_proximity(s, [1, 2], (3, 99)))
+    assert not first(search.search_bound_subspace(s, 99, [1])) and not first(search.search_balanced(s, s, 99)) and not first(search.search_bound_minimum(s, [98, 99]))
+    assert first(search.search_bound_minimum(s, [1, 99]))[0][1] == 0
+    weights = spark.createDataFrame([(1, 3.0), (2, 0.0)], "term long, weight double")
+    assert first(search.search_sum(s, [1, 2], weights=weights)) == first(search.search_sum(s, [1]))
+
+
+def test_query_language(spark):
+    parts = expressions.parsed("S(new york~NOT city)*P(x) + E(a)|S(b)")
+    assert parts == [[[expressions.Atom("S", "new york", ("city",)), expressions.Atom("P", "x")], [expressions.Atom("E", "a")]], [[expressions.Atom("S", "b")]]]
+    for bad in ("", "S()", "X(a)", "S(a)**S(b)", "S(a"):
+        with pytest.raises(ValueError):
+            expressions.parsed(bad)
+    space = models.Space(64, 4)
+    names = spark.createDataFrame([(t,) for t in ("peru", "chile", "lima")], "object string")
+    store = names.select("object", models.elemental_vector(F.col("object"), space).alias("vec"))
+    spaces = expressions.Spaces(store, space)
+    assert expressions.found(spaces, "E(peru)").first() == ("peru", 1.0)
+    assert expressions.found(spaces, "S(nowhere)").count() == 0 == expressions.found(spaces, "S(nowhere)*S(peru)").count()
+    assert expressions.compared(spaces, "S(peru)+S(nowhere)", "E(peru)").first().score == 1 and expressions.compared(spaces, "S(nowhere)", "E(peru)").first().score == 0
+
+
+def test_permutations(spark):
+    p = F.array(*map(F.lit, (2, 0, 1, 3)))
+    assert value(spark, V.scattered(vec(5, 6, 7, 8), p)) == [6, 7, 5, 8] and value(spark, V.inverse(p)) == [1, 2, 0, 3]
+    named = value(spark, V.permutation(F.lit("x"), 40))
+    assert sorted(named) == list(range(40)) != named
+    near = value(spark, V.swapped(F.array(*map(F.lit, named)), F.lit("y")))
+    assert sorted(near) == list(range(40)) and sum(a != b for a, b in zip(named, near)) == 10
+
+
+def test_ground_fields(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=32), rng.normal(size=32)
+    x, y = a[::2] + 1j * a[1::2], b[::2] + 1j * b[1::2]
+    flat = lambda z: np.stack([z.real, z.imag], 1).ravel() / np.linalg.norm(z)
+    assert np.allclose(value(spark, G.hermitian_bind(vec(*a), vec(*b))), flat(x * y))
+    assert np.allclose(value(spark, G.hermitian_release(vec(*a), vec(*b))), flat(x * y.conj()))
+    rest = y - (x.conj() @ y) / (x.conj() @ x) * x
+    assert np.allclose(value(spark, G.orthogonalised("complex", vec(*a), vec(*b))), flat(rest))
+    bits, more = (vec(*(v > 0).astype(float)) for v in (a, b))
+    assert value(spark, G.bit_overlap(bits, G.orthogonalised("binary", bits, more))) == 0
+    assert sum(value(spark, G.elemental_bits(F.lit("k"), 32))) == 16
+    assert value(spark, G.majority(G.votes([(vec(1, 1, 0, 0), 1.0), (vec(1, 0, 1, 0), 1.0)]))) == [1, 0, 1, 0]
+    for kind, field in G.FIELDS.items():
+        u, v = (bits, more) if kind == "binary" else (vec(*a), vec(*b))
+        assert value(spark, field.overlap(u, u)) == pytest.approx(1), kind
+        assert value(spark, field.overlap(field.release(field.bind(u, v), v), u)) > 0.4, kind
+
+
+def test_hops_and_coordinates(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5)], "a long, b long")
+    got = {(r.a, r.b): r.hops for r in analysis.hops(links, 3).collect()}
+    assert got == {(1, 2): 1, (2, 3): 1, (3, 4): 1, (1, 5): 1, (1, 3): 2, (2, 4): 2, (2, 5): 2, (1, 4): 3, (3, 5): 3}
+    m = np.random.default_rng(6).normal(size=(50, 4)) * [5, 2, 1, 0.1]
+    store = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "object long, vec array<double>")
+    at = np.array([r["at"] for r in analysis.principal_components(store).orderBy("object").collect()])
+    c = m - m.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(np.abs(at), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def test_predication_embeddings_share_arguments(spark):
+    rows = [(f"s{i}", "LIKES" if i % 2 else "HATES", f"o{i % 4 // 2}") for i in range(40)] * 20
+    triples = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    v = {r.object: np.array(r.vec) for r in trainers.predication_embeddings(triples, 24, 12, 3, 0.5, 64).collect()}
+    cos = lambda p, q: v[p] @ v[q] / np.linalg.norm(v[p]) / np.linalg.norm(v[q])
+    assert np.mean([cos("s1", f"s{i}") for i in range(5, 40, 4)]) > 0.6 > np.mean([cos("s1", f"s{i}") for i in range(3, 40, 4)]) + 0.2
+
+
+def test_bound_step_follows_the_slope():
+    rng = np.random.default_rng(1)
+    s, e, p = (rng.normal(0, 0.3, size=(2, 8)) for _ in range(3))
+    loss = lambda: -np.log(1 / (1 + np.exp(-(s[0] * trainers._convolved(p[:1], e[1:])[0]).sum())))
+    before = [x.copy() for x in (s, e, p)]
+    base = loss()
+    for x in (s, e, p):
+        slope = np.zeros_like(x)
+        for at in np.ndindex(x.shape):
+            x[at] += 1e-6
+            slope[at] = (loss() - base) / 1e-6
+            x[at] -= 1e-6
+        own = [y.copy() for y in before]
+        trainers.bound_step(*own, np.array([0]), np.array([1]), np.array([0]), np.array([1.0]), 0.1)
+        k = next(i for i, y in enumerate((s, e, p)) if y is x)
+        assert np.allclose(own[k] - before[k], -0.1 * slope, atol=1e-4)
+
+
 @pytest.mark.parametrize("name", ["postings", "ri_term_vectors", "ri_binary_term_vectors", "positional_directional", "vector_bind", "phase_release", "search_not", "search_keyword", "predication_vectors", "pathfinder"])
 def test_oracle(spark, name):
     con = duckdb.connect()
@@ -172,6 +278,29 @@ def test_oracle(spark, name):
     pd.testing.assert_frame_equal(sort(got), sort(want), check_dtype=False)
 
 
+def test_stream_grows_the_model_of_all_documents(spark, tmp_path):
+    space = models.Space(32, 4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs.repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second start finds nothing new
+        incremental.train(stream, str(tmp_path / "model"), str(tmp_path / "checkpoint"), space).awaitTermination()
+    whole = spark.read.parquet(str(tmp_path / "in"))
+    want = {(r.object, r.dim): r.val for r in incremental.batch_sums(whole, space).collect()}
+    got = {(r.object, r.dim): r.val for r in incremental.sums(spark, str(tmp_path / "model")).collect()}
+    assert got == want and len(list((tmp_path / "model").glob("batch=*"))) == 3
+    assert incremental.sums(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(i, float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = {r.k: r.s for r in analysis.running(df, "k", F.col("v"), "s").collect()}
+    assert got == dict(zip(range(500), np.cumsum([v for _, v in rows])))
+    ranks = {r.k: r.r for r in analysis.average_rank(df, "v", "r").collect()}
+    assert ranks == dict(enumerate(pd.Series([v for _, v in rows]).rank()))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -121,9 +121,25 @@ def decomposition(coo: DataFrame, k: int = 16, rounds: int = 2, extra: int = 8)
     return left.select("object", F.posexplode(F.slice("y", 1, k)).alias("component", "val"))
 
 
+def running(df: DataFrame, by: str, value: Column, name: str) -> DataFrame:
+    """df with the running sum of a value in the order of a column whose values differ.
+
+    Rows are partitioned by range and written, so that a partition's number holds; the
+    partitions' own sums, a few rows, give each its offset. No task sees all rows.
+    """
+    parts = df.withColumn("_value", value).repartitionByRange(F.col(by)).withColumn("_part", F.spark_partition_id())
+    parts = written(parts, "ranges")
+    sums = parts.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_value", "_own", "_before")
+
+
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    w = Window.orderBy(value)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2)
+    """df with the rank of a column's values, ties at their mean: from the counts of distinct values."""
+    counts = running(df.groupBy(value).agg(F.count("*").alias("_n")), value, F.col("_n"), "_upto")
+    ranks = counts.select(F.col(value).alias("_x"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_x"))).drop("_x")
 
 
 def correlations(pairs: DataFrame) -> DataFrame:
@@ -155,8 +171,7 @@ def redistributed(store: DataFrame, sample: int = 200) -> DataFrame:
 
 def negative_table(vocabulary: DataFrame, power: float = 0.5) -> DataFrame:
     """(term, cumulative): running sums of gf ** power by term."""
-    w = Window.orderBy("term").rowsBetween(Window.unboundedPreceding, 0)
-    return vocabulary.select("term", F.sum(F.pow(F.col("gf").cast("double"), F.lit(power))).over(w).alias("cumulative"))
+    return running(vocabulary.select("term", "gf"), "term", F.pow(F.col("gf").cast("double"), F.lit(power)), "cumulative").select("term", "cumulative")
 
 
 def subsampling(vocabulary: DataFrame, threshold: float = 1e-3, aggressive: bool = False) -> DataFrame:

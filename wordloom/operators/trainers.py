@@ -56,8 +56,7 @@ def _train(examples: DataFrame, names: list, weight: np.ndarray, dimension: int,
                 yield pd.DataFrame({"side": side, "k": k, "n": seen[side][k], "move": list((x[k] - x0[k]) * seen[side][k][:, None])})
 
         moves = examples.mapInPandas(move, "side int, k long, n double, move array<double>")
-        for r in moves.groupBy("side", "k").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("move", F.lit(d))) for d in range(dimension))).alias("move")).toLocalIterator():
-            (a, b)[r.side][r.k] += np.array(r.move) / r.n
+        _moved([a, b], moves, dimension)
         held.unpersist()
     return a
 
@@ -80,16 +79,96 @@ def skip_gram(pairs: DataFrame, vocabulary: DataFrame, dimension: int = 32, epoc
     return _store(pairs, names, vectors)
 
 
-def predication_embeddings(triples: DataFrame, dimension: int = 32, epochs: int = 4, negatives: int = 5, rate: float = 0.1, batch: int = 256, seed: int = 2) -> DataFrame:
-    """(object, vec): subjects toward (predicate, object) and objects toward (predicate-INV, subject)."""
-    there = triples.select(F.col("subject").alias("x"), F.concat_ws("\t", "predicate", "object").alias("y"))
-    back = triples.select(F.col("object").alias("x"), F.concat_ws("\t", F.concat("predicate", F.lit("-INV")), "subject").alias("y"))
-    both = there.unionByName(back)
-    names, at = _places(both.select(F.col("x").alias("term")).unionByName(both.select(F.col("y").alias("term"))).distinct())
-    count = {r.y: r["count"] for r in both.groupBy("y").count().collect()}
-    known = both.join(F.broadcast(at.withColumnRenamed("at", "i")), F.col("x") == F.col("name")).drop("name").join(F.broadcast(at.withColumnRenamed("at", "j")), F.col("y") == F.col("name"))
-    vectors = _train(known.select("i", "j"), names, np.array([count.get(n, 0) for n in names]) ** 0.75, dimension, epochs, negatives, rate, batch, seed)
-    return _store(triples, names, vectors).where(~F.col("object").contains("\t"))
+def _convolved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Circular convolution, row by row."""
+    return np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), a.shape[1])
+
+
+def _released(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Circular correlation: what b bound with it would make a."""
+    return np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), a.shape[1])
+
+
+def bound_step(s: np.ndarray, e: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray, label: np.ndarray, rate: float, move_predicates: bool = True) -> None:
+    """S(i) toward (label 1) or from P(k) * E(j), E(j) with S(i) released from P(k), P(k) with S(i) released from E(j); from a snapshot. Lengths stay bounded."""
+    x, y, z = s[i], e[j], p[k]
+    target = _convolved(z, y)
+    err = (rate * (label - _sigmoid((x * target).sum(axis=1))))[:, None]
+    often = lambda at, n: np.sqrt(np.bincount(at, minlength=n))[at][:, None]
+    np.add.at(s, i, err * target / often(i, len(s)))
+    np.add.at(e, j, err * _released(x, z) / often(j, len(e)))
+    if move_predicates:
+        # a batch is full of each predicate: they move by the mean
+        np.add.at(p, k, err * _released(x, y) / often(k, len(p)) ** 2)
+    # products of three would run away: a vector's length is bounded
+    for m, most in ((s, 6.0), (e, 2.0), (p, 1.5)):
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        m *= np.minimum(1, most / np.maximum(length, 1e-12))
+
+
+def predication_embeddings(triples: DataFrame, dimension: int = 32, epochs: int = 6, negatives: int = 5, rate: float = 0.5, batch: int = 256, seed: int = 2) -> DataFrame:
+    """(object, vec): semantic vectors S, trained with elemental vectors E and predicate vectors P.
+
+    For every (s, p, o), S(s) moves toward P(p) * E(o) and away from P(p) * E of drawn
+    objects, * being circular convolution; E and P move with it. The inverse
+    (o, p-INV, s) is trained alike. An object has one E under all predicates, a
+    predicate one P under all objects.
+    """
+    both = triples.select("subject", "predicate", "object").unionByName(triples.select(F.col("object").alias("subject"), F.concat("predicate", F.lit("-INV")).alias("predicate"), F.col("subject").alias("object")))
+    both = both.where("subject is not null and predicate is not null and object is not null")
+    names, at = _places(both.select(F.col("subject").alias("term")).distinct())
+    kinds = sorted(r[0] for r in both.select("predicate").distinct().collect())
+    kind = both.sparkSession.createDataFrame(pd.DataFrame({"kind": kinds, "k": range(len(kinds))}), "kind string, k long")
+    count = {r.object: r["count"] for r in both.groupBy("object").count().collect()}
+    known = both.join(F.broadcast(kind), F.col("predicate") == F.col("kind")).drop("kind")
+    for column, place in (("subject", "i"), ("object", "j")):
+        known = known.join(small(at.withColumnRenamed("at", place), len(names)), F.col(column) == F.col("name")).drop("name")
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal(0, 0.5 / np.sqrt(dimension), (len(names), dimension)), rng.normal(0, 1 / np.sqrt(dimension), (len(names), dimension)), rng.normal(0, 1 / np.sqrt(dimension), (len(kinds), dimension))]
+    table = np.cumsum(np.array([count[n] for n in names], float) ** 0.75)
+    sc = both.sparkSession.sparkContext
+    for epoch in range(epochs):
+        held, now = sc.broadcast((parts, table)), rate * max(1e-4, 1 - epoch / epochs)
+
+        def move(batches, held=held, now=now, epoch=epoch):
+            first, table = held.value
+            own = [x.copy() for x in first]
+            seen = [np.zeros(len(x)) for x in first]
+            rng = np.random.default_rng(seed + epoch)
+            for pdf in batches:
+                i, j, k = (pdf[c].to_numpy() for c in "ijk")
+                for at in range(0, len(i), batch):
+                    one = slice(at, at + batch)
+                    n = len(i[one])
+                    other = np.searchsorted(table, rng.random(n * negatives) * table[-1])
+                    places = np.r_[i[one], np.repeat(i[one], negatives)], np.r_[j[one], other], np.r_[k[one], np.repeat(k[one], negatives)]
+                    bound_step(*own, *places, np.r_[np.ones(n), np.zeros(len(other))], now)
+                    for side, x in zip(seen, places):
+                        np.add.at(side, x, 1)
+            for side, (x, x0, n) in enumerate(zip(own, first, seen)):
+                rows = np.flatnonzero(n)
+                yield pd.DataFrame({"side": side, "k": rows, "n": n[rows], "move": list((x[rows] - x0[rows]) * n[rows][:, None])})
+
+        moves = known.select("i", "j", "k").mapInPandas(move, "side int, k long, n double, move array<double>")
+        _moved(parts, moves, dimension)
+        held.unpersist()
+    return _store(triples, names, parts[0])
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table of names that MOST_ROWS bounds."""
+    return F.broadcast(df) if rows <= MOST_ROWS else df
+
+
+def _moved(parts: list[np.ndarray], moves: DataFrame, dimension: int) -> None:
+    """Adds the mean moves (side, k, n, move) to the matrices, a block of rows at a time."""
+    mean = moves.groupBy("side", "k").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("move", F.lit(d))) for d in range(dimension))).alias("move"))
+    table = mean.toArrow()
+    side, k, n = (table.column(c).to_numpy() for c in ("side", "k", "n"))
+    if len(k):
+        move = table.column("move").combine_chunks().flatten().to_numpy().reshape(len(k), dimension) / n[:, None]
+        for x in range(len(parts)):
+            parts[x][k[side == x]] += move[side == x]
 
 
 def _store(df: DataFrame, names: list, vectors: np.ndarray) -> DataFrame:

@@ -100,29 +100,32 @@ def vector_zero(spark, d):
 _perm = lambda name: f"SELECT i, CAST(row_number() OVER (ORDER BY md5({name} || '#' || i)) - 1 AS INTEGER) AS rank FROM {_range}"
 #: places: rank-th place of the permutation is i
 _PERM = f", m AS (SELECT rank, CAST(i AS INTEGER) AS place FROM ({_perm("'left'")}))"
-_named = V.permutation(F.lit("left"), W)
+
+
+def _named() -> Column:
+    return V.permutation(F.lit("left"), W)
 
 
 @query(f"WITH {S.STORE}{_PERM} SELECT object, rank AS i, CAST(place AS DOUBLE) AS val FROM m, (SELECT 1::BIGINT AS object UNION ALL SELECT 2) ORDER BY 1, 2".replace(f"WITH {S.STORE}, m", "WITH m") + "")
 def permutation_random(spark, d):
-    return entries(spark.range(1, 3).withColumnRenamed("id", "object"), _named)
+    return entries(spark.range(1, 3).withColumnRenamed("id", "object"), _named())
 
 
 @query(f"WITH {_PERM[2:]} SELECT 1::BIGINT AS object, place AS i, CAST(rank AS DOUBLE) AS val FROM m")
 def permutation_inverse(spark, d):
-    return entries(spark.range(1, 2).withColumnRenamed("id", "object"), V.inverse(_named))
+    return entries(spark.range(1, 2).withColumnRenamed("id", "object"), V.inverse(_named()))
 
 
-_over_pairs("permutation_apply", lambda a, b: V.scattered(a, _named), "a[rank + 1]", _PERM, "p, m", "(SELECT 1) u(u)")
+_over_pairs("permutation_apply", lambda a, b: V.scattered(a, _named()), "a[rank + 1]", _PERM, "p, m", "(SELECT 1) u(u)")
 ORACLES["permutation_apply"] = f"{P}{_PERM} SELECT object, place AS i, round(a[rank + 1], 6) + 0.0 AS val FROM p, m"
-_over_pairs("permutation_undone", lambda a, b: V.scattered(V.scattered(a, _named), V.inverse(_named)), "a[i + 1]")
+_over_pairs("permutation_undone", lambda a, b: V.scattered(V.scattered(a, _named()), V.inverse(_named())), "a[i + 1]")
 
 
 @query(f"""WITH {_PERM[2:]}, c AS (SELECT i, row_number() OVER (ORDER BY md5('swap#' || i)) AS n FROM {_range}), pick AS (SELECT i, n, CAST(floor((n + 1) / 2.0) AS INTEGER) AS g FROM c WHERE n <= {2 * (W // 4 // 2)}),
   pair AS (SELECT x.i, y.i AS other FROM pick x JOIN pick y ON x.g = y.g AND x.n <> y.n)
   SELECT 1::BIGINT AS object, m.rank AS i, CAST(coalesce(n.place, m.place) AS DOUBLE) AS val FROM m LEFT JOIN pair ON pair.i = m.rank LEFT JOIN m n ON n.rank = pair.other""")
 def permutation_swapped(spark, d):
-    return entries(spark.range(1, 2).withColumnRenamed("id", "object"), V.swapped(_named, F.lit("swap")))
+    return entries(spark.range(1, 2).withColumnRenamed("id", "object"), V.swapped(_named(), F.lit("swap")))
 
 
 _two = f", q AS (SELECT object, list_transform(range({W}), lambda i: CAST(floor(abs(a[i + 1]) * 1000) AS BIGINT) % {W}) AS a, list_transform(range({W}), lambda i: CAST(floor(abs(b[i + 1]) * 1000) AS BIGINT) % {W}) AS b FROM p)"

@@ -94,13 +94,28 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_text_store(store: DataFrame, path: str) -> None:
-    """Lines of name|c0|c1...; a | in a name becomes ;."""
-    store.select(F.concat_ws("|", F.translate(F.col("object").cast("string"), "|", ";"), V.to_text(F.col("vec"))).alias("value")).write.text(path)
+#: What a text store's header line begins with; no stored name does, for a name's own "-vectortype" would have a | behind it.
+HEADER = "-vectortype "
+
+
+def store_path(path: str, text: bool = False) -> str:
+    """A store's file name: .txt or .bin behind it, unless it is there."""
+    ending = ".txt" if text else ".bin"
+    return path if path.endswith(ending) else path + ending
+
+
+def write_text_store(store: DataFrame, path: str, kind: str = "real") -> None:
+    """A header, then lines of name|c0|c1...; a | in a name becomes ;."""
+    n = store.select(F.size("vec")).first()
+    header = store.sparkSession.range(1).select(F.lit(f"{HEADER}{kind} -dimension {n[0] if n else 0}").alias("value"))
+    lines_ = store.select(F.concat_ws("|", F.translate(F.col("object").cast("string"), "|", ";"), V.to_text(F.col("vec"))).alias("value"))
+    header.unionByName(lines_).write.text(path)
 
 
 def read_text_store(spark: SparkSession, path: str) -> DataFrame:
-    cells = spark.read.text(path).where(~F.col("value").startswith("-")).select(F.split("value", r"\|").alias("c"))
+    """(object, vec) of a text store; only its header line is no row."""
+    rows = spark.read.text(path).where(~(F.col("value").startswith(HEADER) & ~F.contains("value", F.lit("|"))))
+    cells = rows.select(F.split("value", r"\|").alias("c"))
     return cells.select(F.get("c", F.lit(0)).alias("object"), F.slice("c", 2, F.size("c")).cast("array<double>").alias("vec"))
 
 
@@ -124,3 +139,17 @@ def graph_json(hits: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = hits.agg(F.array_sort(F.collect_list(F.struct("object", "score"))).alias("nodes"))
     links = edges.agg(F.array_sort(F.collect_list(F.struct("a", "b", "distance"))).alias("links"))
     return nodes.crossJoin(links).select(F.to_json(F.struct("nodes", "links")).alias("json"))
+
+
+def translated(spark: SparkSession, source: str, target: str, to: str) -> None:
+    """A stored or text store in another form: "store", "text" or "binary"."""
+    store = read_text_store(spark, source) if source.endswith(".txt") else read_store(spark, source)
+    {"store": write_store, "text": write_text_store, "binary": write_binary_store}[to](store, target)
+
+
+def proximity_data(store: DataFrame, path: str) -> None:
+    """A text folder of one vector a line, coordinates apart by blanks, behind a line of the least and greatest coordinate."""
+    low, high = store.agg(F.min(F.array_min("vec")), F.max(F.array_max("vec"))).first()
+    header = store.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit("").alias("object"), F.lit(f"{low} {high}").alias("value"))
+    rows = store.select(F.lit(1).alias("k"), F.col("object").cast("string").alias("object"), F.concat_ws(" ", F.col("vec").cast("array<string>")).alias("value"))
+    header.unionByName(rows).repartition(1).sortWithinPartitions("k", "object").select("value").write.text(path)
