@@ -59,22 +59,39 @@ def dense(coo: DataFrame, space: Space) -> DataFrame:
     return coo.groupBy("object").agg(entries.alias("m")).select("object", F.transform(F.sequence(F.lit(0), F.lit(space.dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
 
 
+def arrays(coo: DataFrame, space: Space) -> DataFrame:
+    """(object, vec) of a model in long form; null where it has no entry."""
+    entries = F.map_from_entries(F.collect_list(F.struct("dim", "val")))
+    return coo.groupBy("object").agg(entries.alias("m")).select("object", F.transform(F.sequence(F.lit(0), F.lit(space.dimension - 1)), lambda i: F.try_element_at("m", i)).alias("vec"))
+
+
+def summed_arrays(df: DataFrame, weight: Column, space: Space) -> DataFrame:
+    """(object, dim, val): sums of weight times vec by object, one aggregate for each place.
+
+    A row is joined and combined before the shuffle as a whole vector, not as a row for
+    each of its entries.
+    """
+    sums = df.groupBy("object").agg(*(F.sum(F.get("vec", F.lit(i)) * weight).alias(f"d{i}") for i in range(space.dimension)))
+    long = sums.select("object", F.posexplode(F.array(*(f"d{i}" for i in range(space.dimension)))).alias("dim", "val"))
+    return long.where("val is not null")
+
+
 def term_vectors(tf: DataFrame, vocabulary: DataFrame, space: Space) -> DataFrame:
     """Random indexing: the sum of tf times the documents' elemental vectors."""
     kept = tf.join(vocabulary.select("term"), "term", "left_semi").withColumnRenamed("term", "object")
     return summed(elemental(kept, F.col("doc_id"), space), F.col("tf") * F.col("sign"))
 
 
-def document_vectors(tf: DataFrame, weights: DataFrame, terms: DataFrame, local: Column) -> DataFrame:
+def document_vectors(tf: DataFrame, weights: DataFrame, terms: DataFrame, local: Column, space: Space) -> DataFrame:
     """The sum of local times global weight times the term vectors (object, dim, val) over a document's terms."""
     weighted = tf.join(weights, "term").select(F.col("doc_id").alias("object"), "term", (local * F.col("weight")).alias("w"))
-    return summed(weighted.join(terms.withColumnRenamed("object", "term"), "term"), F.col("w") * F.col("val"))
+    return summed_arrays(weighted.join(arrays(terms, space).withColumnRenamed("object", "term"), "term"), F.col("w"), space)
 
 
-def terms_from_documents(tf: DataFrame, vocabulary: DataFrame, documents: DataFrame) -> DataFrame:
+def terms_from_documents(tf: DataFrame, vocabulary: DataFrame, documents: DataFrame, space: Space) -> DataFrame:
     """A further cycle: term vectors from document vectors."""
     kept = tf.join(vocabulary.select("term"), "term", "left_semi")
-    return summed(kept.join(documents.withColumnRenamed("object", "doc_id"), "doc_id").withColumnRenamed("term", "object"), F.col("tf") * F.col("val"))
+    return summed_arrays(kept.join(arrays(documents, space).withColumnRenamed("object", "doc_id"), "doc_id").withColumnRenamed("term", "object"), F.col("tf"), space)
 
 
 def elemental_vector(key: Column, space: Space) -> Column:
@@ -132,8 +149,8 @@ def symmetric(tf: DataFrame, weights: DataFrame, space: Space) -> DataFrame:
     """Each document's other terms: x gets w_x w_y E(y); from the document's whole sum less the term's own part, so no pairs are built."""
     w = tf.join(weights, "term").withColumn("w", F.col("tf") * F.col("weight"))
     unit = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))))
-    whole = elemental(unit, F.col("term"), space).groupBy("doc_id", "dim").agg(F.sum(F.col("w") * F.col("sign")).alias("v"))
-    others = unit.join(whole, "doc_id").groupBy(F.col("term").alias("object"), "dim").agg(F.sum(F.col("w") * F.col("v")).alias("val"))
+    whole = elemental(unit, F.col("term"), space).groupBy(F.col("doc_id").alias("object"), "dim").agg(F.sum(F.col("w") * F.col("sign")).alias("val"))
+    others = summed_arrays(unit.join(arrays(whole, space).withColumnRenamed("object", "doc_id"), "doc_id").withColumnRenamed("term", "object"), F.col("w"), space)
     own = unit.groupBy("term").agg(F.sum(F.col("w") * F.col("w")).alias("ww"))
     minus = elemental(own, F.col("term"), space).select(F.col("term").alias("object"), "dim", (-F.col("ww") * F.col("sign")).alias("val"))
     return summed(others.unionByName(minus), F.col("val"))
@@ -210,10 +227,10 @@ def number_line(spark: SparkSession, ends: DataFrame, first: int, last: int) ->
     return spark.range(first, last + 1).withColumnRenamed("id", "object").crossJoin(F.broadcast(ends)).select("object", V.normalise(line).alias("vec"))
 
 
-def incremental_terms(tf: DataFrame, vocabulary: DataFrame, documents: DataFrame, local: Column) -> DataFrame:
+def incremental_terms(tf: DataFrame, vocabulary: DataFrame, documents: DataFrame, local: Column, space: Space) -> DataFrame:
     """Term vectors from document vectors (object, dim, val), by local weight."""
     kept = tf.join(vocabulary.select("term"), "term", "left_semi").select(F.col("term").alias("object"), "doc_id", local.alias("w"))
-    return summed(kept.join(documents.withColumnRenamed("object", "doc_id"), "doc_id"), F.col("w") * F.col("val"))
+    return summed_arrays(kept.join(arrays(documents, space).withColumnRenamed("object", "doc_id"), "doc_id"), F.col("w"), space)
 
 
 def seeded_documents(tf: DataFrame, weights: DataFrame, space: Space, local: Column) -> DataFrame:
@@ -229,12 +246,12 @@ def trained(tf: DataFrame, vocabulary: DataFrame, weights: DataFrame, space: Spa
     if seed == "document":
         terms = term_vectors(tf, vocabulary, space)
     else:
-        terms = terms_from_documents(tf, vocabulary, written(normalised(seeded_documents(tf, weights, space, F.col("tf"))), "documents"))
+        terms = terms_from_documents(tf, vocabulary, written(normalised(seeded_documents(tf, weights, space, F.col("tf"))), "documents"), space)
     for cycle in range(cycles):
         terms = written(normalised(terms), "terms")
-        documents = written(normalised(document_vectors(tf, weights, terms, F.col("tf"))), "documents")
+        documents = written(normalised(document_vectors(tf, weights, terms, F.col("tf"), space)), "documents")
         if cycle < cycles - 1:
-            terms = terms_from_documents(tf, vocabulary, documents)
+            terms = terms_from_documents(tf, vocabulary, documents, space)
     return terms, documents
 
 

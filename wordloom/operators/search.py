@@ -284,12 +284,14 @@ def compare(store: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", F.coalesce(F.round(V.cosine(F.col("va"), F.col("vb")), 6), F.lit(0.0)).alias("score"))
 
 
-def keyword(tf: DataFrame, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over the postings."""
+def keyword(tf: DataFrame, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 over the postings; only the allowed documents (doc_id) are hits, statistics are those of all."""
     lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     hits = tf.where(F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    if allowed is not None:
+        hits = hits.join(allowed, "doc_id", "left_semi")
     x = hits.join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

@@ -125,7 +125,7 @@ def reflective_term_seed(spark, d):
 def incremental_term_vectors(spark, d):
     tf, v = space(spark, d)
     documents = models.normalised(models.seeded_documents(tf, weights(spark, d), SPACE, F.col("tf")))
-    return to5(models.normalised(models.incremental_terms(tf, v, documents, T.local_weight("logentropy", F.col("tf")))))
+    return to5(models.normalised(models.incremental_terms(tf, v, documents, T.local_weight("logentropy", F.col("tf")), SPACE)))
 
 
 @query(f"""WITH {S.TERMS}, raw_i AS (SELECT doc_id AS object, dim, sum(log10(1 + tf) * idf * val) AS val FROM tf JOIN weights USING (term) JOIN (SELECT object AS term, dim, val FROM terms_) USING (term) GROUP BY 1, 2), {S.normal('raw_i', 'd1')}
@@ -133,7 +133,7 @@ def incremental_term_vectors(spark, d):
 def incremental_document_vectors(spark, d):
     """With local weights; a document without kept terms has the zero vector."""
     tf, _ = space(spark, d)
-    m = models.normalised(models.document_vectors(tf, weights(spark, d), terms(spark, d), T.local_weight("logentropy", F.col("tf"))))
+    m = models.normalised(models.document_vectors(tf, weights(spark, d), terms(spark, d), T.local_weight("logentropy", F.col("tf")), SPACE))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("object")).distinct()
     return entries(models.whole_store(m, docs, SPACE), F.col("vec"), 5)
 

@@ -192,13 +192,13 @@ def ri_document_vectors(spark, d):
 
 def document_vectors(spark: SparkSession, d: str) -> DataFrame:
     tf, _ = space(spark, d)
-    return models.normalised(models.document_vectors(tf, weights(spark, d), terms(spark, d), F.col("tf")))
+    return models.normalised(models.document_vectors(tf, weights(spark, d), terms(spark, d), F.col("tf"), SPACE))
 
 
 @query(f"WITH {S.DOCS}, raw2 AS (SELECT term AS object, dim, sum(tf * val) AS val FROM tf JOIN vocab USING (term) JOIN (SELECT object AS doc_id, dim, val FROM docs_) USING (doc_id) GROUP BY 1, 2), {S.normal('raw2', 'second')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM second")
 def reflective_second_cycle(spark, d):
     tf, v = space(spark, d)
-    return models.normalised(models.terms_from_documents(tf, v, document_vectors(spark, d))).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
+    return models.normalised(models.terms_from_documents(tf, v, document_vectors(spark, d), SPACE)).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
 
 
 @query(f"""WITH {S.VOCAB}, w0 AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN weights USING (term)), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0),

@@ -210,3 +210,70 @@ def clusters_of_hits(spark, d):
 def collisions(spark, d):
     """How many random vectors a sum takes until another is as near to it as its first part: mean, deviation, least and most."""
     return analysis.collisions(spark, W, 200, 400)
+
+
+# stores, lists and tables
+
+
+@query(f"WITH {S.STORE}, want AS (SELECT unnest([1, 2, {_MISSING}])::BIGINT AS object) SELECT want.object, CAST(i AS INTEGER) AS i, round(coalesce(vec[i + 1], 0.0), 6) + 0.0 AS val FROM want LEFT JOIN s USING (object), range({W}) r(i)")
+def vectors_or_zero(spark, d):
+    """Stored vectors of a few objects; zero for what is not stored."""
+    s = store(spark, d)
+    want = spark.createDataFrame([(1,), (2,), (_MISSING,)], "object long")
+    return entries(F.broadcast(want).join(s, "object", "left").select("object", F.coalesce("vec", F.array_repeat(F.lit(0.0), W)).alias("vec")), F.col("vec"))
+
+
+@query(f"WITH {S.STORE} SELECT replace(object::VARCHAR, ' ', '_') AS object, CAST(i AS INTEGER) AS i, round(vec[i + 1], 6) + 0.0 AS val FROM s, range({W}) r(i) WHERE object IN (3, 5, 8) AND list_bool_or(list_transform(vec, lambda x: x <> 0))")
+def store_subset(spark, d):
+    from ..sources import readers
+
+    return entries(readers.subset(store(spark, d), [3, 5, 8, _MISSING]), F.col("vec"))
+
+
+@query(f"WITH {S.TF}, start AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '')) AS term FROM benchmark) SELECT term, CAST(sum(tf) AS BIGINT) AS gf, count(*) AS df FROM tf WHERE term IN (SELECT term FROM start) GROUP BY term")
+def startlist(spark, d):
+    """Only the terms that the benchmark has."""
+    from ..functions import text as T
+
+    start = table(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
+    return corpus.vocabulary(corpus.postings(table(spark, d, "documents")), start=start)
+
+
+@query(f"""WITH {S.TF}, l AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), m AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT * FROM tf WHERE term IN ('the', 'und', 'les')), g AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
+  SELECT doc_id AS object, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN g USING (term) JOIN l USING (doc_id), m WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def search_keyword_among(spark, d):
+    """Keyword search among a list of documents; statistics are those of all."""
+    docs = table(spark, d, "documents")
+    return search.keyword(corpus.postings(docs), ["the", "und", "les"], allowed=docs.where("lang = 'de'").select("doc_id"))
+
+
+_CELL = f"q0 AS (SELECT CAST(({S.dim("'p_brand=Brand#11'")} + {S.dim("'p_brand'", 'l')}) % {S.DIM} AS INTEGER) AS dim, CAST(sum({S.SIGN} * {S.sign('l')}) AS DOUBLE) AS q FROM {S.KS}, {S.LS} GROUP BY 1)"
+
+
+@query(ORACLES["table_row_vectors"].split(" SELECT object, dim, round(val, 5)")[0] + f", {_CELL} SELECT object, round(sum(val * q) / (SELECT sqrt(sum(q * q)) FROM q0), 6) AS score FROM p JOIN q0 USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20")
+def table_cell_search(spark, d):
+    """The rows nearest to one cell's vector."""
+    m = models.normalised(models.table_rows(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"], SPACE))
+    q = models.bound(spark.range(1).select(F.lit("p_brand=Brand#11").alias("cell"), F.lit("p_brand").alias("column")), F.col("cell"), F.col("column"), SPACE).groupBy("dim").agg(F.sum("sign").cast("double").alias("q"))
+    n = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("n"))
+    x = m.join(F.broadcast(q), "dim").groupBy("object").agg(F.sum(F.col("val") * F.col("q")).alias("x"))
+    return search.best(x.crossJoin(F.broadcast(n)).select("object", F.round(F.col("x") / F.col("n"), 6).alias("score")))
+
+
+@query(f"WITH {S.TRIPLES}, c AS (SELECT object, count(*) AS n FROM triples GROUP BY 1) SELECT object, round(sum(pow(n, 0.75)) OVER (ORDER BY object ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM c")
+def predication_sampling_table(spark, d):
+    """What negative objects are drawn by."""
+    from .catalog import triples
+
+    counts = triples(spark, d).groupBy("object").agg(F.count("*").alias("n"))
+    return analysis.running(counts, "object", F.pow(F.col("n").cast("double"), F.lit(0.75)), "cumulative").select("object", F.round("cumulative", 4).alias("cumulative"))
+
+
+@query(f"WITH {S.TRIPLES}, r AS (SELECT * FROM triples WHERE predicate = 'IN_REGION'), o AS (SELECT DISTINCT object FROM r), s AS (SELECT DISTINCT subject FROM r) SELECT subject, object FROM s, o EXCEPT SELECT subject, object FROM r")
+def unseen_predications(spark, d):
+    """Every nation with every region that it is not in: all negatives, where there are few objects."""
+    from .catalog import triples
+
+    seen = triples(spark, d).where("predicate = 'IN_REGION'").select("subject", "object")
+    every = seen.select("subject").distinct().crossJoin(F.broadcast(seen.select("object").distinct()))
+    return every.join(seen, ["subject", "object"], "left_anti")
