@@ -1,7 +1,10 @@
 """The corpus pipeline: five operators one after another over whole documents.
 
 Each stage's result is written to the shared folder and read back, so that a lost
-executor costs at most one stage. Defined cases are those of the operators; an
+executor costs at most one stage. Null and empty texts break the quality rules and
+go; rows without a doc_id go through all stages and keep a null one; of rows equal in
+doc_id and text one stays; texts of any length are taken whole. Columns beside those of
+the documents table are carried along, whatever their names, up to the last stage. An
 empty table passes through as an empty one.
 """
 
