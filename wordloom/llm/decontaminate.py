@@ -7,7 +7,8 @@ its word edit distance to the item is at most floor(MAX_EDITS * n).
 1. An edit makes at most one word and two adjacent word pairs of a window foreign
    to the item. So a window with more words foreign to the whole benchmark than
    edits are allowed, or with more than twice as many foreign pairs, cannot
-   match. Running counts drop these windows without loss.
+   match. Running counts drop these windows without loss. Of the others, those go that
+   have more words or pairs foreign to all items of the window's length.
 2. The CGK random walk reads a sequence for 2 n steps; a random bit of (step,
    word) says whether it moves on. Few edits become few Hamming differences.
    Sampled positions of the walk are hashed, in as many independent walks and
@@ -66,14 +67,18 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
 def walk(seqs: np.ndarray, seed: int) -> np.ndarray:
     """The walks over equally long rows of word hashes: the first 2 n symbols of each, 0 after the end."""
     m, n = seqs.shape
-    padded = np.concatenate([seqs, np.zeros((m, 1), U64)], axis=1).ravel()
-    base, at = np.arange(m) * (n + 1), np.zeros(m, np.int64)
-    out = np.empty((2 * n, m), U64)
+    # a walk of 2 n steps ends among the zeros behind the words
+    padded = np.zeros((m, 2 * n), U64)
+    padded[:, :n] = seqs
+    padded, at = padded.ravel(), np.arange(m) * (2 * n)
+    out, bit = np.empty((2 * n, m), U64), np.empty(m, U64)
     for j in range(2 * n):
-        out[j] = now = padded[base + at]
+        padded.take(at, out=out[j], mode="clip")
         salt = U64((seed * 0x9E3779B97F4A7C15 + (j + 1) * 0xD1B54A32D192ED03) & (1 << 64) - 1)
-        bit = ((now ^ salt) * U64(0xBF58476D1CE4E5B9)) >> U64(63)
-        at = np.minimum(at + bit.astype(np.int64), n)
+        np.bitwise_xor(out[j], salt, out=bit)
+        bit *= U64(0xBF58476D1CE4E5B9)
+        bit >>= U64(63)
+        at += bit.view(np.int64)
     return out
 
 
@@ -118,10 +123,11 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator, other: np.nd
 
 @dataclass
 class Index:
-    """The benchmark: its words, its adjacent pairs, and by item length ids, word hashes, number of walks, sorted hashes and their owners."""
+    """The benchmark: its words, its adjacent pairs, by item length which of them the items have, and by item length ids, word hashes, number of walks, sorted hashes and their owners."""
 
     vocabulary: np.ndarray
     pairs: np.ndarray
+    own: dict[int, tuple[np.ndarray, np.ndarray]]
     by_length: dict[int, tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]
 
 
@@ -170,7 +176,7 @@ def build_index(items: list[tuple[int, np.ndarray]], target: float = TARGET_RECA
     items = [(i, w) for i, w in items if len(w)]
     vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, U64)
     pairs = np.unique(np.concatenate([pair_hashes(w) for _, w in items])) if items else vocabulary
-    by_length = {}
+    by_length, own = {}, {}
     for n in sorted({len(w) for _, w in items}):
         ids = np.array([i for i, w in items if len(w) == n])
         seqs = np.stack([w for _, w in items if len(w) == n])
@@ -180,17 +186,21 @@ def build_index(items: list[tuple[int, np.ndarray]], target: float = TARGET_RECA
         owner = np.tile(np.arange(len(seqs)), SAMPLES_PER_WALK * walks)
         order = np.argsort(keys, kind="stable")
         by_length[n] = (ids, seqs, walks, keys[order], owner[order])
-    return Index(vocabulary, pairs, by_length)
+        own[n] = tuple(np.r_[np.isin(known, np.concatenate([f(s) for s in seqs])), False] for known, f in ((vocabulary, lambda s: s), (pairs, pair_hashes)))
+    return Index(vocabulary, pairs, own, by_length)
 
 
 def _candidates(windows: np.ndarray, n: int, walks: int, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Distinct (window, item) pairs that share a hash."""
-    pairs = []
+    pairs, table = [], marks(keys)
     for s in range(1, walks + 1):
         h = sample_hashes(walk(windows, s), n, s)
+        # few hashes are an item's: the first bits tell
+        which, row = np.nonzero(table[(h >> U64(64 - MARK_BITS)).astype(np.int32)])
+        h = h[which, row]
         lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-        while (found := np.nonzero(lo < hi))[0].size:
-            pairs.append(np.stack([found[1], owner[lo[found]]], axis=1))
+        while (found := np.flatnonzero(lo < hi)).size:
+            pairs.append(np.stack([row[found], owner[lo[found]]], axis=1))
             lo[found] += 1
     return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
 
@@ -205,26 +215,36 @@ def marks(known: np.ndarray) -> np.ndarray:
     return table
 
 
-def _running_foreign(h: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Running counts of the hashes that are not among the known ones."""
-    foreign = ~table[(h >> U64(64 - MARK_BITS)).astype(np.int64)]
+def _places(h: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Each hash's place among the known ones; behind the last if it is none of them."""
+    at = np.full(len(h), len(known), np.int32)
     if len(known):
-        maybe = np.flatnonzero(~foreign)
-        at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-        foreign[maybe] = known[at] != h[maybe]
-    counts = np.zeros(len(h) + 1, np.int32)
-    np.cumsum(foreign, out=counts[1:])
+        maybe = np.flatnonzero(table[(h >> U64(64 - MARK_BITS)).astype(np.int32)])
+        found = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+        at[maybe] = np.where(known[found] == h[maybe], found, len(known))
+    return at
+
+
+def _running(marks_: np.ndarray) -> np.ndarray:
+    counts = np.zeros(len(marks_) + 1, np.int32)
+    np.cumsum(marks_, out=counts[1:])
     return counts
 
 
+def _few(places: np.ndarray, starts: np.ndarray, n: int, own: np.ndarray, most: int) -> np.ndarray:
+    """The starts of the runs of n of which at most so many are not the items' own."""
+    keep = [own[places[part[:, None] + np.arange(n)]].sum(axis=1) >= n - most for part in np.split(starts, range(1 << 14, len(starts), 1 << 14))]
+    return starts[np.concatenate(keep)] if len(starts) else starts
+
+
 def windows_of(data: np.ndarray, offsets: np.ndarray, index: Index, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(length, windows, their rows, their word positions) of all windows that may match."""
     first, last, rows = word_spans(data, offsets)
     h = word_hashes(data, first, last)
     if not len(h):
         return
-    strange = _running_foreign(h, index.vocabulary, tables[0])
-    strange_pairs = _running_foreign(pair_hashes(h), index.pairs, tables[1])
+    words, pairs = _places(h, index.vocabulary, tables[0]), _places(pair_hashes(h), index.pairs, tables[1])
+    strange, strange_pairs = _running(words == len(index.vocabulary)), _running(pairs == len(index.pairs))
     begins = np.searchsorted(rows, np.arange(len(offsets)))
     for n in index.by_length:
         if len(h) < n:
@@ -233,6 +253,8 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, index: Index, tables: tupl
         starts = np.flatnonzero(strange_pairs[n - 1 :] - strange_pairs[: len(h) - n + 1] <= 2 * k)
         starts = starts[strange[starts + n] - strange[starts] <= k]
         starts = starts[rows[starts] == rows[starts + n - 1]]
+        starts = _few(words, starts, n, index.own[n][0], k)
+        starts = _few(pairs, starts, n - 1, index.own[n][1], 2 * k)
         for cut in range(0, len(starts), 1 << 14):
             part = starts[cut : cut + (1 << 14)]
             yield n, h[part[:, None] + np.arange(n)], rows[part], part - begins[rows[part]]
