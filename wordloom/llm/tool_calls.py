@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Schemas by tool: type, required, properties (type, enum, minLength, minimum, maximum), additionalProperties.
 SCHEMAS = {
     "respond": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string", "minLength": 1}}, "additionalProperties": False},
@@ -145,9 +147,8 @@ def _rows(turns: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, id, turn, place, name, arguments, depends_on) and (conv_id, id, turn, content)."""
-    rows = _rows(turns)
+def calls_and_results(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, id, turn, place, name, arguments, depends_on) and (conv_id, id, turn, content) of _rows()."""
     braces = F.col("text").rlike(r"^\s*\{")
     rows = rows.withColumns(
         {
@@ -169,7 +170,10 @@ def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """(conv_id, n_calls, n_linked, n_invalid, n_cyclic, chat) of every conversation that calls a tool."""
-    calls, results = calls_and_results(turns)
+    return _linked(*calls_and_results(_rows(turns)), schemas)
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     first = results.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "content")).alias("answer"))
     again = F.row_number().over(Window.partitionBy("conv_id", "id").orderBy("turn", "place", "arguments")) > 1
     both = calls.withColumn("again", again).join(first, ["conv_id", "id"], "left")
@@ -180,11 +184,10 @@ def linked(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
 
 def orphans(turns: DataFrame) -> DataFrame:
     """(conv_id, id, turn) of results without a call."""
-    return _unclaimed(turns).select("conv_id", "id", "turn")
+    return _unclaimed(*calls_and_results(_rows(turns))).select("conv_id", "id", "turn")
 
 
-def _unclaimed(turns: DataFrame) -> DataFrame:
-    calls, results = calls_and_results(turns)
+def _unclaimed(calls: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(calls.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
 
 
@@ -204,9 +207,12 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def transcribed(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """(conv_id, n_turns, n_calls, n_linked, n_invalid, n_cyclic, n_orphans, chat) of every conversation; the chat has each turn in order beside the calls."""
-    said = _rows(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    lost = _unclaimed(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "content"))).alias("orphans"))
-    both = said.join(linked(turns, schemas), "conv_id", "left").join(lost, "conv_id", "left")
+    # what three branches read is worked out once
+    rows = written(_rows(turns), "turns")
+    calls, results = (written(x, label) for x, label in zip(calls_and_results(rows), ("calls", "results")))
+    said = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    lost = _unclaimed(calls, results).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "content"))).alias("orphans"))
+    both = said.join(_linked(calls, results, schemas), "conv_id", "left").join(lost, "conv_id", "left")
     return both.select("conv_id", "turns", "n_calls", "n_linked", "n_invalid", "n_cyclic", "orphans", "chat").mapInArrow(_whole, TRANSCRIBED)
 
 
