@@ -528,6 +528,16 @@ def test_near_duplicates_of_a_crowd(spark, crowd):
     assert 100 < len(want) < 119 and by_id(near_dedup.near_duplicates(rows, crowd), "kept_id") == want
 
 
+def test_components_on_the_driver_and_beyond(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(300) * 7 - 900, rng.randrange(300) * 7 - 900) for _ in range(220)] + [(5000 + i, 5001 + i) for i in range(40)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    here, there = ({r.id: r.root for r in near_dedup.components(edges, n).collect()} for n in (near_dedup.HELD_EDGES, 0))
+    assert here == there and here[5040] == 5000
+    none = edges.where("false")
+    assert near_dedup.components(none).count() == 0 == near_dedup.components(none, -1).count()
+
+
 def test_forest_connects_what_all_pairs_connect():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (6, 2)).astype(np.uint64)

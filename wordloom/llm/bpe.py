@@ -47,9 +47,9 @@ PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[sdmt]|ll|ve|re)| ?[^\s\p{L}\p{N}]++|\s++(?!
 #: Text in one slab; a longer document is a slab of its own.
 SLAB_BYTES = 32 << 20
 #: Text in which words are found at once, and distinct words of a slab in one row.
-BLOCK_BYTES, FOLDED = 2 << 20, 8192
+BLOCK_BYTES, FOLDED = 1 << 20, 2048
 #: Words of documents in one row.
-TOKENS = 250_000
+TOKENS = 60_000
 LONG_WORD = 256
 #: A piece whose number is that great begins no pair that merges.
 NO_RANK = 1 << 32
@@ -189,7 +189,7 @@ LETTER, NUMBER, SPACE, OTHER = range(4)
 def classes() -> np.ndarray:
     """The class of every code point, as the pattern's own engine sees it."""
     out = np.full(0x110000, OTHER, np.int8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")
     for kind, what in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(what, every):
             a, b = ord(every[m.start()]), ord(every[m.end() - 1])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_dir, written  # noqa: F401
 
 #: Bytes of text handled at once inside one Arrow batch.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Rows a side may have at most to be broadcast; above it Spark shuffles both sides.
 BROADCAST_ROWS = 2_000_000
 

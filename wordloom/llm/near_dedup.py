@@ -51,8 +51,10 @@ SHARED = 0.5
 CROWD = 32
 #: Members compared at once in a crowded bucket.
 TILE = 2048
+#: Edges (16 bytes each) whose components the driver finds; more stay with the executors.
+HELD_EDGES = 1_000_000
 #: Rows of keys in one task.
-KEYS = 1_000_000
+KEYS = 400_000
 #: Pairs of texts compared at once.
 TEXTS = 256
 
@@ -328,9 +330,31 @@ def verified(docs: DataFrame, reps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return found.unionByName(alike(docs, written(more, "more")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of the edges (a, b), by alternating large and small stars."""
+def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, roots): the least id of each component, by pointer jumping."""
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def components(edges: DataFrame, held_edges: int = HELD_EDGES) -> DataFrame:
+    """(id, root) of every node of the edges (a, b) but the roots: on the driver up to so many edges, beyond that by alternating large and small stars."""
     held = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if held.count() <= held_edges:
+        table = held.toArrow()
+        ids, roots = joined_up(*(table.column(c).to_numpy() for c in ("a", "b")))
+        inner = ids != roots
+        found = pa.table({"id": pa.array(ids[inner], pa.int64()), "root": pa.array(roots[inner], pa.int64())})
+        return written(edges.sparkSession.createDataFrame(found, "id long, root long"), "roots")
     state = None
     while True:
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
