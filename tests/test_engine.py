@@ -17,7 +17,7 @@ import __spark_entry__
 from wordloom.functions import fields as G
 from wordloom.functions import text as T
 from wordloom.functions import vectors as V
-from wordloom.operators import analysis, corpus, expressions, models, search, trainers
+from wordloom.operators import analysis, corpus, expressions, models, search, slabs, trainers
 from wordloom.plans import catalog
 from wordloom.sources import readers
 from wordloom.streaming import incremental
@@ -331,3 +331,44 @@ def test_entry_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True)
     (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
     subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True)
+
+
+def _numbered(spark, docs, space):
+    counted = slabs.counts(docs)
+    n = docs.count()
+    return slabs.vocabulary(corpus.filtered(counted, 2, min_length=2), F.log10(F.lit(n) / F.col("df")), models.places(F.col("term"), space))
+
+
+@pytest.fixture
+def few_docs(spark):
+    rng = np.random.default_rng(5)
+    words = ["aa", "bb", "cc", "dd", "x", *(f"w{chr(97 + i)}" for i in range(20))]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(30)]
+    return spark.createDataFrame([*texts, (98, None), (99, ""), (97, "aa aa")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("how", [{}, {"exact": True}, {"random": True}])
+def test_windows_are_counted_in_packed_slabs(spark, few_docs, how, monkeypatch):
+    monkeypatch.setattr(slabs, "KEYS", 50)
+    tf, vocabulary = models.corpus_space(few_docs, 2)
+    want = corpus.window_pairs(corpus.tokens(few_docs), vocabulary, 3, **how).groupBy("term", "other", "offset").agg(F.count("*").alias("n"))
+    got = slabs.window_counts(few_docs, _numbered(spark, few_docs, models.Space(16, 4)), 3, **how)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("method", ["basic", "directional", "permutation", "permutation_plus_basic", "proximity"])
+def test_positional_sums_of_packed_slabs(spark, few_docs, method, monkeypatch):
+    monkeypatch.setattr(slabs, "KEYS", 50)
+    space = models.Space(16, 4)
+    tf, vocabulary = models.corpus_space(few_docs, 2)
+    weights = vocabulary.select("term", F.log10(F.lit(few_docs.count()) / F.col("df")).alias("weight"))
+    want = models.normalised(models.positional(corpus.window_pairs(corpus.tokens(few_docs), vocabulary, 2), weights, space, method))
+    got = slabs.positional(few_docs, _numbered(spark, few_docs, space), 16, 2, models.moves(spark, 2, space, method))
+    x, y = ({(r.object, r.dim): r.val for r in df.collect()} for df in (got, want))
+    assert x.keys() == y.keys() and all(x[k] == pytest.approx(y[k], abs=1e-9) for k in x)
+
+
+def test_packed_keys_come_back():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 49, 1000))
+    assert (np.cumsum(slabs.unpacked(slabs.packed(np.diff(keys, prepend=0)), 1000)) == keys).all() and len(slabs.unpacked(slabs.packed(keys[:0]), 0)) == 0

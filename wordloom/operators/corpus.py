@@ -20,7 +20,12 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def vocabulary(tf: DataFrame, least: int = 0, most: int | None = None, min_length: int = 0, max_non_letters: int | None = None, numbers: bool = True, stop: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """(term, gf, df) of the terms that pass the filters."""
-    found = tf.groupBy("term").agg(F.sum("tf").alias("gf"), F.count("*").alias("df")).where(F.col("gf") >= least).where(F.length("term") >= min_length)
+    return filtered(tf.groupBy("term").agg(F.sum("tf").alias("gf"), F.count("*").alias("df")), least, most, min_length, max_non_letters, numbers, stop, start)
+
+
+def filtered(counted: DataFrame, least: int = 0, most: int | None = None, min_length: int = 0, max_non_letters: int | None = None, numbers: bool = True, stop: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+    """Of (term, gf, df) the terms that pass the filters."""
+    found = counted.where(F.col("gf") >= least).where(F.length("term") >= min_length)
     if most is not None:
         found = found.where(F.col("gf") <= most)
     if max_non_letters is not None:

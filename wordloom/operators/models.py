@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +101,11 @@ def elemental_vector(key: Column, space: Space) -> Column:
     return V.let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(space.dimension - 1)), lambda i: F.aggregate(p, F.lit(0.0), lambda s, e: s + F.when(e["dim"] == i, e["sign"]).otherwise(0.0))))
 
 
+def places(key: Column, space: Space) -> Column:
+    """The places of a key's elemental vector, in their order: the first half is +1."""
+    return F.array(*(F.pmod(digest(F.concat_ws("#", key.cast("string"), F.lit(str(k)))), F.lit(space.dimension)).cast("int") for k in range(space.seed)))
+
+
 def bound(df: DataFrame, one: Column, two: Column, space: Space) -> DataFrame:
     """Each row of df with (dim, sign) of the convolution of two keys' elemental vectors: places add, signs multiply."""
     first = elemental(df, one, space).withColumnsRenamed({"dim": "_dim", "sign": "_sign"})
@@ -125,6 +131,20 @@ def turns(spark: SparkSession, places: list[int], space: Space, method: str) ->
     return out
 
 
+def moves(spark: SparkSession, radius: int, space: Space, method: str) -> dict[int, list[np.ndarray]]:
+    """The permutations of a positional method by offset: place i goes to [i]."""
+    offsets, still = [o for o in range(-radius, radius + 1) if o], np.arange(space.dimension)
+    if method == "basic":
+        return {o: [still] for o in offsets}
+    if method == "permutation_plus_basic":
+        return {o: [*p, still] for o, p in moves(spark, radius, space, "permutation").items()}
+    turn = {o: (1 if o > 0 else -1) if method == "directional" else o for o in offsets}
+    to = {t: np.zeros(space.dimension, np.int64) for t in set(turn.values())}
+    for r in turns(spark, sorted(to), space, method).collect():
+        to[r.turn][r.dim] = r.to
+    return {o: [to[t]] for o, t in turn.items()}
+
+
 def positional(pairs: DataFrame, weights: DataFrame, space: Space, method: str = "basic") -> DataFrame:
     """Sums of the neighbours' elemental vectors.
 

@@ -145,7 +145,7 @@ def component_ngrams(spark, d):
 
 @query(f"WITH {S.PAIRS} SELECT term, other, \"offset\", count(*) AS n FROM pairs GROUP BY ALL")
 def window_pairs(spark, d):
-    return pairs(spark, d).groupBy("term", "other", "offset").agg(F.count("*").alias("n"))
+    return building.window_counts(spark, d)
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import models
+from ..operators import corpus, models, slabs
+from ..sources.shared import written
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,19 @@ def weights(spark: SparkSession, d: str, kind: str = "idf") -> DataFrame:
     return vocabulary.crossJoin(F.broadcast(n)).select("term", T.global_weight(kind, F.col("gf"), F.col("df"), F.col("n")).alias("weight"))
 
 
+def numbered(spark: SparkSession, d: str) -> slabs.Vocabulary | None:
+    """The documents' vocabulary by number, with idf weights; None where ids repeat or it is too large to be held by every task."""
+    docs = table(spark, d, "documents")
+    if not slabs.unrepeated(docs):
+        return None
+    counted = written(slabs.counts(docs), "counts")
+    kept = corpus.filtered(counted, S.LEAST, min_length=2)
+    if kept.count() > slabs.MOST_TERMS:
+        return None
+    n = docs.where(F.lower("text").rlike(r"\p{L}")).count()
+    return slabs.vocabulary(kept, T.global_weight("idf", F.col("gf"), F.col("df"), F.lit(n)), models.places(F.col("term"), SPACE))
+
+
 def terms(spark: SparkSession, d: str) -> DataFrame:
     tf, vocabulary = space(spark, d)
     return models.normalised(models.term_vectors(tf, vocabulary, SPACE))
