@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analysis, corpus, models, search, trainers
+from ..operators import analysis, corpus, models, rows, search, trainers
 from ..sources import readers
 from . import sql as S
 from .registry import ORACLES, QUERIES, SPACE, coo, entries, pairs_of_store, query, rounded, space, store, table, terms, weights
@@ -220,8 +220,7 @@ def dyadic_vectors(spark, d):
   UNION ALL SELECT p_partkey::VARCHAR, 'p_retailprice', 'p_retailprice<', 1 - (p_retailprice - c) / (e - c) FROM part, m UNION ALL SELECT p_partkey::VARCHAR, 'p_retailprice', 'p_retailprice>', (p_retailprice - c) / (e - c) FROM part, m),
   raw2 AS (SELECT object, CAST(({S.dim('cell')} + {S.dim('col', 'l')}) % {S.DIM} AS INTEGER) AS dim, CAST(sum(w * {S.SIGN} * {S.sign('l')}) AS DOUBLE) AS val FROM x, {S.KS}, {S.LS} GROUP BY 1, 2), {S.normal('raw2', 'p')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
 def table_row_vectors(spark, d):
-    m = models.table_rows(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"], SPACE)
-    return models.normalised(m).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
+    return rows.vectors(table(spark, d, "part"), *PART, SPACE).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
 
 
 @query(f"""WITH x AS (SELECT page_id AS object, lower(u) AS tag, i, n FROM (SELECT page_id, unnest(l) AS u, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1) AS l FROM pages))),
@@ -234,6 +233,10 @@ def tagged_page_vectors(spark, d):
     return coo(models.normalised(models.summed(turned, F.col("sign"))))
 
 
+#: The table of parts as row vectors: its key, its strings and its numbers.
+PART = ("p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"])
+
+
 def _coo_search(spark_coo: DataFrame, key: str) -> DataFrame:
     """The objects nearest to one object of a normalised long-form model."""
     q = spark_coo.where(F.col("object").cast("string") == key).select("dim", F.col("val").alias("q"))
@@ -248,8 +251,9 @@ def ri_document_search(spark, d):
 
 @query(ORACLES["table_row_vectors"].split(" SELECT object, dim, round(val, 5)")[0] + ", q AS (SELECT dim, val AS q FROM p WHERE object = '7') SELECT object, round(sum(val * q), 6) AS score FROM p JOIN q USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20")
 def table_row_search(spark, d):
-    m = models.table_rows(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_size", "p_retailprice"], SPACE)
-    return _coo_search(models.normalised(m), "7")
+    part = table(spark, d, "part")
+    own = rows.vectors(part, *PART, SPACE).where("object = '7'").select("dim", "val").collect()
+    return search.best(rows.scores(part, *PART, SPACE, {r.dim: r.val for r in own if r.val is not None}).select("object", F.round("x", 6).alias("score")))
 
 
 @query(f"""WITH {S.VOCAB}, c AS (SELECT substr(term, i, 1) AS object, substr(term, i + o, 1) AS other, sum(gf) AS n FROM vocab, range(1, 100) r(i), (VALUES (-1), (1)) s(o) WHERE i <= length(term) AND i + o BETWEEN 1 AND length(term) GROUP BY 1, 2),
