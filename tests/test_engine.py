@@ -17,7 +17,7 @@ import __spark_entry__
 from wordloom.functions import fields as G
 from wordloom.functions import text as T
 from wordloom.functions import vectors as V
-from wordloom.operators import analysis, corpus, expressions, models, search, slabs, trainers
+from wordloom.operators import analysis, corpus, expressions, models, rows, search, slabs, trainers
 from wordloom.plans import catalog
 from wordloom.sources import readers
 from wordloom.streaming import incremental
@@ -372,3 +372,27 @@ def test_positional_sums_of_packed_slabs(spark, few_docs, method, monkeypatch):
 def test_packed_keys_come_back():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 49, 1000))
     assert (np.cumsum(slabs.unpacked(slabs.packed(np.diff(keys, prepend=0)), 1000)) == keys).all() and len(slabs.unpacked(slabs.packed(keys[:0]), 0)) == 0
+
+
+def test_row_vectors_by_batch(spark, monkeypatch):
+    monkeypatch.setattr(rows, "PART_ROWS", 2)
+    space = models.Space(16, 4)
+    data = [(1, "a", "x", 1, 2.0), (2, "b", None, 3, 4.0), (3, None, "x", 2, None), (4, None, None, 5, 9.0), (5, "a", "y", 4, 3.5)]
+    df = spark.createDataFrame(data, "k long, s string, t string, n int, m double")
+    for x in (df, df.withColumn("k", F.col("k") % 3)):
+        want = models.normalised(models.table_rows(x, "k", ["s", "t"], ["n", "m"], space))
+        got = rows.vectors(x, "k", ["s", "t"], ["n", "m"], space)
+        a, b = ({(r.object, r.dim): r.val for r in y.collect()} for y in (got, want))
+        assert a.keys() == b.keys() and all(a[k] is b[k] or a[k] == pytest.approx(b[k], abs=1e-9) for k in b)
+        q = {r.dim: r.val for r in want.collect() if r.object == "1"}
+        hits = {r.object: r.x for r in rows.scores(x, "k", ["s", "t"], ["n", "m"], space, q).collect()}
+        assert hits == pytest.approx({o: sum(v * q[d] for (p, d), v in b.items() if p == o and d in q and v is not None) for o in hits})
+    assert rows.spread(df).rdd.getNumPartitions() == 3
+
+
+def test_dense_elemental_store_of_numbers(spark, few_docs):
+    space = models.Space(16, 4)
+    held = _numbered(spark, few_docs, space)
+    got = {(r.object, r.i): r.val for r in slabs.elemental(spark, held, 16).collect()}
+    want = spark.createDataFrame([(w,) for w in held.words.to_pylist()], "term string").select("term", models.elemental_vector(F.col("term"), space).alias("v")).collect()
+    assert got == {(r.term, i): x for r in want for i, x in enumerate(r.v)}

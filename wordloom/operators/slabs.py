@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -291,3 +291,20 @@ def positional(docs: DataFrame, vocabulary: Vocabulary, dimension: int, radius:
 
     sent = worded(docs).mapInArrow(tidy(paired), BLOCK).repartitionById(n_buckets, F.col("bucket"))
     return sent.mapInArrow(tidy(placed), "object string, dim int, val double")
+
+
+def elemental(spark: SparkSession, vocabulary: Vocabulary, dimension: int) -> DataFrame:
+    """(object, i, val): every word's elemental vector, zeros included."""
+    size, seed = len(vocabulary.words), vocabulary.places.shape[1] if len(vocabulary.words) else 1
+    held = spark.sparkContext.broadcast(vocabulary)
+
+    def filled(batches):
+        for batch in batches:
+            every = batch.column(0).to_numpy()
+            for at in range(0, len(every), 1000):
+                k = every[at : at + 1000]
+                to = (np.arange(len(k))[:, None] * dimension + held.value.places[k]).ravel()
+                val = np.bincount(to, np.tile(np.where(np.arange(seed) < seed // 2, 1.0, -1.0), len(k)), len(k) * dimension)
+                yield pa.RecordBatch.from_arrays([held.value.words.take(pa.array(np.repeat(k, dimension))), pa.array(np.tile(np.arange(dimension, dtype=np.int32), len(k))), pa.array(val + 0.0)], names=["object", "i", "val"])
+
+    return spark.range(0, size, 1, max(1, size // 20_000)).mapInArrow(tidy(filled), "object string, i int, val double")
