@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import analysis, corpus, models, rows, search, trainers
 from ..sources import readers
 from . import sql as S
-from .registry import ORACLES, QUERIES, SPACE, coo, entries, pairs_of_store, query, rounded, space, store, table, terms, weights
+from .registry import ORACLES, QUERIES, SPACE, coo, entries, indexed, pairs_of_store, query, rounded, space, store, table, terms, weights
 
 # sources
 
@@ -197,6 +197,9 @@ def document_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {S.DOCS}, raw2 AS (SELECT term AS object, dim, sum(tf * val) AS val FROM tf JOIN vocab USING (term) JOIN (SELECT object AS doc_id, dim, val FROM docs_) USING (doc_id) GROUP BY 1, 2), {S.normal('raw2', 'second')} SELECT object, dim, round(val, 5) + 0.0 AS val FROM second")
 def reflective_second_cycle(spark, d):
+    ix = indexed(spark, d)
+    if ix is not None:
+        return building.to5(building.second_cycle(ix))
     tf, v = space(spark, d)
     return models.normalised(models.terms_from_documents(tf, v, document_vectors(spark, d), SPACE)).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
 
