@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analysis, corpus, models, rows, search, trainers
+from ..operators import analysis, corpus, matrices, models, rows, search, trainers
 from ..sources import readers
 from . import sql as S
-from .registry import ORACLES, QUERIES, SPACE, coo, entries, indexed, pairs_of_store, query, rounded, space, store, table, terms, weights
+from .registry import ELEMENTAL, ORACLES, QUERIES, SPACE, coo, entries, indexed, pairs_of_store, query, rounded, space, store, table, terms, weights
 
 # sources
 
@@ -249,6 +249,10 @@ def _coo_search(spark_coo: DataFrame, key: str) -> DataFrame:
 
 @query(f"WITH {S.DOCS}, q AS (SELECT dim, val AS q FROM docs_ WHERE object = 7) SELECT object, round(sum(val * q), 6) AS score FROM docs_ JOIN q USING (dim) GROUP BY object ORDER BY 2 DESC, 1 LIMIT 20")
 def ri_document_search(spark, d):
+    ix = indexed(spark, d)
+    if ix is not None:
+        x = matrices.document_products(ix, matrices.Documents("terms", SPACE), matrices.term_matrix(ix, ELEMENTAL), "7")
+        return search.best(x.select("object", F.round("x", 6).alias("score")))
     return _coo_search(document_vectors(spark, d), "7")
 
 
