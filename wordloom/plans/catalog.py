@@ -209,6 +209,9 @@ def reflective_second_cycle(spark, d):
   own AS (SELECT term, dim, sum(sign) AS s FROM e GROUP BY 1, 2), raw2 AS (SELECT u.term AS object, whole.dim AS dim, sum(w * (v - w * coalesce(s, 0))) AS val FROM u JOIN whole USING (doc_id) LEFT JOIN own ON own.term = u.term AND own.dim = whole.dim GROUP BY 1, 2), {S.normal('raw2', 'p')}
   SELECT object, dim, round(val, 5) + 0.0 AS val FROM p""")
 def symmetric_ri(spark, d):
+    ix = indexed(spark, d)
+    if ix is not None:
+        return building.to5(matrices.terms(ix, matrices.Documents("symmetric", SPACE)))
     m = models.symmetric(space(spark, d)[0], weights(spark, d), SPACE)
     return models.normalised(m).select("object", "dim", (F.round("val", 5) + F.lit(0.0)).alias("val"))
 
