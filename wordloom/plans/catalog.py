@@ -191,6 +191,9 @@ def ri_document_vectors(spark, d):
 
 
 def document_vectors(spark: SparkSession, d: str) -> DataFrame:
+    ix = indexed(spark, d)
+    if ix is not None:
+        return matrices.documents(ix, matrices.Documents("terms", SPACE), matrices.term_matrix(ix, ELEMENTAL))
     tf, _ = space(spark, d)
     return models.normalised(models.document_vectors(tf, weights(spark, d), terms(spark, d), F.col("tf"), SPACE))
 
