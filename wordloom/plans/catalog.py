@@ -181,6 +181,9 @@ def ri_term_vectors(spark, d):
 
 @query(f"WITH {S.TERMS}, votes AS (SELECT object, dim, val, row_number() OVER (PARTITION BY object, val = 0 ORDER BY dim) AS r FROM raw) SELECT object, dim, CASE WHEN val > 0 THEN 1 WHEN val < 0 THEN 0 ELSE CAST((r + 1) % 2 AS INTEGER) END AS bit FROM votes")
 def ri_binary_term_vectors(spark, d):
+    ix = indexed(spark, d)
+    if ix is not None:
+        return matrices.term_signs(ix, ELEMENTAL)
     tf, v = space(spark, d)
     return models.signs(models.term_vectors(tf, v, SPACE))
 
