@@ -69,7 +69,7 @@ def test_packed_columns_come_back():
     assert (matrices.unpacked(matrices.packed(*x), 3, 500) == x).all() and matrices.unpacked(matrices.packed(x[0, :0]), 1, 0).size == 0
 
 
-QUERIES = ["reflective_term_seed", "training_cycles", "incremental_document_vectors", "reflective_second_cycle", "incremental_term_vectors", "symmetric_ri", "ri_document_vectors", "ri_binary_term_vectors"]
+QUERIES = ["reflective_term_seed", "training_cycles", "incremental_document_vectors", "reflective_second_cycle", "incremental_term_vectors", "symmetric_ri", "ri_document_vectors", "ri_binary_term_vectors", "ri_term_vectors"]
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -76,6 +76,9 @@ def indexed(spark: SparkSession, d: str) -> matrices.Index | None:
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
+    ix = indexed(spark, d)
+    if ix is not None:
+        return matrices.terms(ix, ELEMENTAL)
     tf, vocabulary = space(spark, d)
     return models.normalised(models.term_vectors(tf, vocabulary, SPACE))
 
