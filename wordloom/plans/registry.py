@@ -83,6 +83,15 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
     return models.normalised(models.term_vectors(tf, vocabulary, SPACE))
 
 
+def weighted_terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The term vectors as a store, written once, and the terms' weights."""
+    ix = indexed(spark, d)
+    if ix is None:
+        return models.dense(terms(spark, d), SPACE), weights(spark, d)
+    found = written(matrices.term_store(ix, ELEMENTAL), "store")
+    return found.select("object", "vec"), found.select(F.col("object").alias("term"), "weight")
+
+
 def store(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("object"), F.col("embedding").cast("array<double>").alias("vec"))
 
