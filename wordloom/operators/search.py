@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.shared import written
 
 
 def looked_up(store: DataFrame, terms: list) -> DataFrame:
@@ -284,6 +286,25 @@ def compare(store: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", F.coalesce(F.round(V.cosine(F.col("va"), F.col("vb")), 6), F.lit(0.0)).alias("score"))
 
 
+def keyword_in(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
+    """keyword() over documents: a document gives one row with its length and how often it has each term; no other postings are made."""
+    terms = list(dict.fromkeys(terms))
+    words = docs.select("doc_id", T.words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    own = [F.size(F.filter("words", F.lit(t).__eq__)).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = words.select("doc_id", F.size("words").cast("long").alias("length"), *own)
+    rows = written(rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in rows.columns[1:])), "lengths")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    hits = rows.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(terms)))) > 0).where("doc_id is not null")
+    if allowed is not None:
+        hits = hits.join(allowed, "doc_id", "left_semi")
+    def part(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+
+    score = sum((part(i) for i in range(len(terms))), F.lit(0.0))
+    return best(hits.crossJoin(F.broadcast(stats)).select(F.col("doc_id").alias("object"), F.round(score, 6).alias("score")), k, 0.0)
+
+
 def keyword(tf: DataFrame, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, allowed: DataFrame | None = None) -> DataFrame:
     """BM25 over the postings; only the allowed documents (doc_id) are hits, statistics are those of all."""
     lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))

@@ -399,7 +399,7 @@ def compare_pairs(spark, d):
 @query(f"""WITH {S.TF}, l AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), m AS (SELECT count(*) AS n, avg(len) AS mean FROM l), h AS (SELECT * FROM tf WHERE term IN ('the', 'und', 'les')), g AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
   SELECT doc_id AS object, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN g USING (term) JOIN l USING (doc_id), m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def search_keyword(spark, d):
-    return search.keyword(corpus.postings(table(spark, d, "documents")), ["the", "und", "les"])
+    return search.keyword_in(table(spark, d, "documents"), ["the", "und", "les"])
 
 
 @query(f"""WITH {S.TERMS}, q0 AS (SELECT dim, sum(val) AS q FROM terms_ WHERE object IN ('the', 'and') GROUP BY dim), q AS (SELECT dim, q / sqrt((SELECT sum(q * q) FROM q0)) AS q FROM q0)
