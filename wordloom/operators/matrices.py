@@ -1,10 +1,11 @@
 """Term and document vectors as products with the corpus matrix, which is counted once in slabs of whole documents.
 
 A slab's postings (term, document, tf) are sorted by term and packed in ranges of terms.
-A document's vector is worked out where the document is; the sums over documents are
-made by range in as many tasks as there are cores, and only these sums are shuffled:
-cores times terms, not postings times dimensions. Between a model's steps the terms'
-matrix goes over the driver to every task, up to `MOST_TERMS` terms.
+A document's vector is worked out where the document is, and written beside its slab in
+slices of a few dimensions. The terms' sums over documents are made slice by slice: a
+task reads its slice of all slabs, so that what is shuffled is the terms' matrix, not
+the postings' vectors. Between two steps this matrix goes over the driver to every task,
+packed, up to `MOST_TERMS` terms.
 
 A vector has its values and a mask of the places that are there: a place whose parts
 cancel is there with 0, and one that nothing was added to is not.
@@ -14,10 +15,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from .models import Space
 
 #: Terms of a range.
 WIDE = 8192
+#: Dimensions that a task sums at once.
+SLICE = 8
 #: A larger matrix is not held by every task: the callers join instead.
 MOST_TERMS = 1 << 21
 #: Postings that are multiplied at once.
@@ -37,10 +41,11 @@ ROWS = 50_000
 
 @dataclass
 class Index:
-    """The packed slabs (docs, n, blocks), the vocabulary and the type of doc_id."""
+    """The packed slabs (docs, n, blocks), the vocabulary, which is also sent to the tasks, and the type of doc_id."""
 
     slabs: DataFrame
     vocabulary: slabs.Vocabulary
+    held: Broadcast
     key: str
 
 
@@ -78,8 +83,10 @@ def index(docs: DataFrame, vocabulary: slabs.Vocabulary) -> Index:
             blocks = [packed(np.diff(term[a:b], prepend=edge), doc[a:b], tf[a:b]) for a, b, edge in zip(cut[:-1], cut[1:], edges)]
             yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(pa.string())), pa.array([np.diff(cut)], pa.list_(pa.int32())), pa.array([blocks], pa.list_(pa.binary()))], names=["docs", "n", "blocks"])
 
+    # many small files: the slabs are cheap to read, but dear to work out
+    spread = max(1, min(4 * docs.sparkSession.sparkContext.defaultParallelism, int(vocabulary.gf.sum()) // slabs.TOKENS))
     found = slabs.worded(docs).mapInArrow(slabs.tidy(counted), "docs array<string>, n array<int>, blocks array<binary>")
-    return Index(written(found, "postings"), vocabulary, docs.schema["doc_id"].dataType.simpleString())
+    return Index(written(found.repartition(spread), "postings"), vocabulary, held, docs.schema["doc_id"].dataType.simpleString())
 
 
 class Slab:
@@ -175,55 +182,118 @@ class Documents:
         return Matrix(unit(out.val), out.there)
 
 
-BLOCK = "r int, at binary, there binary, val binary"
+BLOCK = "r int, k int, at binary, there binary, val binary"
 
 
-def block(r: int, at: np.ndarray, there: np.ndarray, val: np.ndarray) -> pa.RecordBatch:
-    """Rows of a range; the values byte by byte, as sums of whole numbers are mostly zeros."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(val[at]).view(np.uint8).reshape(-1, 8).T)
-    columns = [pa.array([r], pa.int32())] + [pa.array([x], pa.binary()) for x in (at.astype("<i4").tobytes(), there[at].tobytes(), pa.compress(planes.tobytes(), codec="zstd", asbytes=True))]
-    return pa.RecordBatch.from_arrays(columns, names=["r", "at", "there", "val"])
+def shrunk(val: np.ndarray) -> bytes:
+    """Values byte by byte: sums of whole numbers are mostly zeros."""
+    return pa.compress(np.ascontiguousarray(val.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.float64).reshape(n)
+
+
+def block(r: int, k: int, at: np.ndarray, there: np.ndarray, val: np.ndarray) -> pa.RecordBatch:
+    """Rows of a range, of one slice of the dimensions."""
+    columns = [pa.array([x], pa.int32()) for x in (r, k)] + [pa.array([x], pa.binary()) for x in (at.astype("<i4").tobytes(), there[at].tobytes(), shrunk(np.ascontiguousarray(val[at])))]
+    return pa.RecordBatch.from_arrays(columns, names=["r", "k", "at", "there", "val"])
 
 
 def block_rows(at: bytes, there: bytes, val: bytes, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.frombuffer(at, "<i4")
-    planes = np.frombuffer(pa.decompress(val, 8 * len(at) * dimension, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
-    return at, np.frombuffer(there, np.uint64), np.ascontiguousarray(planes.T).view(np.float64).reshape(len(at), dimension)
+    return at, np.frombuffer(there, np.uint64), grown(val, len(at) * dimension).reshape(len(at), dimension)
+
+
+@dataclass
+class Packed:
+    """Sums of terms as they were sent; a worker opens and normalises them once."""
+
+    blocks: list[tuple]
+    size: int
+    dimension: int
+    opened: Matrix | None = None
+
+    def matrix(self) -> Matrix:
+        if self.opened is None:
+            m = Matrix(np.zeros((self.size, self.dimension)), np.zeros(self.size, np.uint64))
+            for r, at, there, val in self.blocks:
+                at, mask, own = block_rows(at, there, val, self.dimension)
+                m.val[at + r * WIDE], m.there[at + r * WIDE] = unit(own), mask
+            self.opened = m
+        return self.opened
+
+
+def _placed(ix: Index, how: Documents, m: Packed | None) -> DataFrame:
+    """The slabs with their documents' vectors, in columns of a few dimensions each, written."""
+    d = how.space.dimension
+    n_slices = -(-d // SLICE)
+    held, vocabulary = ix.slabs.sparkSession.sparkContext.broadcast(m), ix.held
+
+    def each(batches):
+        for slab in opened(batches):
+            x = how.vectors(slab, vocabulary.value, held.value and held.value.matrix())
+            vecs = [[shrunk(np.ascontiguousarray(x.val[:, k * SLICE : (k + 1) * SLICE]))] for k in range(n_slices)]
+            norm = slab.norm.tobytes() if how.kind == "symmetric" else b""
+            own = [pa.array([slab.n], pa.list_(pa.int32())), pa.array([slab.blocks], pa.list_(pa.binary())), pa.array([x.there.tobytes()], pa.binary()), pa.array([norm], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, pa.binary()) for v in vecs)], names=["n", "blocks", "there", "norm", *(f"s{k}" for k in range(n_slices))])
 
+    schema = "n array<int>, blocks array<binary>, there binary, norm binary, " + ", ".join(f"s{k} binary" for k in range(n_slices))
+    return written(ix.slabs.mapInArrow(slabs.tidy(each), schema), "placed")
 
-def _sums(ix: Index, how: Documents, m: Matrix | None, local: str) -> tuple[DataFrame, int]:
-    """The terms' sums over each task's documents, in ranges."""
+
+def _sums(ix: Index, how: Documents, m: Packed | None, local: str) -> tuple[DataFrame, int]:
+    """The terms' sums in ranges: a task takes a few dimensions of all slabs, or of one part of them where there are more cores."""
     spark, d = ix.slabs.sparkSession, how.space.dimension
-    held = spark.sparkContext.broadcast((ix.vocabulary, m))
-    n_ranges = -(-len(ix.vocabulary.words) // WIDE)
+    held = ix.held
+    n_ranges, n_slices = -(-len(ix.vocabulary.words) // WIDE), -(-d // SLICE)
 
-    def summed(batches):
-        vocabulary, m = held.value
-        own = [(slab, how.vectors(slab, vocabulary, m)) for slab in opened(batches)]
+    def sent(vocabulary, k, val, mask, own):
         for r in range(n_ranges):
-            val, there = np.zeros((WIDE, d)), np.zeros(WIDE, np.uint64)
-            for slab, documents in own:
-                term, doc, tf = slab.part(r)
-                to = term - r * WIDE
-                if how.kind == "symmetric":
-                    w = how.weights(slab, vocabulary, term, doc, tf) / slab.norm[doc]
-                    # less what a term gets from itself
-                    at = np.unique(to)
-                    ww = np.bincount(to, w * w, WIDE)[at]
-                    if len(at):
-                        val[at] -= scattered(len(at), np.arange(len(at)), vocabulary.places[at + r * WIDE].astype(np.int64), ww, d).val
-                else:
-                    w = LOCAL[local](tf)
-                add(val, there, to, doc, w, documents)
-            at = np.flatnonzero(there)
+            some = slice(r * WIDE, min(len(val), (r + 1) * WIDE))
+            if how.kind == "symmetric":  # less what a term gets from itself
+                n = some.stop - some.start
+                val[some] -= scattered(n, np.arange(n), vocabulary.places[some].astype(np.int64), own[some], d).val[:, k * SLICE : (k + 1) * SLICE]
+            at = np.flatnonzero(mask[some])
             if len(at):
-                yield block(r, at, there, val)
+                yield block(r, k, at, mask[some], val[some])
 
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, ix.slabs.count()))
-    return ix.slabs.repartition(tasks).mapInArrow(slabs.tidy(summed), BLOCK), n_ranges
-
-
-def _merged(ix: Index, how: Documents, m: Matrix | None, local: str, out: Callable, schema: str) -> DataFrame:
+    def summed(batches):
+        vocabulary, now, sums = held.value, None, ()
+        size = len(vocabulary.words)
+        for batch in batches:
+            for i in range(len(batch)):
+                k, n, blocks, there, norm, vec = (batch.column(c)[i].as_py() for c in range(6))
+                there, norm = np.frombuffer(there, np.uint64), np.frombuffer(norm)
+                wide = min(SLICE, d - k * SLICE)
+                if k != now:
+                    if now is not None:
+                        yield from sent(vocabulary, now, *sums)
+                    now, sums = k, (np.zeros((size, wide)), np.zeros(size, np.uint64), np.zeros(size))
+                val, mask, own = sums
+                x, slab = Matrix(grown(vec, len(there) * wide).reshape(len(there), wide), there), Slab([], n, blocks)
+                for r in range(len(n)):
+                    term, doc, tf = slab.part(r)
+                    w = LOCAL[local](tf)
+                    if how.kind == "symmetric":
+                        w = how.weights(slab, vocabulary, term, doc, tf) / norm[doc]
+                        own[r * WIDE : (r + 1) * WIDE] += np.bincount(term - r * WIDE, w * w, min(WIDE, size - r * WIDE))
+                    add(val, mask, term, doc, w, x)
+        if now is not None:
+            yield from sent(vocabulary, now, *sums)
+
+    placed = _placed(ix, how, m)
+    # two at least: a union of single partitions would be one task
+    parts = max(2, -(-spark.sparkContext.defaultParallelism // n_slices))
+    each = [placed.select(F.lit(k).alias("k"), "n", "blocks", "there", "norm", F.col(f"s{k}").alias("vec")).coalesce(parts) for k in range(n_slices)]
+    every = each[0]
+    for x in each[1:]:
+        every = every.unionAll(x)
+    return every.mapInArrow(slabs.tidy(summed), BLOCK), n_ranges
+
+
+def _merged(ix: Index, how: Documents, m: Packed | None, local: str, out: Callable, schema: str) -> DataFrame:
     """out(r, places of terms, masks, values) of every range."""
     d = how.space.dimension
     sums, n_ranges = _sums(ix, how, m, local)
@@ -232,10 +302,10 @@ def _merged(ix: Index, how: Documents, m: Matrix | None, local: str, out: Callab
         ranges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for i in range(len(batch)):
-                r, *rest = (batch.column(c)[i].as_py() for c in range(4))
+                r, k, *rest = (batch.column(c)[i].as_py() for c in range(5))
                 val, there = ranges.setdefault(r, (np.zeros((WIDE, d)), np.zeros(WIDE, np.uint64)))
-                at, mask, own = block_rows(*rest, d)
-                val[at] += own
+                at, mask, own = block_rows(*rest, min(SLICE, d - k * SLICE))
+                val[at, k * SLICE : (k + 1) * SLICE] += own
                 there[at] |= mask
         for r, (val, there) in ranges.items():
             yield from out(r, np.flatnonzero(there), there, val)
@@ -250,29 +320,25 @@ def _long(names: pa.Array, there: np.ndarray, columns: dict[str, np.ndarray]) ->
         yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), pa.array(k.astype(np.int32)), *(pa.array(x[r, k]) for x in columns.values())], names=["object", "dim", *columns])
 
 
-def _held(ix: Index):
-    return ix.slabs.sparkSession.sparkContext.broadcast(ix.vocabulary.words)
-
-
-def terms(ix: Index, how: Documents, m: Matrix | None = None, local: str = "tf") -> DataFrame:
+def terms(ix: Index, how: Documents, m: Packed | None = None, local: str = "tf") -> DataFrame:
     """(object, dim, val): normalised sums of the documents' vectors, each times the local weight."""
-    words, d = _held(ix), how.space.dimension
+    held, d = ix.held, how.space.dimension
 
     def out(r, at, there, val):
-        yield from _long(words.value.take(pa.array(at + r * WIDE)), places_there(there[at], d), {"val": unit(val[at])})
+        yield from _long(held.value.words.take(pa.array(at + r * WIDE)), places_there(there[at], d), {"val": unit(val[at])})
 
     return _merged(ix, how, m, local, out, "object string, dim int, val double")
 
 
 def term_signs(ix: Index, how: Documents) -> DataFrame:
     """(object, dim, bit): models.signs() of the sums."""
-    words, d = _held(ix), how.space.dimension
+    held, d = ix.held, how.space.dimension
 
     def out(r, at, there, val):
         known, val = places_there(there[at], d), val[at]
         tie = np.cumsum(known & (val == 0), axis=1)
         bit = np.where(val > 0, 1, np.where(val < 0, 0, (tie + 1) % 2)).astype(np.int32)
-        yield from _long(words.value.take(pa.array(at + r * WIDE)), known, {"bit": bit})
+        yield from _long(held.value.words.take(pa.array(at + r * WIDE)), known, {"bit": bit})
 
     return _merged(ix, how, None, "tf", out, "object string, dim int, bit int")
 
@@ -284,39 +350,35 @@ def _dense(names: pa.Array, val: np.ndarray, **more: np.ndarray) -> pa.RecordBat
 
 def term_store(ix: Index, how: Documents) -> DataFrame:
     """(object, vec, weight) of the same, 0 where nothing is."""
-    held = ix.slabs.sparkSession.sparkContext.broadcast((ix.vocabulary.words, ix.vocabulary.weight))
+    held = ix.held
 
     def out(r, at, there, val):
-        words, weight = held.value
-        yield _dense(words.take(pa.array(at + r * WIDE)), unit(val[at]), weight=weight[at + r * WIDE])
+        yield _dense(held.value.words.take(pa.array(at + r * WIDE)), unit(val[at]), weight=held.value.weight[at + r * WIDE])
 
     return _merged(ix, how, None, "tf", out, "object string, vec array<double>, weight double")
 
 
-def term_matrix(ix: Index, how: Documents, m: Matrix | None = None, local: str = "tf") -> Matrix:
-    """The same on the driver, a partition at a time."""
+def term_matrix(ix: Index, how: Documents) -> Packed:
+    """The sums on the driver, packed: of elemental vectors they are whole numbers and take a fraction of the matrix."""
     def out(r, at, there, val):
-        yield block(r, at, there, np.where(there[:, None] != 0, unit(val), 0.0))
+        yield block(r, 0, at, there, val)
 
-    whole = Matrix(np.zeros((len(ix.vocabulary.words), how.space.dimension)), np.zeros(len(ix.vocabulary.words), np.uint64))
-    for row in written(_merged(ix, how, m, local, out, BLOCK), "terms").toLocalIterator():
-        at, there, val = block_rows(row.at, row.there, row.val, how.space.dimension)
-        whole.val[at + row.r * WIDE], whole.there[at + row.r * WIDE] = val, there
-    return whole
+    rows = written(_merged(ix, how, None, "tf", out, BLOCK), "terms").toLocalIterator()
+    return Packed([(x.r, bytes(x.at), bytes(x.there), bytes(x.val)) for x in rows], len(ix.vocabulary.words), how.space.dimension)
 
 
-def _by_document(ix: Index, how: Documents, m: Matrix | None, out: Callable, schema: str) -> DataFrame:
+def _by_document(ix: Index, how: Documents, m: Packed | None, out: Callable, schema: str) -> DataFrame:
     """out(slab, its documents' vectors) of every slab."""
-    held = ix.slabs.sparkSession.sparkContext.broadcast((ix.vocabulary, m))
+    held, vocabulary = ix.slabs.sparkSession.sparkContext.broadcast(m), ix.held
 
     def each(batches):
         for slab in opened(batches):
-            yield from out(slab, how.vectors(slab, *held.value))
+            yield from out(slab, how.vectors(slab, vocabulary.value, held.value and held.value.matrix()))
 
-    return ix.slabs.repartition(max(1, ix.slabs.count())).mapInArrow(slabs.tidy(each), schema)
+    return ix.slabs.mapInArrow(slabs.tidy(each), schema)
 
 
-def documents(ix: Index, how: Documents, m: Matrix | None) -> DataFrame:
+def documents(ix: Index, how: Documents, m: Packed | None) -> DataFrame:
     """(object, dim, val) of the documents."""
     d = how.space.dimension
 
@@ -326,7 +388,7 @@ def documents(ix: Index, how: Documents, m: Matrix | None) -> DataFrame:
     return _by_document(ix, how, m, out, "object string, dim int, val double").withColumn("object", F.col("object").cast(ix.key))
 
 
-def document_store(ix: Index, how: Documents, m: Matrix | None) -> DataFrame:
+def document_store(ix: Index, how: Documents, m: Packed | None) -> DataFrame:
     """(object, vec) of all documents; one without terms has the zero vector."""
     def out(slab, x):
         for i in range(0, len(slab.docs), ROWS // how.space.dimension):
@@ -336,14 +398,14 @@ def document_store(ix: Index, how: Documents, m: Matrix | None) -> DataFrame:
     return _by_document(ix, how, m, out, "object string, vec array<double>").withColumn("object", F.col("object").cast(ix.key))
 
 
-def document_products(ix: Index, how: Documents, m: Matrix | None, key: str) -> DataFrame:
+def document_products(ix: Index, how: Documents, m: Packed | None, key: str) -> DataFrame:
     """(object, x): the documents' products with the vector of one of them, of those that share a place with it."""
     d = how.space.dimension
     def own(slab, x):
         k = slab.docs.index(key)
         yield pa.RecordBatch.from_arrays([pa.array([x.val[k].tolist()]), pa.array([places_there(x.there[[k]], d)[0].tolist()])], names=["vec", "there"])
 
-    found = _by_document(Index(ix.slabs.where(F.array_contains("docs", key)), ix.vocabulary, ix.key), how, m, own, "vec array<double>, there array<boolean>").collect()
+    found = _by_document(replace(ix, slabs=ix.slabs.where(F.array_contains("docs", key))), how, m, own, "vec array<double>, there array<boolean>").collect()
     q = np.array(found[0].vec if found else [0.0] * d)
     # a place of the query that cancels to 0 adds nothing, but makes a row a hit
     mask = masks(np.array([found[0].there]))[0] if found else np.uint64(0)
