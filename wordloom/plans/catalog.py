@@ -29,22 +29,30 @@ def source_triples(spark, d):
     return readers.predications(triples(spark, d)).distinct()
 
 
-def triples(spark: SparkSession, d: str, repeats: bool = False) -> DataFrame:
+def counted_triples(spark: SparkSession, d: str) -> DataFrame:
+    """(subject, predicate, object, n): the distinct triples and how often each occurs.
+
+    What suppliers supply is counted by key and part name before suppliers are joined.
+    """
     t = lambda n: table(spark, d, n)
-    nation = t("nation")
+    nation, once = t("nation"), F.lit(1).cast("long")
+    supplied = t("lineitem").join(t("part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_name").agg(F.count("*").alias("n"))
     raw = [
-        t("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name"), F.lit("in_nation"), "n_name"),
-        t("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", F.lit("in_nation"), "n_name"),
-        nation.join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.lit("in_region"), "r_name"),
-        t("part").select("p_name", F.lit("has brand"), "p_brand"),
-        t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("s_name", F.lit("supplies"), "p_name"),
+        t("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_name", F.lit("in_nation"), "n_name", once),
+        t("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", F.lit("in_nation"), "n_name", once),
+        nation.join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.lit("in_region"), "r_name", once),
+        t("part").select("p_name", F.lit("has brand"), "p_brand", once),
+        supplied.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", F.lit("supplies"), "p_name", "n"),
     ]
-    named = [r.toDF("subject", "predicate", "object") for r in raw]
+    named = [r.toDF("subject", "predicate", "object", "n") for r in raw]
     every = named[0]
     for r in named[1:]:
         every = every.unionByName(r)
-    clean = readers.clean_triples(every)
-    return clean if repeats else clean.distinct()
+    return readers.clean_triples(every, "n").groupBy("subject", "predicate", "object").agg(F.sum("n").alias("n"))
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    return counted_triples(spark, d).drop("n")
 
 
 @query("""SELECT a.doc_id, a.text AS contents_l1, b.text AS contents_l2 FROM documents a JOIN

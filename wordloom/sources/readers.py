@@ -34,10 +34,10 @@ def bilingual(left: DataFrame, right: DataFrame) -> DataFrame:
     return both
 
 
-def clean_triples(raw: DataFrame) -> DataFrame:
-    """Subject and object in lower case, predicate in upper case, spaces as underlines."""
+def clean_triples(raw: DataFrame, *more: str) -> DataFrame:
+    """Subject and object in lower case, predicate in upper case, spaces as underlines; further columns as they are."""
     tidy = lambda c: F.replace(F.trim(c), F.lit(" "), F.lit("_"))
-    return raw.select(F.lower(tidy("subject")).alias("subject"), F.upper(tidy("predicate")).alias("predicate"), F.lower(tidy("object")).alias("object"))
+    return raw.select(F.lower(tidy("subject")).alias("subject"), F.upper(tidy("predicate")).alias("predicate"), F.lower(tidy("object")).alias("object"), *more)
 
 
 def predications(triples: DataFrame) -> DataFrame:
