@@ -49,6 +49,13 @@ def test_vectors_are_sums_of_bound_arguments(triples):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_few_items_have_the_vectors_of_all(spark, triples):
+    df, counts = triples
+    some = spark.createDataFrame([("s1",), ("o2",)], "item string")
+    items = {k: v for k, v in expected(counts)[0].items() if k[0] in ("s1", "o2")}
+    assert {(r.object, r.dim): r.val for r in predications.items(df, D, some).collect()} == pytest.approx(items)
+
+
 def test_lines_are_counted_before_suppliers_are_joined(spark):
     df = catalog.counted_triples(spark, SF)
     assert {r["count"] for r in df.groupBy("subject", "predicate", "object").count().collect()} == {1}
