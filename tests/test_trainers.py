@@ -1,8 +1,12 @@
 """Steps of the trainers: a step's cost and effect are those of its batch's rows."""
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from wordloom.operators import trainers
+from wordloom.operators import corpus, models, slabs, trainers
+
+D = models.Space(16, 4)
 
 
 def test_rows_that_share_a_subject_move_as_rows_of_their_own():
@@ -30,3 +34,25 @@ def test_a_step_leaves_other_rows_alone(monkeypatch):
 def test_draws_follow_the_weights():
     n = np.bincount(trainers._draws(np.random.default_rng(1), np.cumsum([1.0, 0.0, 3.0]), 40_000), minlength=3)
     assert n[1] == 0 and abs(n[2] / n[0] - 3) < 0.2
+
+
+def test_neighbours_are_those_of_the_windows(spark):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "x"], n))) for i, n in enumerate([0, 1, 2, 3, 9, 20])], "doc_id long, text string")
+    vocabulary = corpus.vocabulary(corpus.postings(docs), 2, min_length=2)
+    want = sorted((r.term, r.other) for r in corpus.window_pairs(corpus.tokens(docs), vocabulary, 2).collect())
+    words = [(r.doc_id, w) for r in docs.collect() for w in r.text.split() if len(w) > 1]
+    names = sorted({w for _, w in words})
+    i, j = trainers.neighbours(np.array([names.index(w) for _, w in words]), np.array([d for d, _ in words]), 2)
+    assert sorted((names[x], names[y]) for x, y in zip(i, j)) == want
+
+
+def test_documents_are_read_as_numbers(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "aa xx bb xx" if i % 2 else "cc yy dd yy") for i in range(200)], "doc_id long, text string")
+    held = slabs.vocabulary(slabs.counts(docs), F.lit(1.0), models.places(F.col("term"), D))
+    monkeypatch.setattr(trainers, "LEAST", 1000)
+    v = {r.object: np.array(r.vec) for r in trainers.skip_gram_of_documents(docs, held, 1, 8, 20, 3, 0.5, 32).collect()}
+    cos = lambda p, q: v[p] @ v[q] / np.linalg.norm(v[p]) / np.linalg.norm(v[q])
+    assert len(v) == 6 and cos("aa", "bb") > cos("aa", "cc") and cos("cc", "dd") > cos("bb", "dd")
+    empty = slabs.Vocabulary(pa.array([], pa.string()), np.zeros(0, int), np.zeros(0), np.zeros((0, 4), int))
+    assert trainers.skip_gram_of_documents(docs, empty, 1, 8).count() == 0
