@@ -13,12 +13,15 @@ least vector counts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..sources.shared import written
+from . import analysis
 
 
 def looked_up(store: DataFrame, terms: list) -> DataFrame:
@@ -235,51 +238,82 @@ def standardised(hits: DataFrame) -> DataFrame:
 
 #: Rows of one side in a block of batch().
 BLOCK_ROWS = 1024
+#: A score in single precision is no further than this off the rounded one.
+NEAR = 1e-5
 
 
-def _blocks(df: DataFrame, key: str, vec: str, names: tuple[str, str], label: str) -> tuple[DataFrame, int]:
-    """Dense blocks of about BLOCK_ROWS rows: their number grows with the rows."""
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).alias(label)
-    return df.groupBy(block).agg(F.collect_list(key).alias(names[0]), F.collect_list(vec).alias(names[1])), n
+def _true(m: np.ndarray) -> np.ndarray:
+    """Flat places of the few that are true: eight at once."""
+    flat = m.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return at[flat[at]]
+
+
+def _bettered(top: np.ndarray, who: np.ndarray, ids: np.ndarray, q: np.ndarray, objects: np.ndarray, u: np.ndarray) -> None:
+    """Brings the best scores and objects of each query so far, best first, up to date with a block of unit vectors.
+
+    Scores come in single precision; only what is near a query's best, or among them, is
+    worked out again in double precision, rounded and sorted.
+    """
+    k = top.shape[1]
+    s = q.astype(np.float32) @ u.astype(np.float32).T
+    least = top[:, -1].copy()
+    new = np.isneginf(least)
+    if new.any() and s.shape[1] > k:  # one of them may be the query itself
+        least[new] = np.partition(s[new], -k - 1, axis=1)[:, -k - 1]
+    x, y = np.divmod(_true(s >= (least - NEAR).astype(np.float32)[:, None]), s.shape[1])
+    other = ids[x] != objects[y]
+    x, y = x[other], y[other]
+    if not len(x):
+        return
+    rows = np.unique(x)
+    at = np.r_[np.repeat(rows, k), x]
+    score = np.r_[top[rows].ravel(), np.round(np.einsum("ij,ij->i", q[x], u[y]), 6)]
+    name = np.r_[who[rows].ravel(), objects[y]]
+    order = np.lexsort((name, -score, at))
+    keep = order[np.searchsorted(at[order], rows)[:, None] + np.arange(k)]
+    top[rows], who[rows] = score[keep], name[keep]
 
 
 def batch(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, object, score, rank): the k best of each query (query, q) but the query itself.
 
-    Both sides are cut into blocks of a bounded number of dense rows and multiplied with
-    numpy; each pair of blocks keeps k hits a query, so that what is shuffled is bounded
-    by queries times blocks of the store, not by pairs.
+    Both sides are packed in blocks of a bounded number of unit vectors, and each block of
+    queries meets every block of the store. A task keeps k hits a query, so that what is
+    shuffled is bounded by queries times parts of the store, not by pairs.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def unit(x):
-        m = np.stack(x).astype(np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    queries = analysis.packed_units(queries.select(F.col("query").alias("object"), F.col("q").alias("vec")), BLOCK_ROWS)
+    units = analysis.packed_units(store, BLOCK_ROWS)
 
     def score(batches):
+        held: dict[int, list[np.ndarray]] = {}
         for batch_ in batches:
-            for row in batch_.to_pylist():
-                ids, objects = np.asarray(row["ids"]), np.asarray(row["objects"])
-                s = np.round(unit(row["qs"]) @ unit(row["vecs"]).T, 6)
-                s[ids[:, None] == objects[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(objects, s.shape), -s), axis=1)[:, :k]
-                top = np.take_along_axis(s, order, axis=1)
-                keep = np.isfinite(top)
-                columns = np.broadcast_to(ids[:, None], order.shape)[keep], objects[order[keep]], top[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "object", "score"])
-
-    left, _ = _blocks(queries, "query", "q", ("ids", "qs"), "b")
-    right, m = _blocks(store, "object", "vec", ("objects", "vecs"), "c")
-    # a stated set of queries against all rows, in blocks: each block of queries goes to every block of the store
-    sent = left.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    hits = sent.join(right, "c").select("ids", "qs", "objects", "vecs").mapInArrow(score, "query long, object long, score double")
+            for i in range(len(batch_)):
+                block, objects, u = batch_.column(0)[i].as_py(), *_opened(batch_, i, 3)
+                if block not in held:
+                    ids, q = _opened(batch_, i, 1)
+                    held[block] = [np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), ids, q]
+                _bettered(*held[block], objects, u)
+        for top, who, ids, _ in held.values():
+            there = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.broadcast_to(ids[:, None], top.shape)[there], who[there], top[there])], names=["query", "object", "score"])
+
+    parts = max(1, min(queries.count(), 4 * store.sparkSession.sparkContext.defaultParallelism))
+    left = queries.repartition(parts).select(F.monotonically_increasing_id().alias("block"), F.col("objects").alias("ids"), F.col("units").alias("qs"))
+    # a stated set of queries against all rows, block by block; Spark sends at most 64 MB of them to a worker at once
+    hits = left.crossJoin(units).mapInArrow(score, "query long, object long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "object"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _opened(batch_: pa.RecordBatch, i: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """(objects, units) of row i, in columns c and c + 1."""
+    objects = batch_.column(c)[i].values.to_numpy()
+    return objects, np.frombuffer(batch_.column(c + 1)[i].as_py(), np.float64).reshape(len(objects), -1)
+
+
 def compare(store: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, score) of each pair (a, b); 0 where a vector is missing."""
     x = pairs.join(store.select(F.col("object").alias("a"), F.col("vec").alias("va")), "a", "left").join(store.select(F.col("object").alias("b"), F.col("vec").alias("vb")), "b", "left")
