@@ -64,6 +64,29 @@ def test_documents_by_their_terms(parts):
     assert matrices.document_products(ix, how, m, "12345").count() == 0
 
 
+def alike(got, want, k):
+    """The same components, each up to its sign."""
+    x, y = ({(r.object, r.component): r.val for r in df.collect()} for df in (got, want))
+    assert x.keys() == y.keys() and len(x) > k
+    for c in range(k):
+        own = sorted(o for o, i in x if i == c)
+        u, v = (np.array([m[o, c] for o in own]) for m in (x, y))
+        assert np.allclose(u * np.sign(u @ v), v, atol=1e-7)
+
+
+def test_decomposition_reads_packed_slabs(spark, parts):
+    from wordloom.operators import analysis
+    from wordloom.plans import registry
+
+    ix, tf, vocabulary, weights, _ = parts
+    matrix = lambda tf, weights: tf.join(weights, "term").select(F.col("term").alias("object"), F.col("doc_id").alias("column"), (F.log10(1 + F.col("tf")) * F.col("weight")).alias("val"))
+    alike(analysis.decomposition_of_documents(ix, k=3, extra=4), analysis.decomposition(matrix(tf, weights), 3, extra=4), 3)
+    assert analysis.decomposition_of_documents(matrices.index(parts[4].where("doc_id < 0"), ix.vocabulary)).where("val <> 0").count() == 0
+    got = catalog.QUERIES["latent_semantic_analysis"](spark, SF)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    alike(got, analysis.decomposition(matrix(registry.space(spark, SF)[0], registry.weights(spark, SF))), 16)
+
+
 def test_packed_columns_come_back():
     x = np.random.default_rng(1).integers(0, 1 << 32, (3, 500))
     assert (matrices.unpacked(matrices.packed(*x), 3, 500) == x).all() and matrices.unpacked(matrices.packed(x[0, :0]), 1, 0).size == 0

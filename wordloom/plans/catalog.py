@@ -470,6 +470,9 @@ def statistics(spark, d):
 
 @query()
 def latent_semantic_analysis(spark, d):
+    ix = indexed(spark, d)
+    if ix is not None:
+        return analysis.decomposition_of_documents(ix)
     tf = space(spark, d)[0].join(weights(spark, d), "term")
     m = tf.select(F.col("term").alias("object"), F.col("doc_id").alias("column"), (F.log10(1 + F.col("tf")) * F.col("weight")).alias("val"))
     return analysis.decomposition(m)
