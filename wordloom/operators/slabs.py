@@ -63,12 +63,13 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
-def worded(docs: DataFrame) -> DataFrame:
-    """(doc, words): the id as text and the tokens in their order; batches are kept small."""
+def worded(docs: DataFrame, doc: Column | None = None) -> DataFrame:
+    """(doc, words): the id as text, or what else stands for a document, and the tokens in their order; batches are kept small."""
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.select(F.col("doc_id").cast("string").alias("doc"), T.words(F.col("text")).alias("words"))
+    doc = F.col("doc_id").cast("string") if doc is None else doc
+    return docs.select(doc.alias("doc"), T.words(F.col("text")).alias("words"))
 
 
 def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
