@@ -56,6 +56,18 @@ def test_few_items_have_the_vectors_of_all(spark, triples):
     assert {(r.object, r.dim): r.val for r in predications.items(df, D, some).collect()} == pytest.approx(items)
 
 
+def test_few_items_are_kept_before_anything_is_joined(spark, triples):
+    df, _ = triples
+    some = spark.createDataFrame([("s1",), ("o2",)], "item string")
+    plan = predications.items(df, D, some)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    inner, semi = ([depth(x) for x in plan if kind in x] for kind in ("Join Inner, (object", "Join LeftSemi"))
+    assert len(semi) == 2 and inner and min(semi) > max(inner)
+    # and the rows of an item are summed where they are, before they meet in one task
+    shuffle = next(i for i, x in enumerate(plan) if "Repartition" in x)
+    assert sum("MapInArrow" in x for x in plan[shuffle:]) == 1
+
+
 def test_lines_are_counted_before_suppliers_are_joined(spark):
     df = catalog.counted_triples(spark, SF)
     assert {r["count"] for r in df.groupBy("subject", "predicate", "object").count().collect()} == {1}

@@ -31,11 +31,12 @@ def _known(counted: DataFrame) -> DataFrame:
     return counted.where("subject is not null and predicate is not null and object is not null")
 
 
-def arguments(counted: DataFrame, total: int) -> DataFrame:
-    """(item, other, predicate, w): of each triple the subject, by pw (w(o) + w(p)), and the object with p-INV, by pw (w(s) + w(p))."""
+def arguments(counted: DataFrame, total: int, only: DataFrame | None = None) -> DataFrame:
+    """(item, other, predicate, w): of each triple the subject, by pw (w(o) + w(p)), and the object with p-INV, by pw (w(s) + w(p)). only: of a few items (item), before anything is joined by its other argument."""
     one = _known(counted).withColumn("pw", F.log10(1 + F.col("n"))).join(F.broadcast(_weight(counted, total, "predicate")), "predicate")
     def way(item: str, other: str, predicate: Column) -> DataFrame:
-        weighted = one.join(_weight(counted, total, other), other)
+        own = one if only is None else one.join(F.broadcast(only), one[item] == only["item"], "left_semi")
+        weighted = own.join(_weight(counted, total, other), other)
         return weighted.select(F.col(item).alias("item"), F.col(other).alias("other"), predicate.alias("predicate"), (F.col("pw") * (F.col(f"w_{other}") + F.col("w_predicate"))).alias("w"))
 
     return way("subject", "object", F.col("predicate")).unionByName(way("object", "subject", F.concat("predicate", F.lit("-INV"))))
@@ -58,11 +59,16 @@ def _places(key: str, space: Space) -> list[int]:
 def items(counted: DataFrame, space: Space, only: DataFrame | None = None) -> DataFrame:
     """(object, dim, val): S(s) sums pw (w(o) + w(p)) E(o) * E(p), and S(o) pw (w(s) + w(p)) E(s) * E(p-INV), normalised; * is convolution. counted is written. only: a few items (item)."""
     total, d = counted.count(), space.dimension
-    given = arguments(counted, total)
-    if only is not None:
-        given = given.join(F.broadcast(only), "item", "left_semi")
+    given = arguments(counted, total, only)
 
-    def summed(batches):
+    def spacious(val, there, n):
+        if n <= len(val):
+            return val, there
+        more = max(n, 2 * len(val)) - len(val)
+        return np.r_[val, np.zeros((more, d))], np.r_[there, np.zeros(more, np.uint64)]
+
+    def grouped(batches):
+        """Sums by item and predicate."""
         groups: dict[tuple[str, str], int] = {}
         val, there = np.zeros((1024, d)), np.zeros(1024, np.uint64)
         for batch in batches:
@@ -71,13 +77,14 @@ def items(counted: DataFrame, space: Space, only: DataFrame | None = None) -> Da
             key, own = np.unique(item.indices.to_numpy().astype(np.int64) * n + predicate.indices.to_numpy(), return_inverse=True)
             names, kinds = item.dictionary.to_pylist(), predicate.dictionary.to_pylist()
             at = np.array([groups.setdefault((names[x // n], kinds[x % n]), len(groups)) for x in key.tolist()], np.int64)
-            if len(groups) > len(val):
-                more = max(len(groups), 2 * len(val)) - len(val)
-                val, there = np.r_[val, np.zeros((more, d))], np.r_[there, np.zeros(more, np.uint64)]
+            val, there = spacious(val, there, len(groups))
             places = batch.column(2).flatten().to_numpy().astype(np.int64).reshape(len(batch), -1)
             part = matrices.scattered(len(key), own, places, batch.column(3).to_numpy(), d)
             val[at] += part.val
             there[at] |= part.there
+        return groups, val, there
+
+    def bound(groups, val, there):
         # an item's groups, one after another
         at_item: dict[str, int] = {}
         row = np.array([at_item.setdefault(i, len(at_item)) for i, _ in groups], np.int64)
@@ -94,9 +101,34 @@ def items(counted: DataFrame, space: Space, only: DataFrame | None = None) -> Da
         for i in range(0, len(names), CHUNK):
             yield from matrices._long(names.slice(i, CHUNK), known[i : i + CHUNK], {"val": matrices.unit(out[i : i + CHUNK])})
 
-    parts = max(1, -(-2 * total // PART_ROWS)) if only is None else 1
-    by_item = given.repartition(parts, "item").select("item", "predicate", models.places(F.col("other"), space).alias("at"), "w")
-    return by_item.mapInArrow(slabs.tidy(summed), "object string, dim int, val double")
+    def summed(batches):
+        yield from bound(*grouped(batches))
+
+    def partly(batches):
+        groups, val, there = grouped(batches)
+        if groups:
+            names, n = [pa.array(x, pa.string()) for x in zip(*groups)], len(groups)
+            yield pa.RecordBatch.from_arrays([*names, pa.array([v.tobytes() for v in val[:n]], pa.binary()), pa.array(there[:n].view(np.int64))], names=["item", "predicate", "val", "there"])
+
+    def merged(batches):
+        groups: dict[tuple[str, str], int] = {}
+        val, there = np.zeros((1024, d)), np.zeros(1024, np.uint64)
+        for batch in batches:
+            masks = batch.column(3).to_numpy().view(np.uint64)
+            for i, p, v, mask in zip(*(batch.column(c).to_pylist() for c in range(3)), masks):
+                at = groups.setdefault((i, p), len(groups))
+                val, there = spacious(val, there, len(groups))
+                val[at] += np.frombuffer(v)
+                there[at] |= mask
+        yield from bound(groups, val, there)
+
+    placed = lambda df: df.select("item", "predicate", models.places(F.col("other"), space).alias("at"), "w")
+    if only is not None:
+        # few items may have most triples: each task sums its own, only the sums go to one
+        parts = placed(given).mapInArrow(slabs.tidy(partly), "item string, predicate string, val binary, there long")
+        return parts.repartition(1).mapInArrow(slabs.tidy(merged), "object string, dim int, val double")
+    by_item = given.repartition(max(1, -(-2 * total // PART_ROWS)), "item")
+    return placed(by_item).mapInArrow(slabs.tidy(summed), "object string, dim int, val double")
 
 
 def predicates(counted: DataFrame, space: Space) -> DataFrame:
